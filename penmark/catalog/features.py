@@ -28,7 +28,7 @@ def train_rows(spark, sf):
 )
 def encode_labels(spark, sf):
     mapping = labels.label_map(train_rows(spark, sf))
-    encoded = labels.encode_labels(corpus(spark, sf), mapping)
+    encoded = labels.encode_labels(corpus(spark, sf, spread=False), mapping)
     return encoded.select("doc_id", "generated_by", "label_id")
 
 
@@ -39,7 +39,7 @@ def encode_labels(spark, sf):
 )
 def decode_labels(spark, sf):
     mapping = labels.label_map(train_rows(spark, sf))
-    ids = corpus(spark, sf).select("doc_id", (F.col("doc_id") % 5).cast("int").alias("label_id"))
+    ids = corpus(spark, sf, spread=False).select("doc_id", (F.col("doc_id") % 5).cast("int").alias("label_id"))
     return labels.decode_labels(ids, mapping)
 
 

@@ -27,7 +27,7 @@ def lengths(spark, sf):
     f"WITH {CORPUS} SELECT generated_by, count(*) AS n FROM corpus GROUP BY generated_by",
 )
 def class_distribution(spark, sf):
-    return profile.class_distribution(corpus(spark, sf))
+    return profile.class_distribution(corpus(spark, sf, spread=False))
 
 
 @query(
@@ -49,7 +49,7 @@ def class_word_stats(spark, sf):
         FROM corpus GROUP BY split""",
 )
 def split_sizes(spark, sf):
-    return profile.split_sizes(corpus(spark, sf))
+    return profile.split_sizes(corpus(spark, sf, spread=False))
 
 
 @query(
@@ -150,7 +150,7 @@ def vocab_size(spark, sf):
     doubles=["weight"],
 )
 def class_weights(spark, sf):
-    return profile.class_weights(corpus(spark, sf))
+    return profile.class_weights(corpus(spark, sf, spread=False))
 
 
 @query(
@@ -167,7 +167,7 @@ def summary_report(spark, sf):
 
 @query("distinct_classes", f"WITH {CORPUS} SELECT DISTINCT generated_by FROM corpus ORDER BY 1")
 def distinct_classes(spark, sf):
-    return profile.distinct_classes(corpus(spark, sf))
+    return profile.distinct_classes(corpus(spark, sf, spread=False))
 
 
 def sql_density(data: str, points: int = 300) -> str:

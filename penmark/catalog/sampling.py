@@ -41,7 +41,7 @@ def sql_upsample(source: str, ids: str = "doc_id", within: str = "split") -> str
 
 @query("downsample", f"WITH {CORPUS} SELECT doc_id, split, generated_by FROM ({sql_downsample('corpus')})")
 def downsample(spark, sf):
-    return sampling.downsample(corpus(spark, sf), within=["split"]).select(*COLUMNS)
+    return sampling.downsample(corpus(spark, sf, spread=False), within=["split"]).select(*COLUMNS)
 
 
 @query(
@@ -49,7 +49,7 @@ def downsample(spark, sf):
     f"WITH {CORPUS} SELECT doc_id, split, generated_by, text, draw_no FROM ({sql_upsample('corpus')})",
 )
 def upsample(spark, sf):
-    drawn = sampling.upsample(corpus(spark, sf), within=["split"])
+    drawn = sampling.upsample(corpus(spark, sf, spread=False), within=["split"])
     return drawn.select(*COLUMNS, "text", "draw_no")
 
 
@@ -63,7 +63,7 @@ def sql_ranked(partition: str) -> str:
         QUALIFY {sql_ranked("PARTITION BY generated_by")} <= 120""",
 )
 def sample_per_class(spark, sf):
-    return sampling.sample_per_class(corpus(spark, sf), 120).select(
+    return sampling.sample_per_class(corpus(spark, sf, spread=False), 120).select(
         "doc_id", "generated_by", "text"
     )
 
@@ -74,7 +74,7 @@ def sample_per_class(spark, sf):
         QUALIFY row_number() OVER (PARTITION BY generated_by ORDER BY doc_id) <= 120""",
 )
 def head_per_class(spark, sf):
-    return sampling.head_per_class(corpus(spark, sf), 120).select(
+    return sampling.head_per_class(corpus(spark, sf, spread=False), 120).select(
         "doc_id", "generated_by", "text"
     )
 
@@ -84,7 +84,7 @@ def head_per_class(spark, sf):
     f"WITH {CORPUS} SELECT doc_id, text FROM corpus QUALIFY {sql_ranked('')} <= 50",
 )
 def sample_rows(spark, sf):
-    return sampling.sample_rows(corpus(spark, sf), 50).select("doc_id", "text")
+    return sampling.sample_rows(corpus(spark, sf, spread=False), 50).select("doc_id", "text")
 
 
 @query(
@@ -96,7 +96,7 @@ def sample_rows(spark, sf):
                      count(*) OVER (PARTITION BY generated_by) AS n FROM corpus)""",
 )
 def stratified_split(spark, sf):
-    return sampling.stratified_split(corpus(spark, sf)).select("doc_id", "generated_by", "split")
+    return sampling.stratified_split(corpus(spark, sf, spread=False)).select("doc_id", "generated_by", "split")
 
 
 @query(

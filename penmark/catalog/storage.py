@@ -25,7 +25,7 @@ from penmark.sources import embeddings, runs
 def load_splits(spark, sf):
     root = new_path(spark, "splits")
     for split in corpora.SPLITS:
-        part = corpus(spark, sf).filter(F.col("split") == split)
+        part = corpus(spark, sf, spread=False).filter(F.col("split") == split)
         part.select("doc_id", "text", "generated_by").write.parquet(f"{root}/{split}")
     return corpora.load_splits(spark, root, columns=["doc_id", "text", "generated_by"])
 
@@ -37,7 +37,7 @@ def select_columns(spark, sf):
 
 @query("harmonise_schema", "SELECT doc_id, text, lang AS generated_by FROM documents")
 def harmonise_schema(spark, sf):
-    large = corpus(spark, sf).withColumnsRenamed({"text": "generation", "generated_by": "model"})
+    large = corpus(spark, sf, spread=False).withColumnsRenamed({"text": "generation", "generated_by": "model"})
     return corpora.harmonise_schema(large, keep=["doc_id"])
 
 
@@ -46,14 +46,14 @@ def harmonise_schema(spark, sf):
     f"WITH {CORPUS} SELECT doc_id, generated_by, split FROM corpus WHERE split IN ('val', 'test')",
 )
 def union_splits(spark, sf):
-    rows = corpus(spark, sf).select("doc_id", "generated_by", "split")
+    rows = corpus(spark, sf, spread=False).select("doc_id", "generated_by", "split")
     return corpora.union_splits([rows.filter(F.col("split") == s) for s in ("val", "test")])
 
 
 @query("write_corpus", f"WITH {CORPUS} SELECT doc_id, text, generated_by FROM corpus WHERE split = 'test'")
-def write_corpus(spark, sf):
+def write_corpus(spark, sf, spread=False):
     path = new_path(spark, "corpus")
-    corpora.write_corpus(corpus(spark, sf).drop("source"), path)
+    corpora.write_corpus(corpus(spark, sf, spread=False).drop("source"), path)
     return corpora.load_corpus(spark, path).filter(F.col("split") == "test").drop("split")
 
 

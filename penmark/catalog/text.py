@@ -66,7 +66,7 @@ def sql_count_chars(chars: str, text: str = "text") -> str:
 )
 def drop_null_rows(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    joined = corpus(spark, sf).join(labels, "doc_id", "left")
+    joined = corpus(spark, sf, spread=False).join(labels, "doc_id", "left")
     return cleaning.drop_null_rows(joined, ["doc_id", "text", "quality"])
 
 
@@ -94,7 +94,7 @@ def remove_outliers(spark, sf):
 
 @query("filter_split", f"WITH {CORPUS} SELECT doc_id, text, generated_by FROM corpus WHERE split = 'val'")
 def filter_split(spark, sf):
-    return cleaning.filter_split(corpus(spark, sf), "val").drop("source")
+    return cleaning.filter_split(corpus(spark, sf, spread=False), "val").drop("source")
 
 
 @query(
@@ -161,7 +161,7 @@ def remove_punctuation(spark, sf):
 
 @query("prefix_text", "SELECT doc_id, 'passage: ' || text AS text FROM documents")
 def prefix_text(spark, sf):
-    return corpus(spark, sf).select("doc_id", w.prefix_text(text()).alias("text"))
+    return corpus(spark, sf, spread=False).select("doc_id", w.prefix_text(text()).alias("text"))
 
 
 @query("word_count", f"SELECT doc_id, CAST(len({sql_words()}) AS bigint) AS word_count FROM documents")
@@ -171,7 +171,7 @@ def word_count(spark, sf):
 
 @query("char_count", "SELECT doc_id, CAST(length(text) AS bigint) AS char_count FROM documents")
 def char_count(spark, sf):
-    return corpus(spark, sf).select("doc_id", w.char_count(text()).alias("char_count"))
+    return corpus(spark, sf, spread=False).select("doc_id", w.char_count(text()).alias("char_count"))
 
 
 @query(

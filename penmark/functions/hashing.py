@@ -15,9 +15,9 @@ def seeded_hash(seed: int, columns: Sequence[str | Column]) -> Column:
     parts = [F.lit(str(seed))] + [
         (F.col(c) if isinstance(c, str) else c).cast("string") for c in columns
     ]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, HASH_BITS // 4), 16, 10).cast(
-        "bigint"
-    )
+    digits = F.substring(F.md5(F.concat_ws("|", *parts)), 1, HASH_BITS // 4)
+    # Never null, which also keeps joins from adding a null check that hashes again.
+    return F.coalesce(F.conv(digits, 16, 10).cast("bigint"), F.lit(0))
 
 
 def hash_split(id_column: str | Column, seed: int = 42) -> Column:
@@ -25,4 +25,5 @@ def hash_split(id_column: str | Column, seed: int = 42) -> Column:
     key = F.col(id_column) if isinstance(id_column, str) else id_column
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
     bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 10
-    return F.when(bucket < 8, "train").when(bucket == 8, "val").otherwise("test")
+    names = ["train"] * 8 + ["val", "test"]
+    return F.get(F.array(*[F.lit(name) for name in names]), bucket.cast("int"))

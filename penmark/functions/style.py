@@ -18,8 +18,7 @@ from penmark.functions.tokens import alpha_tokens, positions, upper_word_count
 from penmark.functions.words import sentence_lengths
 
 # Vowel groups count as syllables; a word without one counts as one syllable.
-VOWEL_GROUP = "[aeiouy]+"
-NO_VOWEL_WORD = "(?<![a-z])[b-df-hj-np-tv-xz]++(?![a-z])"
+SYLLABLE = "[aeiouy]+|(?<![a-z])[b-df-hj-np-tv-xz]++(?![a-z])"
 THREE_SYLLABLES = "[b-df-hj-np-tv-xz]*+(?:[aeiouy]++[b-df-hj-np-tv-xz]++){2}[aeiouy][a-z]*+"
 
 # A line that opens with a bullet; only a newline ends a line.
@@ -81,7 +80,7 @@ def stylometric_features(df: DataFrame, text_col: str = "text") -> DataFrame:
                         )
                     )
                 ),
-                "_syllables": _count(VOWEL_GROUP, "_joined") + _count(NO_VOWEL_WORD, "_joined"),
+                "_syllables": _count(SYLLABLE, "_joined"),
                 "_complex": _count(THREE_SYLLABLES, "_joined"),
                 "_sw": F.aggregate("_sents", F.lit(0).cast("bigint"), lambda t, x: t + x),
                 "_sw2": F.aggregate("_sents", F.lit(0).cast("bigint"), lambda t, x: t + x * x),

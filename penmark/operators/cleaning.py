@@ -64,12 +64,15 @@ def remove_duplicates(
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: Column) -> DataFrame:
-    """Collapse rows to (by, value, weight); integers collapse to very few rows."""
+    """Collapse rows to (by, value, weight); integers collapse to very few rows.
+
+    Null values keep a row of weight 0 instead of being filtered out: the optimiser would push
+    the filter down to the rows and compute the value there a second time.
+    """
     return (
         df.select(*by, value.alias("value"))
-        .filter(F.col("value").isNotNull())
         .groupBy(*by, "value")
-        .agg(F.count("*").alias("weight"))
+        .agg(F.count("value").alias("weight"))
     )
 
 
@@ -108,11 +111,9 @@ def remove_outliers_iqr(
     else:
         row = bounds.first()
         bounded, low, high = df, F.lit(row["_low"]), F.lit(row["_high"])
-    return (
-        bounded.withColumn("_count", count)
-        .filter(F.col("_count").between(low, high))
-        .select(*df.columns)
-    )
+    # The one-element array makes the words of a text be counted once for both comparisons.
+    inside = F.exists(F.array(count), lambda n: n.between(low, high))
+    return bounded.filter(inside).select(*df.columns)
 
 
 def split_words(

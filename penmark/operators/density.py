@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from penmark.constants import SEED
 from penmark.operators.cleaning import filter_finite_positive, value_counts
 from penmark.operators.sampling import sample_per_class
+from penmark.session import materialise
 
 
 def _moments(counts: DataFrame, class_col: str, top: Column) -> DataFrame:
@@ -74,12 +75,12 @@ def class_density(
     The bandwidth is ``factor`` sample deviations. ``sample`` rows per class are used, as in the
     published plots; None takes all.
     """
-    data = filter_finite_positive(df, value_col)
+    rows = df.filter(F.col(class_col).isNotNull()).select(class_col, *ids, value_col)
+    # The values are computed from the texts once; sampling and moments reread them.
+    data = materialise(filter_finite_positive(rows, value_col), "density")
     if sample is not None:
         data = sample_per_class(data, sample, class_col, ids, seed=seed)
-    counts = value_counts(
-        data.filter(F.col(class_col).isNotNull()), [class_col], F.col(value_col)
-    )
+    counts = value_counts(data, [class_col], F.col(value_col))
     moments = _moments(counts, class_col, F.percentile("value", F.lit(clip), F.col("weight")))
     return _evaluate(
         counts,

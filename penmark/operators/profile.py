@@ -77,7 +77,7 @@ def length_table(lengths: DataFrame, by: Sequence[str]) -> DataFrame:
     """
     chars, sent = F.col("char_count"), F.col("avg_words_per_sentence")
     return (
-        lengths.filter(F.col("word_count").isNotNull())
+        lengths.filter(F.col("char_count").isNotNull())
         .groupBy(*by, F.col("word_count").alias("value"))
         .agg(
             F.count("*").alias("weight"),
