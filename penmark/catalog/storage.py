@@ -16,6 +16,7 @@ from penmark.catalog.profile import CLASS_SUMMARY, LENGTHS, lengths
 from penmark.catalog.registry import query
 from penmark.functions.hashing import hash_split
 from penmark.operators.profile import class_summary
+from penmark.plans import report
 from penmark.session import new_path
 from penmark.sources import corpus as corpora
 from penmark.sources import embeddings, runs
@@ -69,6 +70,28 @@ def write_summary_json(spark, sf):
     return spark.read.schema(summary.schema).json(path)
 
 
+@query(
+    "summary_document",
+    f"""WITH {CORPUS}, {LENGTHS}, s AS ({CLASS_SUMMARY})
+        SELECT (SELECT count(*) FROM lengths) AS total, generated_by, n, word_mean, word_median, word_std,
+               char_mean, sent_len_mean, (SELECT avg(word_count) FROM lengths) AS global_word_mean,
+               (SELECT count(*) FROM lengths WHERE split = 'train') AS train_rows
+        FROM s""",
+    doubles=["word_mean", "word_std", "char_mean", "sent_len_mean", "global_word_mean"],
+)
+def summary_document(spark, sf):
+    document = report.summary_document(lengths(spark, sf), "documents")
+    path = new_path(spark, "summary-document")
+    runs.write_summary_json(document, path)
+    saved = spark.read.schema(document.schema).json(path)
+    return saved.select(
+        "total",
+        F.col("global.word_count.mean").alias("global_word_mean"),
+        F.element_at("splits", "train").alias("train_rows"),
+        F.explode("per_class").alias("generated_by", "c"),
+    ).select("total", "global_word_mean", "train_rows", "generated_by", "c.*")
+
+
 @query(
     "append_run_log",
     f"""WITH {HISTORY} SELECT CAST(run AS varchar) AS run, epoch, loss, train_acc, val_acc, NULL::double AS test_accuracy
@@ -147,6 +170,21 @@ def read_run_results(spark, sf):
     return runs.run_scores(_run_results(spark, sf))
 
 
+@query(
+    "run_leaderboard",
+    f"""WITH {HISTORY}, {FLAGS},
+        h AS (SELECT CAST(run AS varchar) AS run, max(val_acc) AS best_val_acc,
+                     last(val_acc ORDER BY epoch) AS last_val_acc,
+                     last(train_acc ORDER BY epoch) - last(val_acc ORDER BY epoch) AS gap
+              FROM history GROUP BY 1),
+        t AS (SELECT run, avg(precision) AS test_accuracy FROM flags GROUP BY 1)
+        SELECT *, rank() OVER (ORDER BY test_accuracy DESC) AS rank FROM h JOIN t USING (run)""",
+    doubles=["test_accuracy", "best_val_acc", "last_val_acc", "gap"],
+)
+def run_leaderboard(spark, sf):
+    return runs.run_leaderboard(_run_results(spark, sf))
+
+
 @query(
     "run_class_metrics",
     f"WITH {FLAGS} SELECT run, class, precision, recall, precision AS f1, support FROM flags",

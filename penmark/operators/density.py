@@ -76,8 +76,8 @@ def class_density(
     published plots; None takes all.
     """
     rows = df.filter(F.col(class_col).isNotNull()).select(class_col, *ids, value_col)
-    # The values are computed from the texts once; sampling and moments reread them.
-    data = materialise(filter_finite_positive(rows, value_col), "density")
+    # Values are computed from the texts once, before any filter on them; the rest rereads them.
+    data = filter_finite_positive(materialise(rows, "density"), value_col)
     if sample is not None:
         data = sample_per_class(data, sample, class_col, ids, seed=seed)
     counts = value_counts(data, [class_col], F.col(value_col))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from penmark.functions import words as w
 from penmark.functions.tokens import alpha_tokens
-from penmark.operators.cleaning import filter_finite_positive, value_counts
+from penmark.operators.cleaning import value_counts
 
 def with_lengths(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Append the three length measures of every text."""
@@ -170,9 +170,11 @@ def length_percentiles(df: DataFrame) -> DataFrame:
     chars = value_counts(df, [], F.col("char_count")).agg(
         F.percentile("value", F.lit(0.99), weight).alias("q")
     )
-    sentences = value_counts(
-        filter_finite_positive(df, "avg_words_per_sentence"), [], F.col("avg_words_per_sentence")
-    ).agg(F.percentile("value", F.lit(0.99), weight).alias("q"))
+    x = F.col("value")
+    positive = F.when((x > 0) & (x < float("inf")), x)
+    sentences = value_counts(df, [], F.col("avg_words_per_sentence")).agg(
+        F.percentile(positive, F.lit(0.99), weight).alias("q")
+    )
     return words.select(
         F.get("q", F.lit(0)).alias("word_p99"),
         F.get("q", F.lit(1)).alias("word_p995"),

@@ -238,16 +238,16 @@ def number_rows(
     )
 
 
-def _count_up(df: DataFrame, count_col: str, out: str, block: int = SLOT_BLOCK) -> DataFrame:
+def _count_up(df: DataFrame, count_col: str, out: str) -> DataFrame:
     """Repeat each row ``count_col`` times, numbered from 0 in ``out``.
 
     Two steps keep every generated array short, whatever the count is.
     """
     others = [c for c in df.columns if c != count_col]
     n = F.col(count_col).cast("bigint")
-    blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / block))
-    start = F.col("_block") * block
-    end = F.least(start + block, F.col(count_col).cast("bigint")) - 1
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / SLOT_BLOCK))
+    start = F.col("_block") * SLOT_BLOCK
+    end = F.least(start + SLOT_BLOCK, F.col(count_col).cast("bigint")) - 1
     return (
         df.filter(n > 0)
         .select(*others, count_col, F.explode(blocks).alias("_block"))

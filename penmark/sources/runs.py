@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from penmark.operators.evaluation import rank_runs
+
 # Schema of one run result. It is explicit because inference would turn class names into fields.
 RUN_SCHEMA = T.StructType(
     [
@@ -107,6 +109,22 @@ def run_scores(results: DataFrame) -> DataFrame:
     )
 
 
+def run_leaderboard(results: DataFrame) -> DataFrame:
+    """(run, test_accuracy, best_val_acc, last_val_acc, gap, rank) from the results alone.
+
+    The gap is last training minus last validation accuracy; ranks follow the test accuracy.
+    """
+    last = F.element_at("training_history", -1)
+    board = results.select(
+        "run",
+        F.col("test_stats.test_accuracy").alias("test_accuracy"),
+        "best_val_acc",
+        last["val_acc"].alias("last_val_acc"),
+        (last["train_acc"] - last["val_acc"]).alias("gap"),
+    )
+    return rank_runs(board, "test_accuracy")
+
+
 def run_class_metrics(results: DataFrame) -> DataFrame:
     """(run, class, precision, recall, f1, support) from the per-class map."""
     return results.select(
