@@ -150,17 +150,58 @@ def best_epoch(history: DataFrame, run: Sequence[str] = ("run",)) -> DataFrame:
     )
 
 
+EPOCH_BLOCK = 4096
+
+
+def _with_best(history: DataFrame, score: Column, run: Sequence[str]) -> DataFrame:
+    """Append ``_no``, the number of the epoch within its run, and ``_best``, the lowest score
+    so far as (score, epoch, no), which names the first epoch that reached it.
+
+    Epochs are scanned in blocks that then carry the result of earlier blocks, so a very long
+    run spreads over many tasks.
+    """
+    block = Window.partitionBy(*run, "_block").orderBy("epoch")
+    rows = (
+        history.withColumn("_block", F.floor(F.col("epoch") / EPOCH_BLOCK))
+        .withColumn("_score", score)
+        .withColumn("_in", F.row_number().over(block).cast("bigint"))
+    )
+    earlier = (
+        Window.partitionBy(*run).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    lowest = F.col("_lowest")
+    carried = (
+        rows.groupBy(*run, "_block")
+        .agg(F.count("*").alias("_n"), F.min(F.struct("_score", "epoch", "_in")).alias("_lowest"))
+        .withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .withColumn(
+            "_lowest",
+            F.struct(
+                lowest["_score"].alias("_score"),
+                lowest["epoch"].alias("epoch"),
+                (lowest["_in"] + F.col("_offset")).alias("_no"),
+            ),
+        )
+        .select(*run, "_block", "_offset", F.min("_lowest").over(earlier).alias("_carried"))
+    )
+    so_far = block.rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        rows.join(carried, [*run, "_block"])
+        .withColumn("_no", F.col("_in") + F.col("_offset"))
+        .withColumn(
+            "_best",
+            F.least("_carried", F.min(F.struct("_score", "epoch", "_no")).over(so_far)),
+        )
+    )
+
+
 def running_best(history: DataFrame, run: Sequence[str] = ("run",)) -> DataFrame:
     """Append the best validation accuracy so far and whether the epoch improved on it."""
-    window = Window.partitionBy(*run).orderBy("epoch")
-    so_far = window.rowsBetween(Window.unboundedPreceding, 0)
-    before = window.rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.max("val_acc").over(before)
-    return history.withColumns(
-        {
-            "best_so_far": F.max("val_acc").over(so_far),
-            "improved": earlier.isNull() | (F.col("val_acc") > earlier),
-        }
+    best = F.col("_best")
+    return _with_best(history, -F.col("val_acc"), run).select(
+        *history.columns,
+        (-best["_score"]).alias("best_so_far"),
+        (best["epoch"] == F.col("epoch")).alias("improved"),
     )
 
 
@@ -176,27 +217,21 @@ def early_stop_epoch(
     A run that never waits that long ends at its last epoch.
     """
     score = F.col(metric) if mode == "min" else -F.col(metric)
-    window = Window.partitionBy(*run).orderBy("epoch")
-    earlier = F.min("_score").over(window.rowsBetween(Window.unboundedPreceding, -1))
-    last_gain = F.max(F.when(F.col("_gain"), F.col("_no"))).over(
-        window.rowsBetween(Window.unboundedPreceding, 0)
-    )
-    marked = (
-        history.withColumn("_score", score)
-        .withColumn("_no", F.row_number().over(window))
-        .withColumn("_gain", earlier.isNull() | (F.col("_score") < earlier))
-        .withColumn("_wait", F.col("_no") - last_gain)
-    )
-    stop = F.min(F.when(F.col("_wait") >= patience, F.col("epoch"))).over(
-        Window.partitionBy(*run)
-    )
-    seen = marked.withColumn("_stop", stop).filter(
-        F.col("_stop").isNull() | (F.col("epoch") <= F.col("_stop"))
-    )
-    return seen.groupBy(*run).agg(
-        F.max("epoch").alias("stop_epoch"),
-        F.max(F.when(F.col("_gain"), F.col("epoch"))).alias("restore_epoch"),
-        F.max(F.col("_stop").isNotNull()).alias("stopped_early"),
+    best, epoch = F.col("_best"), F.col("epoch")
+    waited = F.col("_no") - best["_no"] >= patience
+    return (
+        _with_best(history, score, run)
+        .groupBy(*run)
+        .agg(
+            F.min(F.when(waited, F.struct(epoch, best["epoch"].alias("best")))).alias("_stop"),
+            F.max(F.struct(epoch, best["epoch"].alias("best"))).alias("_last"),
+        )
+        .select(
+            *run,
+            F.coalesce("_stop", "_last")["epoch"].alias("stop_epoch"),
+            F.coalesce("_stop", "_last")["best"].alias("restore_epoch"),
+            F.col("_stop").isNotNull().alias("stopped_early"),
+        )
     )
 
 

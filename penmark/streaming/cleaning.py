@@ -21,12 +21,15 @@ def clean_stream(
     max_words: int = MAX_WORDS,
     delay: str = "7 days",
     within: Sequence[str] = (),
+    salts: int = 16,
 ) -> DataFrame:
     """Clean, truncate, deduplicate and measure each arriving text.
 
     Deduplication remembers 32 bytes per text until the watermark passes, so equal texts are
-    recognised when they arrive within ``delay`` of each other. Class balancing and quartiles
-    need a finished table and exist as batch operators only.
+    recognised when they arrive within ``delay`` of each other. It runs twice, first per text
+    and salt, then per text: the copies of a very frequent text meet in ``salts`` tasks, each
+    of which lets one through. Class balancing and quartiles need a finished table and exist as
+    batch operators only.
     """
     cleaned = clean_text(texts, noise).withColumn(
         "text", w.truncate_words(F.col("text"), max_words)
@@ -34,7 +37,9 @@ def clean_stream(
     unique = (
         cleaned.withWatermark(time_col, delay)
         .withColumn("_key", F.coalesce(text_key("text"), F.unhex(F.lit(""))))
+        .withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+        .dropDuplicatesWithinWatermark(["_key", "_salt", *within])
         .dropDuplicatesWithinWatermark(["_key", *within])
-        .drop("_key")
+        .drop("_key", "_salt")
     )
     return with_lengths(unique)

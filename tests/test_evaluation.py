@@ -73,6 +73,15 @@ def test_early_stop(history):
     assert rows == {"stops": (4, 2, True), "runs on": (3, 3, False)}
 
 
+@pytest.mark.parametrize("block", [1, 2, 3])
+def test_long_runs_scan_in_blocks(history, monkeypatch, block):
+    whole = sorted(map(tuple, evaluation.running_best(history).collect()))
+    stops = sorted(map(tuple, evaluation.early_stop_epoch(history).collect()))
+    monkeypatch.setattr(evaluation, "EPOCH_BLOCK", block)
+    assert sorted(map(tuple, evaluation.running_best(history).collect())) == whole
+    assert sorted(map(tuple, evaluation.early_stop_epoch(history).collect())) == stops
+
+
 def test_ranks_share_and_skip(spark):
     board = spark.createDataFrame(
         [("a", 0.5), ("b", 0.9), ("c", 0.5), ("d", 0.50001), ("e", 0.1)],
