@@ -9,18 +9,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SMALL_TABLE_ROWS = 100_000
 
 
+def fetch_table(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> pa.Table | None:
+    """The rows of ``df`` as an Arrow table if there are at most ``limit``, else None."""
+    table = df.limit(limit + 1).toArrow()
+    return table if table.num_rows <= limit else None
+
+
 def fetch_small(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFrame | None:
     """``df`` as a local table if it has at most ``limit`` rows, else None."""
-    table = df.limit(limit + 1).toArrow()
-    if table.num_rows > limit:
-        return None
-    return df.sparkSession.createDataFrame(table, schema=df.schema)
+    table = fetch_table(df, limit)
+    return None if table is None else df.sparkSession.createDataFrame(table, schema=df.schema)
 
 
 def attach(

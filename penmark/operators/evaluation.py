@@ -162,7 +162,8 @@ def _with_best(history: DataFrame, score: Column, run: Sequence[str]) -> DataFra
     """
     block = Window.partitionBy(*run, "_block").orderBy("epoch")
     rows = (
-        history.withColumn("_block", F.floor(F.col("epoch") / EPOCH_BLOCK))
+        # Not nullable, so that both uses of this table keep the same plan and share a shuffle.
+        history.withColumn("_block", F.coalesce(F.floor(F.col("epoch") / EPOCH_BLOCK), F.lit(0)))
         .withColumn("_score", score)
         .withColumn("_in", F.row_number().over(block).cast("bigint"))
     )

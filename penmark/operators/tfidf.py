@@ -8,12 +8,14 @@ bounded by ``max_features`` and is held as a local table, the parameters of the
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from penmark.bounded import fetch_small
+from penmark.bounded import SMALL_TABLE_ROWS, fetch_table
 from penmark.functions.tokens import ngrams, positions, vectoriser_tokens
 
 
@@ -81,38 +83,96 @@ def term_counts(
     )
 
 
-def tfidf_vocabulary(
-    df: DataFrame, config: TfidfConfig, text_col: str = "text"
+def _term_stats(
+    df: DataFrame,
+    config: TfidfConfig,
+    lengths: tuple[int, int],
+    text_col: str,
+    shorter: DataFrame | None,
 ) -> DataFrame:
-    """(term, tf, df) of the ``max_features`` most frequent terms in ``min_df`` documents or more.
+    """(term, tf, df) of the n-grams of some lengths that are in ``min_df`` documents or more.
 
-    Ties go to the alphabetically first term. The lowest frequency that still belongs is found
-    from the histogram of frequencies, so only about ``max_features`` terms reach the last sort.
+    ``shorter`` holds the frequent terms of one token less; an n-gram can be frequent only if
+    its first and its last n-1 tokens are, and any other is dropped before the shuffle.
     """
-    stats = (
-        term_counts(df, config, [], text_col)
-        .groupBy("term")
+    counts = term_counts(df, replace(config, ngram_range=lengths), [], text_col)
+    if shorter is not None:
+        known = F.broadcast(shorter.select(F.col("term").alias("_part")))
+        size = lengths[0] - 1
+        for part in (F.substring_index("term", " ", size), F.substring_index("term", " ", -size)):
+            counts = counts.join(known, part == F.col("_part"), "left_semi")
+    return (
+        counts.groupBy("term")
         .agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
         .filter(F.col("df") >= config.min_df)
     )
+
+
+def _lowest_kept(stats: DataFrame, features: int):
+    """The frequency of the ``features``-th most frequent term, from the histogram of frequencies.
+
+    There are far fewer frequencies than terms: with N tokens at most about the root of 2N.
+    """
     above = (
         Window.partitionBy(F.lit(0))
         .orderBy(F.desc("tf"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    lowest = (
+    return (
         stats.groupBy("tf")
         .agg(F.count("df").alias("terms"))
         .withColumn("above", F.coalesce(F.sum("terms").over(above), F.lit(0)))
-        .filter(F.col("above") < config.max_features)
+        .filter(F.col("above") < features)
         .agg(F.min("tf"))
         .scalar()
     )
-    return (
-        stats.filter(F.col("tf") >= lowest)
-        .orderBy(F.desc("tf"), "term")
-        .limit(config.max_features)
-    )
+
+
+def _fetch_terms(stats: DataFrame, features: int) -> tuple[pa.Table, bool]:
+    """The most frequent terms, and whether all with the lowest of their frequencies are there.
+
+    Ties at the lowest frequency come along if they are not too many; otherwise the first terms
+    in the alphabet do.
+    """
+    tied = stats.filter(F.col("tf") >= _lowest_kept(stats, features))
+    table = fetch_table(tied, max(2 * features, SMALL_TABLE_ROWS))
+    if table is not None:
+        return table, True
+    return stats.orderBy(F.desc("tf"), "term").limit(features).toArrow(), False
+
+
+def _vocabulary_table(df: DataFrame, config: TfidfConfig, text_col: str) -> pa.Table:
+    low, high = config.ngram_range
+    order = [("tf", "descending"), ("term", "ascending")]
+    rounds = [(low, min(low + 1, high)), *[(n, n) for n in range(low + 2, high + 1)]]
+    best, lowest, shorter = None, 1, None
+    for lengths in rounds:
+        stats = _term_stats(df, config, lengths, text_col, shorter)
+        level, complete = _fetch_terms(stats.filter(F.col("tf") >= lowest), config.max_features)
+        merged = level if best is None else pa.concat_tables([best, level])
+        best = merged.sort_by(order).slice(0, config.max_features)
+        full = best.num_rows == config.max_features
+        lowest = best.column("tf")[-1].as_py() if full else 1
+        shorter = None
+        if complete and lengths != rounds[-1]:
+            blanks = F.length("term") - F.length(F.replace("term", F.lit(" "), F.lit("")))
+            shorter = df.sparkSession.createDataFrame(level, schema=stats.schema).filter(
+                (F.col("tf") >= lowest) & (blanks == lengths[1] - 1)
+            )
+    return best
+
+
+def tfidf_vocabulary(
+    df: DataFrame, config: TfidfConfig, text_col: str = "text"
+) -> DataFrame:
+    """(term, tf, df) of the ``max_features`` most frequent terms in ``min_df`` documents or more.
+
+    Ties go to the alphabetically first term. The two shortest lengths are counted together and
+    every further one on its own: the terms found so far give a lowest frequency that longer
+    terms must reach, and the frequent terms of one length tell which of the next can reach it.
+    Rare long n-grams, by far the most of all terms, are thus never shuffled. The result is exact.
+    """
+    return df.sparkSession.createDataFrame(_vocabulary_table(df, config, text_col))
 
 
 @dataclass
@@ -154,18 +214,18 @@ class TfidfModel:
 def tfidf_fit(df: DataFrame, config: TfidfConfig, text_col: str = "text") -> TfidfModel:
     """Fit vocabulary and smoothed idf; term ids are alphabetical positions."""
     documents = df.count()
-    local = fetch_small(tfidf_vocabulary(df, config, text_col), config.max_features)
-    order = Window.partitionBy(F.lit(0)).orderBy("term")
-    vocabulary = fetch_small(
-        local.select(
-            "term",
-            (F.row_number().over(order) - 1).alias("term_id"),
-            "tf",
-            "df",
-            (F.log((1.0 + documents) / (1.0 + F.col("df"))) + 1.0).alias("idf"),
-        ),
-        config.max_features,
-    )
+    table = _vocabulary_table(df, config, text_col).sort_by("term")
+    frequency = table.column("df").to_numpy()
+    idf = np.log((1.0 + documents) / (1.0 + frequency)) + 1.0
+    columns = {
+        "term": table.column("term"),
+        "term_id": pa.array(np.arange(table.num_rows, dtype="int32")),
+        "tf": table.column("tf"),
+        "df": table.column("df"),
+        "idf": pa.array(idf),
+    }
+    schema = "term string, term_id int, tf long, df long, idf double"
+    vocabulary = df.sparkSession.createDataFrame(pa.table(columns), schema=schema)
     return TfidfModel(config, vocabulary, documents)
 
 

@@ -72,6 +72,25 @@ def test_weights_match(texts, config):
         assert got[key] == pytest.approx(value)
 
 
+@pytest.mark.parametrize("limit", [None, 0])
+@pytest.mark.parametrize("features, min_df", [(8, 1), (25, 1), (25, 3), (10_000, 1)])
+def test_length_by_length_vocabulary_is_exact(texts, monkeypatch, features, min_df, limit):
+    """Few words, so that long n-grams compete with short ones and many terms tie."""
+    import random
+
+    random.seed(features + min_df)
+    docs = [
+        " ".join(random.choices(["aa", "bb", "cc", "dd"], [8, 4, 2, 1], k=random.randint(0, 14)))
+        for _ in range(40)
+    ]
+    if limit is not None:
+        # Too many ties to fetch: further lengths are then counted without pruning.
+        monkeypatch.setattr(tfidf, "fetch_table", lambda df, n: None)
+    config = TfidfConfig(features, (1, 4), min_df=min_df)
+    got = [r["term"] for r in tfidf.tfidf_vocabulary(texts(docs), config).collect()]
+    assert sorted(got) == brute(docs, config)[0]
+
+
 def test_unknown_text_has_no_rows(texts):
     model = tfidf.tfidf_fit(texts(["alpha beta"]), TfidfConfig(10))
     assert model.transform(texts(["gamma", "alpha"])).count() == 1
