@@ -8,7 +8,7 @@ from penmark.catalog.fixtures import CORPUS, corpus
 from penmark.catalog.profile import sql_sample
 from penmark.catalog.registry import query
 from penmark.catalog.text import sql_list, stylometric_sql
-from penmark.constants import STYLE_FEATURES, STYLE_STOPWORDS
+from penmark.constants import STYLE_FEATURES, STYLE_STOPWORDS, TERM_SAMPLE
 from penmark.functions.style import stylometric_features
 from penmark.operators import labels, sampling, scaling, tfidf, tokenids
 
@@ -34,13 +34,13 @@ def encode_labels(spark, sf):
 
 @query(
     "decode_labels",
-    f"""WITH {CORPUS}, {LABEL_MAP} SELECT doc_id, (doc_id % 5)::integer AS label_id, label
-        FROM corpus LEFT JOIN label_map ON label_id = doc_id % 5""",
+    f"""WITH {CORPUS}, {LABEL_MAP} SELECT doc_id, label_id, label
+        FROM corpus JOIN label_map ON generated_by = label""",
 )
 def decode_labels(spark, sf):
     mapping = labels.label_map(train_rows(spark, sf))
-    ids = corpus(spark, sf, spread=False).select("doc_id", (F.col("doc_id") % 5).cast("int").alias("label_id"))
-    return labels.decode_labels(ids, mapping)
+    coded = labels.encode_labels(corpus(spark, sf, spread=False), mapping)
+    return labels.decode_labels(coded.select("doc_id", "label_id"), mapping)
 
 
 def sql_tokens(stop_words=()) -> str:
@@ -150,7 +150,7 @@ def tfidf_transform(spark, sf):
     doubles=["mean_tfidf"],
 )
 def top_terms(spark, sf):
-    sample = sampling.sample_per_class(corpus(spark, sf), 5000)
+    sample = sampling.sample_per_class(corpus(spark, sf), TERM_SAMPLE)
     config = tfidf.TfidfConfig(
         20_000, (1, 2), min_df=5, stop_words=tuple(STYLE_STOPWORDS), sublinear_tf=True
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from penmark.catalog.fixtures import CORPUS, corpus, sql_hash, sql_words
 from penmark.catalog.registry import query, register
 from penmark.catalog.text import ALPHA, AVG_SENT, sql_count_chars
-from penmark.constants import DENSITY_PUNCTUATION
+from penmark.constants import DENSITY_PUNCTUATION, TERM_SAMPLE
 from penmark.functions.style import punctuation_density
 from penmark.functions.words import word_count
 from penmark.operators import density, profile, sampling
@@ -134,7 +134,7 @@ VOCAB = f"""(SELECT generated_by, count(DISTINCT word) AS vocab FROM (
 
 
 def vocabulary(spark, sf):
-    return profile.vocab_size(sampling.sample_per_class(corpus(spark, sf), 5000))
+    return profile.vocab_size(sampling.sample_per_class(corpus(spark, sf), TERM_SAMPLE))
 
 
 @query("vocab_size", f"WITH {CORPUS} SELECT * FROM {VOCAB}")
@@ -208,7 +208,7 @@ _register_density("class_density_sentences", "avg_words_per_sentence", "avg_word
     doubles=["x", "density"],
 )
 def class_density_punctuation(spark, sf):
-    heads = sampling.head_per_class(corpus(spark, sf), 5000)
+    heads = sampling.head_per_class(corpus(spark, sf), TERM_SAMPLE)
     measured = heads.withColumn("punctuation", punctuation_density(F.col("text"))).drop("text")
     return density.class_density(measured, "punctuation")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from penmark.catalog.fixtures import CORPUS, corpus, sql_hash, sql_words
 from penmark.catalog.registry import query, register
 from penmark.catalog.text import SPLIT_ROWS, sql_padded, sql_truncated

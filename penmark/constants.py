@@ -43,12 +43,23 @@ STYLE_STOPWORDS = (
 # Fixed hedge-word list of the stylometric features.
 HEDGE_WORDS = "perhaps maybe might could possibly likely somewhat generally often".split()
 
-# Fixed literals of the cleaning steps.
+# Fixed patterns and literals of the cleaning steps.
+TAG_PATTERN = "<[^<>]*>"
+URL_PATTERN = r"http[^ ]+|www\.[^ ]+"
 PAD_WORD = "<PAD>"
 MAX_WORDS = 500
 BALANCED_MAX_WORDS = 300
 SEED = 42
 
+# Fixed settings of the published profiles.
+DENSITY_SAMPLE = 3000
+DENSITY_FACTOR = 0.3
+DENSITY_POINTS = 300
+DENSITY_CLIP = 0.99
+LENGTH_DENSITY_POINTS = 1000
+TERM_SAMPLE = 5000
+TOP_TERMS = 15
+
 # Denominator guard of the stylometric ratios.
 EPSILON = 1e-8
 

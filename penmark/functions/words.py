@@ -10,7 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from penmark.constants import BLANK_CLASS, MAX_WORDS, PAD_WORD, WHITESPACE
+from penmark.constants import (
+    BLANK_CLASS,
+    MAX_WORDS,
+    PAD_WORD,
+    TAG_PATTERN,
+    URL_PATTERN,
+    WHITESPACE,
+)
 
 
 def plain_blanks(text: Column) -> Column:
@@ -57,8 +64,8 @@ def word_chunks(words_col: Column, n: int = MAX_WORDS) -> Column:
 
 def clean_noise(text: Column) -> Column:
     """Remove tags, then web addresses, then collapse blanks and trim."""
-    no_tags = F.regexp_replace(plain_blanks(text), "<[^<>]*>", "")
-    no_urls = F.regexp_replace(no_tags, r"http[^ ]+|www\.[^ ]+", "")
+    no_tags = F.regexp_replace(plain_blanks(text), TAG_PATTERN, "")
+    no_urls = F.regexp_replace(no_tags, URL_PATTERN, "")
     return F.trim(F.regexp_replace(no_urls, " +", " "))
 
 

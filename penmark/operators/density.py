@@ -9,7 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from penmark.constants import SEED
+from penmark.constants import (
+    DENSITY_CLIP,
+    DENSITY_FACTOR,
+    DENSITY_POINTS,
+    DENSITY_SAMPLE,
+    LENGTH_DENSITY_POINTS,
+    SEED,
+)
 from penmark.operators.cleaning import filter_finite_positive, value_counts
 from penmark.operators.sampling import sample_per_class
 from penmark.session import materialise
@@ -64,10 +71,10 @@ def class_density(
     value_col: str,
     class_col: str = "generated_by",
     ids: tuple[str, ...] = ("doc_id",),
-    sample: int | None = 3000,
-    factor: float = 0.3,
-    points: int = 300,
-    clip: float = 0.99,
+    sample: int | None = DENSITY_SAMPLE,
+    factor: float = DENSITY_FACTOR,
+    points: int = DENSITY_POINTS,
+    clip: float = DENSITY_CLIP,
     seed: int = SEED,
 ) -> DataFrame:
     """Density of a positive measure from the minimum to a high percentile of each class.
@@ -94,7 +101,7 @@ def class_density(
 
 
 def length_density(
-    df: DataFrame, value_col: str, class_col: str = "generated_by", points: int = 1000
+    df: DataFrame, value_col: str, class_col: str = "generated_by", points: int = LENGTH_DENSITY_POINTS
 ) -> DataFrame:
     """Density over all rows: Scott bandwidth, grid half a range beyond both ends."""
     counts = value_counts(df.filter(F.col(class_col).isNotNull()), [class_col], F.col(value_col))

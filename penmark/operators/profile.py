@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penmark.functions import words as w
 from penmark.functions.tokens import alpha_tokens
 from penmark.operators.cleaning import value_counts
+from penmark.session import materialise
+
 
 def with_lengths(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Append the three length measures of every text."""
@@ -161,6 +164,50 @@ def class_mean_sem(
     )
 
 
+PERCENTILE_INTERVALS = 50_000
+
+
+def continuous_percentile(df: DataFrame, value: str, share: float) -> float | None:
+    """The exact percentile, linearly interpolated, of the positive finite values of a column.
+
+    Unlike counts, a continuous measure can have about as many values as rows. Values are counted
+    per interval, of which there are at most ``PERCENTILE_INTERVALS``, to find the interval of the
+    wanted rank, and only the values in it are ranked. ``df`` is read three times.
+    """
+    x = F.col(value)
+    positive = F.when((x > 0) & (x < float("inf")), x)
+    top = df.agg(F.max(positive).alias("top")).first()["top"]
+    if top is None:
+        return None
+    width = max(1.0, top / PERCENTILE_INTERVALS)
+    counts = value_counts(df, [], positive).filter(F.col("weight") > 0)
+    unit = F.floor(F.col("value") / width)
+    units = counts.groupBy(unit.alias("unit")).agg(F.sum("weight").alias("n")).toArrow()
+    units = units.sort_by("unit")
+    upto = np.cumsum(units.column("n").to_numpy())
+    place = share * (int(upto[-1]) - 1)
+    low = int(place)
+    ranks = (low, min(low + 1, int(upto[-1]) - 1))
+    homes = np.searchsorted(upto, ranks, side="right")
+    names = units.column("unit").to_numpy()[homes]
+    below = [int(upto[home - 1]) if home else 0 for home in homes]
+    before = F.when(unit == int(names[0]), below[0]).otherwise(below[1])
+    up_to = Window.partitionBy("_unit").orderBy("value")
+    found = (
+        counts.filter(unit.isin(*{int(n) for n in names}))
+        .withColumn("_unit", unit)
+        .withColumn("_seen", F.sum("weight").over(up_to) + before)
+        .agg(
+            *[
+                F.min(F.when(F.col("_seen") > rank, F.col("value"))).alias(f"v{i}")
+                for i, rank in enumerate(ranks)
+            ]
+        )
+        .first()
+    )
+    return found["v0"] + (found["v1"] - found["v0"]) * (place - low)
+
+
 def length_percentiles(df: DataFrame) -> DataFrame:
     """Axis limits of the length plots; ``df`` carries the columns of ``with_lengths``."""
     weight = F.col("weight")
@@ -170,16 +217,15 @@ def length_percentiles(df: DataFrame) -> DataFrame:
     chars = value_counts(df, [], F.col("char_count")).agg(
         F.percentile("value", F.lit(0.99), weight).alias("q")
     )
-    x = F.col("value")
-    positive = F.when((x > 0) & (x < float("inf")), x)
-    sentences = value_counts(df, [], F.col("avg_words_per_sentence")).agg(
-        F.percentile(positive, F.lit(0.99), weight).alias("q")
-    )
+    # Sentence means are materialised because finding their percentile reads them repeatedly.
+    sentences = materialise(df.select("avg_words_per_sentence"), "sentence-means")
     return words.select(
         F.get("q", F.lit(0)).alias("word_p99"),
         F.get("q", F.lit(1)).alias("word_p995"),
         chars.scalar().alias("char_p99"),
-        sentences.scalar().alias("sent_len_p99"),
+        F.lit(continuous_percentile(sentences, "avg_words_per_sentence", 0.99))
+        .cast("double")
+        .alias("sent_len_p99"),
     )
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from penmark.bounded import SMALL_TABLE_ROWS, fetch_table
+from penmark.constants import TOP_TERMS
 from penmark.functions.tokens import ngrams, positions, vectoriser_tokens
 
 
@@ -242,7 +243,7 @@ def tfidf_fit_transform(
 def top_terms(
     df: DataFrame,
     config: TfidfConfig,
-    k: int = 15,
+    k: int = TOP_TERMS,
     class_col: str = "generated_by",
     ids: Sequence[str] = ("doc_id",),
     text_col: str = "text",

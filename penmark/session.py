@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+# Temporary folders of local sessions without a configured one, by application.
+_local_dirs: dict[str, str] = {}
+
 
 def build_session(app: str = "penmark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on; ``master`` is left to the launcher unless given."""
@@ -38,8 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not configured:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="penmark-")
-        spark.conf.set(CHECKPOINT_CONF, configured)
+        application = spark.sparkContext.applicationId
+        if application not in _local_dirs:
+            _local_dirs[application] = tempfile.mkdtemp(prefix="penmark-")
+        configured = _local_dirs[application]
     return configured.rstrip("/")
 
 

@@ -66,6 +66,18 @@ def test_percentiles(corpus):
     assert row["word_p995"] == pytest.approx(np.percentile(x, 99.5))
 
 
+@pytest.mark.parametrize("intervals", [50_000, 3])
+def test_continuous_percentile_is_exact(spark, monkeypatch, intervals):
+    monkeypatch.setattr(profile, "PERCENTILE_INTERVALS", intervals)
+    rng = np.random.default_rng(3)
+    x = [float(v) for v in rng.gamma(2.0, 3.0, size=500)] + [7.0] * 100
+    df = spark.createDataFrame([(v,) for v in x] + [(None,), (0.0,), (float("inf"),)], "v double")
+    for share in (0.0, 0.25, 0.5, 0.99, 1.0):
+        got = profile.continuous_percentile(df, "v", share)
+        assert got == pytest.approx(np.percentile(x, 100 * share))
+    assert profile.continuous_percentile(df.filter("v is null"), "v", 0.5) is None
+
+
 def test_density_matches_numpy_and_integrates(corpus):
     measured = profile.with_lengths(corpus)
     rows = density.class_density(measured, "word_count", points=50).collect()
@@ -98,6 +110,8 @@ def test_labels_roundtrip_and_unseen(corpus, spark):
     coded = labels.encode_labels(corpus, mapping)
     back = labels.decode_labels(coded, mapping)
     assert back.filter(~F.col("label").eqNullSafe(F.col("generated_by"))).count() == 0
+    unknown = labels.decode_labels(spark.createDataFrame([(9,)], "label_id int"), mapping)
+    assert unknown.first()["label"] is None
     other = spark.createDataFrame([(1, "zzz")], "doc_id long, generated_by string")
     with pytest.raises(Exception, match="unseen label: zzz"):
         labels.encode_labels(other, mapping).collect()
