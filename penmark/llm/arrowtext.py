@@ -77,3 +77,20 @@ def gather_runs(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     """values[s : s + n] for every run (s, n), back to back."""
     shift = starts - (np.cumsum(lengths) - lengths)
     return values[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))]
+
+
+# Texts that a worker takes apart at a time, so that its memory does not follow the Arrow batch.
+SLICE_BYTES = 8 << 20
+
+
+def row_slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES):
+    """The batch in runs of rows whose texts have about ``limit`` bytes; a longer text is a run."""
+    if not len(batch):
+        return
+    _, bounds = text_bytes(batch.column(column))
+    start = 0
+    while start < len(batch):
+        end = int(np.searchsorted(bounds, bounds[start] + limit, "right")) - 1
+        end = min(max(end, start + 1), len(batch))
+        yield batch.slice(start, end - start)
+        start = end

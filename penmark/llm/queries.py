@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from penmark.llm import mixing
 from penmark.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +52,41 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
     )
+
+
+@query("op6_bitsliced_near_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from penmark.llm.bitsliced import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_ego_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from penmark.llm.egojoin import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_hyperdimensional_language")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from penmark.llm.hdlang import identify_held_out
+
+    return identify_held_out(table(spark, sf_dir, "documents"))
+
+
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from penmark.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))
+
+
+QUERIES["op4_weighted_fair_mix"] = _op4
+ORACLES["op4_weighted_fair_mix"] = mixing.SQL
+
+
+@query("op5_simhash_fingerprints")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from penmark.llm.simhash import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
