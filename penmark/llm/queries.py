@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penmark.llm import mixing
+from penmark.llm import licenses, mixing
 from penmark.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from penmark.llm.simhash import edited_fingerprints
 
     return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op1_surrogates")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from penmark.llm.surrogates import replace_entities
+
+    return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op8_license_rules", licenses.SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
