@@ -102,3 +102,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_license_rules", licenses.SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op7_hashed_maxent")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from penmark.llm.maxent import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
