@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from penmark.llm.arrowtext import row_slices, split_words
 from penmark.llm.components import connected_components
@@ -321,7 +322,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` with the least doc_id of each group, one row for each group."""
     names = docs.columns
-    fields = docs.schema.add("_fp", "long")
+    fields = StructType([*docs.schema.fields, StructField("_fp", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = names.index("text")
