@@ -28,7 +28,7 @@ def train_rows(spark, sf):
 )
 def encode_labels(spark, sf):
     mapping = labels.label_map(train_rows(spark, sf))
-    encoded = labels.encode_labels(corpus(spark, sf, spread=False), mapping)
+    encoded = labels.encode_labels(corpus(spark, sf), mapping)
     return encoded.select("doc_id", "generated_by", "label_id")
 
 
@@ -39,7 +39,7 @@ def encode_labels(spark, sf):
 )
 def decode_labels(spark, sf):
     mapping = labels.label_map(train_rows(spark, sf))
-    coded = labels.encode_labels(corpus(spark, sf, spread=False), mapping)
+    coded = labels.encode_labels(corpus(spark, sf), mapping)
     return labels.decode_labels(coded.select("doc_id", "label_id"), mapping)
 
 

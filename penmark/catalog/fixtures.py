@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from penmark.constants import BLANK_CLASS
 from penmark.functions.hashing import hash_split
 from penmark.operators.evaluation import softmax
-from penmark.sources.corpus import spread_local
 
 WORD_RE = f"[^{BLANK_CLASS}]+"
 
@@ -35,13 +34,10 @@ def sql_words(text: str = "text") -> str:
     return f"regexp_extract_all({text}, '{WORD_RE}')"
 
 
-def corpus(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
-    """documents as a labelled corpus: language is the class, the split comes from a hash.
-
-    ``spread`` shares a small local file out over the cores, for queries that work on texts.
-    """
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as a labelled corpus: language is the class, the split comes from a hash."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return (spread_local(documents) if spread else documents).select(
+    return documents.select(
         "doc_id",
         "text",
         F.col("lang").alias("generated_by"),

@@ -26,7 +26,7 @@ from penmark.sources import embeddings, runs
 def load_splits(spark, sf):
     root = new_path(spark, "splits")
     for split in corpora.SPLITS:
-        part = corpus(spark, sf, spread=False).filter(F.col("split") == split)
+        part = corpus(spark, sf).filter(F.col("split") == split)
         part.select("doc_id", "text", "generated_by").write.parquet(f"{root}/{split}")
     return corpora.load_splits(spark, root, columns=["doc_id", "text", "generated_by"])
 
@@ -38,24 +38,26 @@ def select_columns(spark, sf):
 
 @query("harmonise_schema", "SELECT doc_id, text, lang AS generated_by FROM documents")
 def harmonise_schema(spark, sf):
-    large = corpus(spark, sf, spread=False).withColumnsRenamed({"text": "generation", "generated_by": "model"})
+    large = corpus(spark, sf).withColumnsRenamed({"text": "generation", "generated_by": "model"})
     return corpora.harmonise_schema(large, keep=["doc_id"])
 
 
 @query(
     "union_splits",
-    f"WITH {CORPUS} SELECT doc_id, generated_by, split FROM corpus WHERE split IN ('val', 'test')",
+    f"WITH {CORPUS} SELECT doc_id, generated_by, split FROM corpus",
 )
 def union_splits(spark, sf):
-    rows = corpus(spark, sf, spread=False).select("doc_id", "generated_by", "split")
-    return corpora.union_splits([rows.filter(F.col("split") == s) for s in ("val", "test")])
+    rows = corpus(spark, sf).select("doc_id", "generated_by", "split")
+    return corpora.union_splits([rows.filter(F.col("split") == s) for s in corpora.SPLITS])
 
 
-@query("write_corpus", f"WITH {CORPUS} SELECT doc_id, text, generated_by FROM corpus WHERE split = 'test'")
-def write_corpus(spark, sf, spread=False):
+@query("write_corpus", f"WITH {CORPUS} SELECT doc_id, text, generated_by, split FROM corpus")
+def write_corpus(spark, sf):
     path = new_path(spark, "corpus")
-    corpora.write_corpus(corpus(spark, sf, spread=False).drop("source"), path)
-    return corpora.load_corpus(spark, path).filter(F.col("split") == "test").drop("split")
+    corpora.write_corpus(corpus(spark, sf).drop("source"), path)
+    saved = corpora.load_corpus(spark, path)
+    # Each split comes from a filter of its own, which reads one folder.
+    return corpora.union_splits([saved.filter(F.col("split") == s) for s in corpora.SPLITS])
 
 
 @query(
@@ -205,18 +207,18 @@ def run_history(spark, sf):
 
 @query(
     "embedding_store",
-    f"""SELECT vec_id, label, 'given' AS encoder, 'test' AS split, CAST(embedding[64] AS double) AS last
-        FROM embeddings WHERE {sql_hash8("vec_id")} % 10 = 9""",
+    f"""SELECT vec_id, label, 'given' AS encoder, CASE WHEN b < 8 THEN 'train' WHEN b = 8 THEN 'val' ELSE 'test' END AS split,
+               CAST(i AS integer) AS dim, CAST(embedding[i + 1] AS double) AS value
+        FROM (SELECT *, {sql_hash8("vec_id")} % 10 AS b, unnest(range(0, len(embedding))) AS i FROM embeddings)""",
 )
 def embedding_store(spark, sf):
     path = new_path(spark, "embeddings")
     rows = vectors(spark, sf).withColumn("split", hash_split("vec_id"))
     embeddings.write_embeddings(rows, path, "given")
     embeddings.write_embeddings(rows, path, "again")
-    return embeddings.read_embeddings(spark, path, "given", "test").select(
-        "vec_id",
-        "label",
-        "encoder",
-        "split",
-        F.get("embedding", F.lit(63)).cast("double").alias("last"),
+    saved = corpora.union_splits(
+        [embeddings.read_embeddings(spark, path, "given", s) for s in corpora.SPLITS]
     )
+    return saved.select(
+        "vec_id", "label", "encoder", "split", F.posexplode("embedding").alias("dim", "value")
+    ).withColumn("value", F.col("value").cast("double"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from penmark.catalog.fixtures import WORD_RE  # noqa: F401
+from penmark.catalog.fixtures import WORD_RE, table
 from penmark.catalog.models import classifier_on_texts
 from penmark.catalog.registry import query
 from penmark.catalog.text import AVG_SENT, sql_truncated
@@ -35,16 +35,21 @@ def _run(spark, stream, label):
     doubles=["avg_words_per_sentence"],
 )
 def clean_stream(spark, sf):
-    # Documents carry no arrival time: they arrive a second apart, in 2024, by identity.
-    texts = _arriving(spark, sf).select("text", F.timestamp_seconds(F.col("doc_id") + 1_704_067_200).alias("arrived"))
-    cleaned = clean(texts, "arrived", delay="3650 days").drop("arrived")
+    cleaned = clean(_arriving(spark, sf).select("doc_id", "text"), ["doc_id"]).drop("doc_id")
     return _run(spark, cleaned, "clean-stream")
 
 
-@query("score_stream")
+@query("score_stream", "SELECT doc_id, true AS same FROM documents")
 def score_stream(spark, sf):
+    """Of every document: the saved model scores it alike as a stream and as a table."""
     trained, _ = classifier_on_texts(spark, sf)
     path = new_path(spark, "stream-model")
     save_pipeline(trained.pipeline, path)
     texts = _arriving(spark, sf).select("doc_id", "text")
-    return _run(spark, score(texts, load_pipeline(path), ["doc_id"]), "score-stream")
+    streamed = _run(spark, score(texts, load_pipeline(path), ["doc_id"]), "score-stream")
+    direct = score(table(spark, sf, "documents").select("doc_id", "text"), trained.pipeline, ["doc_id"])
+    renamed = direct.select("doc_id", F.col("predicted_label").alias("_label"), F.col("confidence").alias("_c"))
+    same = (F.col("predicted_label") == F.col("_label")) & (F.abs(F.col("confidence") - F.col("_c")) < 1e-12)
+    return streamed.join(renamed, "doc_id", "full").select(
+        "doc_id", F.coalesce(same, F.lit(False)).alias("same")
+    )

@@ -29,10 +29,21 @@ SCORES = f"""{CENTROIDS},
  scores AS (SELECT query_id, vec_id, dot / (sqrt(cc) * sqrt(xx)) AS cosine FROM products)"""
 
 
-@query("embed_texts")
+@query(
+    "embed_texts",
+    """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower('passage: ' || text), '[\\p{L}\\p{N}_]{2,}')) AS token
+                  FROM documents),
+        b AS (SELECT doc_id, CAST('0x' || substr(md5(token), 1, 8) AS bigint) % 64 AS dim, count(*) AS n FROM t GROUP BY 1, 2),
+        s AS (SELECT doc_id, sqrt(sum(n * n)) AS length FROM b GROUP BY 1)
+        SELECT d.doc_id, CAST(i AS integer) AS dim, CAST(CAST(coalesce(n / length, 0) AS float) AS double) AS value
+        FROM (SELECT doc_id, unnest(range(0, 64)) AS i FROM documents) d
+        LEFT JOIN b ON d.doc_id = b.doc_id AND d.i = b.dim LEFT JOIN s ON d.doc_id = s.doc_id""",
+    doubles=["value"],
+)
 def embed_texts(spark, sf):
-    return ops.embed_texts(corpus(spark, sf), dim=64, prefix="passage: ").select(
-        "doc_id", "embedding"
+    embedded = ops.embed_texts(corpus(spark, sf), dim=64, prefix="passage: ")
+    return embedded.select("doc_id", F.posexplode("embedding").alias("dim", "value")).withColumn(
+        "value", F.col("value").cast("double")
     )
 
 
@@ -65,15 +76,16 @@ def pad(spark, sf):
 
 @query(
     "attach_labels",
-    """SELECT vec_id, quality, toxic, CAST(embedding[1] AS double) AS first
-       FROM embeddings JOIN labels ON vec_id = doc_id""",
+    """SELECT vec_id, quality, toxic, CAST(i AS integer) AS dim, CAST(embedding[i + 1] AS double) AS value
+       FROM (SELECT vec_id, quality, toxic, embedding, unnest(range(0, len(embedding))) AS i
+             FROM embeddings JOIN labels ON vec_id = doc_id)""",
 )
 def attach_labels(spark, sf):
     labels = table(spark, sf, "labels").withColumnRenamed("doc_id", "vec_id")
     joined = join_labels(vectors(spark, sf).drop("label"), labels, ids=("vec_id",))
     return joined.select(
-        "vec_id", "quality", "toxic", F.get("embedding", F.lit(0)).cast("double").alias("first")
-    )
+        "vec_id", "quality", "toxic", F.posexplode("embedding").alias("dim", "value")
+    ).withColumn("value", F.col("value").cast("double"))
 
 
 def _queries(spark, sf):

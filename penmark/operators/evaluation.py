@@ -1,7 +1,9 @@
 """Scores of predictions and of training runs.
 
 Everything about predictions comes from one (label, prediction) count table, which holds at
-most classes squared rows however many predictions there are.
+most classes squared rows however many predictions there are. Rows without a label cannot be
+judged and are left out everywhere. A missing prediction is a miss: it counts as a row of its
+class and as no prediction of any class.
 """
 
 from __future__ import annotations
@@ -11,18 +13,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from penmark.bounded import attach
+from penmark.ranges import with_positions
 
 
 def outcome_counts(df: DataFrame, label_col: str = "label", pred_col: str = "pred") -> DataFrame:
-    return df.groupBy(F.col(label_col).alias("label"), F.col(pred_col).alias("pred")).agg(
-        F.count("*").alias("n")
+    """(label, pred, n) of the labelled rows; ``pred`` is null where no prediction was made."""
+    return (
+        df.filter(F.col(label_col).isNotNull())
+        .groupBy(F.col(label_col).alias("label"), F.col(pred_col).alias("pred"))
+        .agg(F.count("*").alias("n"))
     )
 
 
 def accuracy(df: DataFrame, label_col: str = "label", pred_col: str = "pred") -> DataFrame:
-    hit = (F.col(label_col) == F.col(pred_col)).cast("int")
-    return df.agg(
+    hit = F.col(label_col).eqNullSafe(F.col(pred_col)).cast("int")
+    return df.filter(F.col(label_col).isNotNull()).agg(
         F.try_divide(F.sum(hit).cast("double"), F.count(hit)).alias("accuracy"),
         F.count(hit).alias("n"),
     )
@@ -42,6 +47,7 @@ def class_scores(df: DataFrame, label_col: str = "label", pred_col: str = "pred"
     sums = (
         outcome_counts(df, label_col, pred_col)
         .select(sides)
+        .filter(F.col("class").isNotNull())
         .groupBy("class")
         .agg(
             F.sum("tp").cast("double").alias("tp"),
@@ -98,17 +104,24 @@ def classification_report(
 def confusion_matrix(
     df: DataFrame, label_col: str = "label", pred_col: str = "pred"
 ) -> DataFrame:
-    """Counts for every pair of known classes, zeros included."""
+    """Counts for every pair of known classes, zeros included.
+
+    Rows of a class without a prediction follow as pairs with a null ``pred``. The table has a row
+    for every pair of classes by definition; pairs are made per class, in as many tasks as there
+    are classes.
+    """
     counts = outcome_counts(df, label_col, pred_col)
-    classes = counts.select(F.explode(F.array("label", "pred")).alias("class")).agg(
-        F.sort_array(F.collect_set("class")).alias("classes")
+    classes = (
+        counts.select(F.explode(F.array("label", "pred")).alias("class"))
+        .filter(F.col("class").isNotNull())
+        .distinct()
     )
-    grid = classes.select("classes", F.explode("classes").alias("label")).select(
-        "label", F.explode("classes").alias("pred")
-    )
-    return grid.join(counts, ["label", "pred"], "left").withColumn(
+    all_classes = classes.agg(F.sort_array(F.collect_list("class"))).scalar()
+    grid = classes.select(F.col("class").alias("label"), F.explode(all_classes).alias("pred"))
+    full = grid.join(counts, ["label", "pred"], "left").withColumn(
         "n", F.coalesce("n", F.lit(0).cast("bigint"))
     )
+    return full.unionByName(counts.filter(F.col("pred").isNull()))
 
 
 def macro_f1(df: DataFrame, label_col: str = "label", pred_col: str = "pred") -> DataFrame:
@@ -129,12 +142,25 @@ def cross_entropy(
     prob_col: str = "probability",
     weight_col: str | None = None,
 ) -> DataFrame:
-    """Mean negative log probability of the true class, optionally weighted."""
-    p = F.get(F.col(prob_col), F.col(label_col))
-    loss = -F.log(F.greatest(p, F.lit(1e-15)))
+    """Mean negative log probability of the true class, optionally weighted.
+
+    Rows without a label or without a probability for it are not scored and count nowhere; a label
+    for which the probabilities have no place raises an error.
+    """
+    label, known = F.col(label_col), F.col(prob_col)
+    outside = (label < 0) | (label >= F.size(known))
+    p = F.when(
+        label.isNotNull() & known.isNotNull() & outside,
+        F.raise_error(F.concat(F.lit("no probability for label "), label.cast("string"))).cast("double"),
+    ).otherwise(F.get(known, label))
     weight = F.col(weight_col) if weight_col else F.lit(1.0)
-    return df.agg(
-        F.try_divide(F.sum(loss * weight), F.sum(weight)).alias("loss"), F.count("*").alias("n")
+    scored = df.select(p.alias("_p"), weight.cast("double").alias("_weight")).filter(
+        F.col("_p").isNotNull() & F.col("_weight").isNotNull()
+    )
+    loss = -F.log(F.greatest("_p", F.lit(1e-15)))
+    return scored.agg(
+        F.try_divide(F.sum(loss * F.col("_weight")), F.sum("_weight")).alias("loss"),
+        F.count("*").alias("n"),
     )
 
 
@@ -155,7 +181,8 @@ EPOCH_BLOCK = 4096
 
 def _with_best(history: DataFrame, score: Column, run: Sequence[str]) -> DataFrame:
     """Append ``_no``, the number of the epoch within its run, and ``_best``, the lowest score
-    so far as (score, epoch, no), which names the first epoch that reached it.
+    so far as (score, epoch, no), which names the first epoch that reached it. An epoch without a
+    score is never the best one; ``_best`` is null until an epoch has one.
 
     Epochs are scanned in blocks that then carry the result of earlier blocks, so a very long
     run spreads over many tasks.
@@ -170,17 +197,20 @@ def _with_best(history: DataFrame, score: Column, run: Sequence[str]) -> DataFra
     earlier = (
         Window.partitionBy(*run).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     )
-    lowest = F.col("_lowest")
+    lowest, scored = F.col("_lowest"), F.col("_score").isNotNull()
     carried = (
         rows.groupBy(*run, "_block")
-        .agg(F.count("*").alias("_n"), F.min(F.struct("_score", "epoch", "_in")).alias("_lowest"))
+        .agg(F.count("*").alias("_n"), F.min(F.when(scored, F.struct("_score", "epoch", "_in"))).alias("_lowest"))
         .withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .withColumn(
             "_lowest",
-            F.struct(
-                lowest["_score"].alias("_score"),
-                lowest["epoch"].alias("epoch"),
-                (lowest["_in"] + F.col("_offset")).alias("_no"),
+            F.when(
+                lowest.isNotNull(),
+                F.struct(
+                    lowest["_score"].alias("_score"),
+                    lowest["epoch"].alias("epoch"),
+                    (lowest["_in"] + F.col("_offset")).alias("_no"),
+                ),
             ),
         )
         .select(*run, "_block", "_offset", F.min("_lowest").over(earlier).alias("_carried"))
@@ -191,7 +221,7 @@ def _with_best(history: DataFrame, score: Column, run: Sequence[str]) -> DataFra
         .withColumn("_no", F.col("_in") + F.col("_offset"))
         .withColumn(
             "_best",
-            F.least("_carried", F.min(F.struct("_score", "epoch", "_no")).over(so_far)),
+            F.least("_carried", F.min(F.when(scored, F.struct("_score", "epoch", "_no"))).over(so_far)),
         )
     )
 
@@ -202,7 +232,7 @@ def running_best(history: DataFrame, run: Sequence[str] = ("run",)) -> DataFrame
     return _with_best(history, -F.col("val_acc"), run).select(
         *history.columns,
         (-best["_score"]).alias("best_so_far"),
-        (best["epoch"] == F.col("epoch")).alias("improved"),
+        F.coalesce(best["epoch"] == F.col("epoch"), F.lit(False)).alias("improved"),
     )
 
 
@@ -215,7 +245,8 @@ def early_stop_epoch(
 ) -> DataFrame:
     """Where each run would stop after ``patience`` epochs without a gain, and what to restore.
 
-    A run that never waits that long ends at its last epoch.
+    A run that never waits that long ends at its last epoch. An epoch without a score gains nothing;
+    a run without any score never stops and restores nothing.
     """
     score = F.col(metric) if mode == "min" else -F.col(metric)
     best, epoch = F.col("_best"), F.col("epoch")
@@ -246,35 +277,13 @@ def leaderboard(history: DataFrame, run: Sequence[str] = ("run",)) -> DataFrame:
     )
 
 
-def rank_runs(
-    board: DataFrame, score: str = "best_val_acc", steps: int = 10_000
-) -> DataFrame:
+def rank_runs(board: DataFrame, score: str = "best_val_acc") -> DataFrame:
     """Append the competition rank: one more than the number of better runs.
 
-    Runs are counted per score and scores are ranked inside steps of 1/``steps``; only the
-    steps, of which a score between 0 and 1 has ``steps`` at most, are totalled in one task.
+    Runs without a score come last and share a rank.
     """
-    earlier = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    counts = (
-        board.groupBy(score)
-        .agg(F.count("*").alias("_runs"))
-        .withColumn("_step", F.floor(F.col(score) * steps))
-    )
-    higher_steps = (
-        Window.partitionBy(F.lit(0))
-        .orderBy(F.desc("_step"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    above = counts.groupBy("_step").agg(F.sum("_runs").alias("_n")).select(
-        "_step", F.coalesce(F.sum("_n").over(higher_steps), F.lit(0)).alias("_above")
-    )
-    inside = F.coalesce(F.sum("_runs").over(earlier.partitionBy("_step")), F.lit(0))
-    ranks = (
-        counts.withColumn("_inside", inside)
-        .join(above, "_step")
-        .select(score, (F.col("_above") + F.col("_inside") + 1).alias("rank"))
-    )
-    return attach(board, ranks, [score]).select(*board.columns, "rank")
+    ranked = with_positions(board, [F.col(score).desc_nulls_last()], "rank", ties=True)
+    return ranked.withColumn("rank", F.col("rank") + 1)
 
 
 def learning_curves(

@@ -2,36 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penmark.bounded import fetch_small
-
-MAX_CLASSES = 10_000
+from penmark.ranges import with_positions
 
 
 def label_map(train: DataFrame, class_col: str = "generated_by") -> DataFrame:
-    """(label, label_id) for the distinct labels, ids from 0 in sorted order.
-
-    Labels are model parameters: at most ``MAX_CLASSES`` of them are accepted.
-    """
-    labels = train.filter(F.col(class_col).isNotNull()).select(class_col).distinct()
-    local = fetch_small(labels, MAX_CLASSES)
-    if local is None:
-        raise ValueError(f"{class_col} has more than {MAX_CLASSES} labels")
-    order = Window.partitionBy(F.lit(0)).orderBy(class_col)
-    return local.select(
-        F.col(class_col).alias("label"), (F.row_number().over(order) - 1).alias("label_id")
-    )
+    """(label, label_id) for the distinct labels, ids from 0 in sorted order."""
+    labels = train.filter(F.col(class_col).isNotNull()).select(F.col(class_col).alias("label"))
+    numbered = with_positions(labels.distinct(), [F.col("label").asc()], "label_id")
+    return numbered.withColumn("label_id", F.col("label_id").cast("int"))
 
 
 def encode_labels(
     df: DataFrame, mapping: DataFrame, class_col: str = "generated_by"
 ) -> DataFrame:
     """Append ``label_id``; a label that training did not have raises an error."""
-    joined = df.join(
-        F.broadcast(mapping.withColumnRenamed("label", class_col)), class_col, "left"
-    )
+    joined = df.join(mapping.withColumnRenamed("label", class_col), class_col, "left")
     unseen = F.raise_error(F.concat(F.lit("unseen label: "), F.col(class_col))).cast("int")
     checked = F.when(
         F.col("label_id").isNull() & F.col(class_col).isNotNull(), unseen
@@ -44,7 +32,7 @@ def decode_labels(
 ) -> DataFrame:
     """Append the label of an id; an unknown id gives null."""
     names = mapping.select(F.col("label_id").alias(id_col), F.col("label").alias(out))
-    return df.join(F.broadcast(names), id_col, "left").select(*df.columns, out)
+    return df.join(names, id_col, "left").select(*df.columns, out)
 
 
 def attach_labels(features: DataFrame, labels: DataFrame, ids: tuple[str, ...] = ("doc_id",)):

@@ -85,7 +85,7 @@ def length_table(lengths: DataFrame, by: Sequence[str]) -> DataFrame:
         .agg(
             F.count("*").alias("weight"),
             F.sum(chars.cast("decimal(18,0)")).alias("chars"),
-            F.sum((chars * chars).cast("decimal(18,0)")).alias("chars2"),
+            F.sum(chars.cast("decimal(18,0)") * chars.cast("decimal(18,0)")).alias("chars2"),
             F.sum(sent).alias("sents"),
             F.sum(sent * sent).alias("sents2"),
         )
@@ -98,16 +98,22 @@ def _mean(total: Column) -> Column:
 
 def _std(total: Column, squares: Column) -> Column:
     """Population deviation of integers from exact sums: sqrt(n*S2 - S1^2) / n."""
-    n = F.sum("weight").cast("decimal(18,0)")
-    exact = n * squares.cast("decimal(38,0)") - total.cast("decimal(19,0)") * total.cast(
-        "decimal(19,0)"
-    )
-    return F.try_divide(F.sqrt(exact.cast("double")), F.sum("weight").cast("double"))
+    n = F.sum("weight").cast("decimal(20,0)")
+    total, squares = total.cast("decimal(38,0)"), squares.cast("decimal(38,0)")
+    # Around the rounded mean m the sums are small: sum (x - m)^2 = S2 - m (2 S1 - n m), and the
+    # deviation from the mean itself differs by (S1 - n m) / n. No product needs over 38 digits.
+    mean = F.round(F.try_divide(total, n), 0).cast("decimal(12,0)")
+    rest = (total - (n * mean).cast("decimal(38,0)")).cast("decimal(25,0)")
+    around = squares - ((total + rest).cast("decimal(26,0)") * mean).cast("decimal(38,0)")
+    count = F.sum("weight").cast("double")
+    shift = F.try_divide(rest.cast("double"), count)
+    variance = F.try_divide(around.cast("double"), count) - shift * shift
+    return F.sqrt(F.greatest(variance, F.lit(0.0)))
 
 
 def _word_sums() -> tuple[Column, Column]:
-    x = F.col("value").cast("decimal(10,0)")
-    weight = F.col("weight").cast("decimal(10,0)")
+    x = F.col("value").cast("decimal(9,0)")
+    weight = F.col("weight").cast("decimal(20,0)")
     return F.sum(x * weight), F.sum(x * x * weight)
 
 

@@ -12,12 +12,15 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from penmark.bounded import SMALL_TABLE_ROWS, fetch_table
 from penmark.constants import TOP_TERMS
 from penmark.functions.tokens import ngrams, positions, vectoriser_tokens
+from penmark.session import materialise
 
 
 @dataclass(frozen=True)
@@ -49,20 +52,18 @@ def profile_config(spark) -> TfidfConfig:
     )
 
 
-def term_counts(
-    df: DataFrame, config: TfidfConfig, keep: Sequence[str], text_col: str = "text"
-) -> DataFrame:
-    """(keep, term, n): how often each n-gram occurs in each text.
+def term_counts(tokenised: DataFrame, config: TfidfConfig, keep: Sequence[str]) -> DataFrame:
+    """(keep, term, n): how often each n-gram of the column ``_tokens`` occurs in each text.
 
     The stages are separate columns because each is used repeatedly by the next. The generator
     is an outer one on purpose: for an inner one the optimiser adds a filter on the size of the
     array, which evaluates the whole chain a second time.
     """
-    tokens = vectoriser_tokens(F.col(text_col), config.stop_words)
     n = F.size("_sorted")
     return (
-        df.withColumn("_tokens", tokens)
-        .withColumn("_sorted", F.sort_array(ngrams(F.col("_tokens"), *config.ngram_range)))
+        tokenised.withColumn(
+            "_sorted", F.sort_array(ngrams(F.col("_tokens"), *config.ngram_range))
+        )
         .withColumn(
             "_starts",
             F.filter(
@@ -85,10 +86,9 @@ def term_counts(
 
 
 def _term_stats(
-    df: DataFrame,
+    tokenised: DataFrame,
     config: TfidfConfig,
     lengths: tuple[int, int],
-    text_col: str,
     shorter: DataFrame | None,
 ) -> DataFrame:
     """(term, tf, df) of the n-grams of some lengths that are in ``min_df`` documents or more.
@@ -96,7 +96,7 @@ def _term_stats(
     ``shorter`` holds the frequent terms of one token less; an n-gram can be frequent only if
     its first and its last n-1 tokens are, and any other is dropped before the shuffle.
     """
-    counts = term_counts(df, replace(config, ngram_range=lengths), [], text_col)
+    counts = term_counts(tokenised, replace(config, ngram_range=lengths), [])
     if shorter is not None:
         known = F.broadcast(shorter.select(F.col("term").alias("_part")))
         size = lengths[0] - 1
@@ -142,13 +142,19 @@ def _fetch_terms(stats: DataFrame, features: int) -> tuple[pa.Table, bool]:
     return stats.orderBy(F.desc("tf"), "term").limit(features).toArrow(), False
 
 
-def _vocabulary_table(df: DataFrame, config: TfidfConfig, text_col: str) -> pa.Table:
+def _tokenised(df: DataFrame, config: TfidfConfig, text_col: str) -> DataFrame:
+    """The tokens of every text, written once, as fitting reads them several times."""
+    tokens = vectoriser_tokens(F.col(text_col), config.stop_words)
+    return materialise(df.select(tokens.alias("_tokens")), "tokens")
+
+
+def _vocabulary_table(tokenised: DataFrame, config: TfidfConfig) -> pa.Table:
     low, high = config.ngram_range
     order = [("tf", "descending"), ("term", "ascending")]
     rounds = [(low, min(low + 1, high)), *[(n, n) for n in range(low + 2, high + 1)]]
     best, lowest, shorter = None, 1, None
     for lengths in rounds:
-        stats = _term_stats(df, config, lengths, text_col, shorter)
+        stats = _term_stats(tokenised, config, lengths, shorter)
         level, complete = _fetch_terms(stats.filter(F.col("tf") >= lowest), config.max_features)
         merged = level if best is None else pa.concat_tables([best, level])
         best = merged.sort_by(order).slice(0, config.max_features)
@@ -157,7 +163,7 @@ def _vocabulary_table(df: DataFrame, config: TfidfConfig, text_col: str) -> pa.T
         shorter = None
         if complete and lengths != rounds[-1]:
             blanks = F.length("term") - F.length(F.replace("term", F.lit(" "), F.lit("")))
-            shorter = df.sparkSession.createDataFrame(level, schema=stats.schema).filter(
+            shorter = tokenised.sparkSession.createDataFrame(level, schema=stats.schema).filter(
                 (F.col("tf") >= lowest) & (blanks == lengths[1] - 1)
             )
     return best
@@ -173,7 +179,8 @@ def tfidf_vocabulary(
     terms must reach, and the frequent terms of one length tell which of the next can reach it.
     Rare long n-grams, by far the most of all terms, are thus never shuffled. The result is exact.
     """
-    return df.sparkSession.createDataFrame(_vocabulary_table(df, config, text_col))
+    table = _vocabulary_table(_tokenised(df, config, text_col), config)
+    return df.sparkSession.createDataFrame(table)
 
 
 @dataclass
@@ -183,6 +190,7 @@ class TfidfModel:
     config: TfidfConfig
     vocabulary: DataFrame
     documents: int
+    terms: pa.Table
 
     def transform(
         self,
@@ -193,29 +201,52 @@ class TfidfModel:
     ) -> DataFrame:
         """(ids, keep, term, term_id, tfidf), each document scaled to length one.
 
-        The texts are placed by identity once. Everything after that, the norm included, stays
-        in its partition; exploding first and regrouping the terms would move several times
-        as many bytes. A document without a known term has no row.
+        Counts, weights and the norm are made inside the row, so nothing is shuffled or sorted.
+        Terms follow by a broadcast of the vocabulary, which ``max_features`` bounds. A document
+        without a known term has no row.
         """
-        placed = df.select(*ids, *keep, text_col).repartition(*ids)
-        weight = F.col("n").cast("double")
+        names = self.terms.column("term").to_pylist()
+        if not names:
+            return self.vocabulary.limit(0).join(df.select(*ids, *keep), F.lit(False)).select(
+                *ids, *keep, "term", "term_id", F.lit(0.0).alias("tfidf")
+            )
+        tokens = vectoriser_tokens(F.coalesce(F.col(text_col), F.lit("")), self.config.stop_words)
+        grams = (
+            df.select(*ids, *keep, tokens.alias("_tokens"))
+            .withColumn("_grams", ngrams(F.col("_tokens"), *self.config.ngram_range))
+            .drop("_tokens")
+        )
+        counter = CountVectorizerModel.from_vocabulary(names, inputCol="_grams", outputCol="_n")
+        weigher = ElementwiseProduct(
+            scalingVec=Vectors.dense(self.terms.column("idf").to_pylist()),
+            inputCol="_n",
+            outputCol="_w",
+        )
+        vector = lambda c: F.unwrap_udt(F.col(c))
+        weights = vector("_w")["values"]
         if self.config.sublinear_tf:
-            weight = 1.0 + F.log("n")
-        vocabulary = self.vocabulary.select("term", "term_id", "idf")
-        by_document = Window.partitionBy(*ids)
-        return (
-            term_counts(placed, self.config, [*ids, *keep], text_col)
-            .join(F.broadcast(vocabulary), "term")
-            .withColumn("_w", weight * F.col("idf"))
-            .withColumn("_norm", F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(by_document)))
-            .select(*ids, *keep, "term", "term_id", (F.col("_w") / F.col("_norm")).alias("tfidf"))
+            weights = F.zip_with(
+                vector("_n")["values"], weights, lambda n, x: x * (1.0 + F.log(n)) / n
+            )
+        norm = F.sqrt(F.aggregate("_weights", F.lit(0.0), lambda t, x: t + x * x))
+        rows = (
+            weigher.transform(counter.transform(grams))
+            .select(*ids, *keep, vector("_n")["indices"].alias("_ids"), weights.alias("_weights"))
+            .withColumn("_norm", norm)
+            .select(*ids, *keep, "_norm", F.inline_outer(F.arrays_zip("_ids", "_weights")))
+            .filter(F.col("_ids").isNotNull())
+        )
+        names_of = self.vocabulary.select("term", "term_id")
+        return rows.join(F.broadcast(names_of), F.col("_ids") == F.col("term_id")).select(
+            *ids, *keep, "term", "term_id", (F.col("_weights") / F.col("_norm")).alias("tfidf")
         )
 
 
 def tfidf_fit(df: DataFrame, config: TfidfConfig, text_col: str = "text") -> TfidfModel:
     """Fit vocabulary and smoothed idf; term ids are alphabetical positions."""
-    documents = df.count()
-    table = _vocabulary_table(df, config, text_col).sort_by("term")
+    tokenised = _tokenised(df, config, text_col)
+    documents = tokenised.count()
+    table = _vocabulary_table(tokenised, config).sort_by("term")
     frequency = table.column("df").to_numpy()
     idf = np.log((1.0 + documents) / (1.0 + frequency)) + 1.0
     columns = {
@@ -226,8 +257,9 @@ def tfidf_fit(df: DataFrame, config: TfidfConfig, text_col: str = "text") -> Tfi
         "idf": pa.array(idf),
     }
     schema = "term string, term_id int, tf long, df long, idf double"
-    vocabulary = df.sparkSession.createDataFrame(pa.table(columns), schema=schema)
-    return TfidfModel(config, vocabulary, documents)
+    terms = pa.table(columns)
+    vocabulary = df.sparkSession.createDataFrame(terms, schema=schema)
+    return TfidfModel(config, vocabulary, documents, terms)
 
 
 def tfidf_fit_transform(
@@ -252,6 +284,8 @@ def top_terms(
 
     Means that agree to twelve decimals count as equal and are ordered by term.
     """
+    # Usually a sample, which would otherwise be drawn again for each of the passes below.
+    df = materialise(df.select(*dict.fromkeys([*ids, class_col, text_col])), "profiled")
     sizes = df.groupBy(class_col).agg(F.count("*").alias("_docs"))
     weights = tfidf_fit_transform(df, config, ids, text_col, keep=[class_col])
     best = Window.partitionBy(class_col).orderBy(F.desc(F.round("mean_tfidf", 12)), "term")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -22,18 +22,22 @@ def embed_texts(
     df: DataFrame,
     dim: int = 64,
     text_col: str = "text",
-    max_len: int = 256,
     prefix: str = "",
     out: str = "embedding",
 ) -> DataFrame:
-    """Append a dense unit vector of hashed token counts of the first ``max_len`` tokens.
+    """Append a dense unit vector of hashed token counts of the whole text.
 
-    The default encoder: JVM-side, row by row, no shuffle and no external weights.
+    The default encoder: JVM-side, row by row, no shuffle and no external weights. A token counts
+    in the place that the first 32 bits of its MD5 give, modulo ``dim``.
     """
     text = prefix_text(F.col(text_col), prefix) if prefix else F.col(text_col)
-    tokens = F.slice(vectoriser_tokens(F.coalesce(text, F.lit(""))), 1, max_len)
-    hashed = HashingTF(numFeatures=dim, inputCol="_tokens", outputCol="_tf").transform(
-        df.withColumn("_tokens", tokens)
+    tokens = vectoriser_tokens(F.coalesce(text, F.lit("")))
+    place = lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim
+    counter = CountVectorizerModel.from_vocabulary(
+        [str(i) for i in range(dim)], inputCol="_tokens", outputCol="_tf"
+    )
+    hashed = counter.transform(
+        df.withColumn("_tokens", F.transform(tokens, lambda t: place(t).cast("string")))
     )
     unit = Normalizer(p=2.0, inputCol="_tf", outputCol="_unit").transform(hashed)
     return unit.withColumn(out, vector_to_array("_unit", "float32")).drop(

@@ -15,6 +15,7 @@ from pyspark.ml.feature import (
     Normalizer,
     RegexTokenizer,
     SQLTransformer,
+    StandardScaler,
     StringIndexer,
     VectorAssembler,
 )
@@ -25,9 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penmark.functions.tokens import WORD
-from penmark.operators.evaluation import cross_entropy
+from penmark.operators.evaluation import accuracy, class_scores, cross_entropy
 from penmark.operators.profile import class_weights
-from penmark.operators.scaling import fit_standardiser
 from penmark.operators.tfidf import TfidfConfig, tfidf_fit
 
 
@@ -37,8 +37,7 @@ def tfidf_stages(
     """Fitted stages from text to a sparse TF-IDF vector, all inside the JVM and the row."""
     if config.sublinear_tf or config.stop_words:
         raise ValueError("the vector form covers the training configurations only")
-    model = tfidf_fit(train, config, text_col)
-    rows = model.vocabulary.select("term", "idf").orderBy("term").collect()
+    terms = tfidf_fit(train, config, text_col).terms
     low, high = config.ngram_range
     stages = [
         SQLTransformer(statement=f"SELECT *, coalesce({text_col}, '') AS _text FROM __THIS__"),
@@ -61,9 +60,9 @@ def tfidf_stages(
         SQLTransformer(statement=f"SELECT *, concat({', '.join(grams)}) AS _terms FROM __THIS__")
     )
     counts = CountVectorizerModel.from_vocabulary(
-        [r["term"] for r in rows], inputCol="_terms", outputCol="_counts"
+        terms.column("term").to_pylist(), inputCol="_terms", outputCol="_counts"
     )
-    weights = Vectors.dense([r["idf"] for r in rows])
+    weights = Vectors.dense(terms.column("idf").to_pylist())
     stages += [
         counts,
         ElementwiseProduct(scalingVec=weights, inputCol="_counts", outputCol="_weighted"),
@@ -100,7 +99,7 @@ def _finish(train: DataFrame, indexer, feature_stages: list, estimator) -> Train
     features = PipelineModel(feature_stages)
     rows = features.transform(indexer.transform(train))
     wanted = ["label_id", "features"]
-    if estimator.isSet("weightCol"):
+    if estimator.hasParam("weightCol") and estimator.isSet("weightCol"):
         wanted.append(estimator.getWeightCol())
     fitted = estimator.fit(rows.select(*wanted))
     names = IndexToString(
@@ -135,10 +134,11 @@ def train_embedding_classifier(
     hidden: Sequence[int] = (512, 256, 128),
     max_iter: int = 50,
     seed: int = 42,
-) -> tuple[list[str], object]:
-    """A feed-forward network on embeddings; returns the labels and the fitted network."""
+) -> TrainedClassifier:
+    """A feed-forward network on embeddings; the pipeline reads ``features`` of ``with_vectors``."""
+    train = train.filter(F.col(class_col).isNotNull())
     indexer = _label_indexer(train, class_col)
-    rows = indexer.transform(with_vectors(train, embedding_col)).select("label_id", "features")
+    rows = with_vectors(train, embedding_col)
     width = rows.select(F.size(vector_to_array("features")).alias("d")).first()["d"]
     network = MultilayerPerceptronClassifier(
         featuresCol="features",
@@ -147,7 +147,22 @@ def train_embedding_classifier(
         maxIter=max_iter,
         seed=seed,
     )
-    return list(indexer.labels), network.fit(rows)
+    return _finish(rows, indexer, [], network)
+
+
+def train_vector_classifier(
+    train: DataFrame, class_col: str, max_iter: int = 30, reg: float = 1e-4
+) -> TrainedClassifier:
+    """A multinomial classifier on the column ``features``."""
+    train = train.filter(F.col(class_col).isNotNull())
+    return _finish(
+        train, _label_indexer(train, class_col), [], _logistic(maxIter=max_iter, regParam=reg)
+    )
+
+
+def index_labels(train: DataFrame, df: DataFrame, class_col: str = "generated_by") -> DataFrame:
+    """``df`` with ``label_id`` by the labels of ``train``; an unseen label raises an error."""
+    return _label_indexer(train, class_col).transform(df.filter(F.col(class_col).isNotNull()))
 
 
 def with_vectors(df: DataFrame, embedding_col: str = "embedding") -> DataFrame:
@@ -160,11 +175,14 @@ def train_weighted_classifier(
     train: DataFrame,
     columns: Sequence[str],
     class_col: str = "generated_by",
+    embedding_col: str | None = None,
     max_iter: int = 30,
-) -> tuple[TrainedClassifier, object]:
-    """Standardised features and balanced class weights; returns classifier and scaler."""
+) -> TrainedClassifier:
+    """Standardised features, with or without an embedding, and balanced class weights.
+
+    The scaler is a stage of the pipeline, so a saved model scales the rows that it scores.
+    """
     train = train.filter(F.col(class_col).isNotNull())
-    scaler = fit_standardiser(train, columns)
     weights = class_weights(train, class_col).select(class_col, "weight")
     indexer = _label_indexer(train, class_col)
     # One weight per label; the indexer has already brought the labels to the driver.
@@ -172,12 +190,25 @@ def train_weighted_classifier(
     choices = F.create_map(
         *[F.lit(v) for label in indexer.labels for v in (label, by_label[label])]
     )
-    weighted = scaler.transform(train).withColumn("_weight", choices[F.col(class_col)])
-    assemble = VectorAssembler(inputCols=list(columns), outputCol="features")
-    trained = _finish(
-        weighted, indexer, [assemble], _logistic(maxIter=max_iter, weightCol="_weight")
+    weighted = train.withColumn("_weight", choices[F.col(class_col)])
+    inputs = list(columns)
+    if embedding_col:
+        inputs.append("_embedding")
+        weighted = weighted.withColumn(
+            "_embedding", array_to_vector(F.col(embedding_col).cast("array<double>"))
+        )
+    assemble = VectorAssembler(inputCols=inputs, outputCol="_raw")
+    scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)
+    stages = [assemble, scaler.fit(assemble.transform(weighted).select("_raw"))]
+    estimator = _logistic(maxIter=max_iter, weightCol="_weight")
+    return _finish(weighted, indexer, stages, estimator)
+
+
+def combined_features(df: DataFrame, embedding_col: str = "embedding") -> DataFrame:
+    """Adds the vector column that a pipeline trained with an embedding reads."""
+    return df.withColumn(
+        "_embedding", array_to_vector(F.col(embedding_col).cast("array<double>"))
     )
-    return trained, scaler
 
 
 def predict_batch(trained: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -190,18 +221,30 @@ def predict_batch(trained: PipelineModel, df: DataFrame, keep: Sequence[str]) ->
     )
 
 
+@dataclass
+class Selection:
+    """The fitted winner, its number, the losses of all configurations, and its test rows."""
+
+    model: object
+    chosen: int
+    tried: list[dict]
+    test: DataFrame
+
+
 def grid_search(
     estimator,
     grid: Sequence[dict[Param, object]],
     train: DataFrame,
     val: DataFrame,
+    test: DataFrame,
     label_col: str = "label_id",
-) -> tuple[object, list[dict]]:
-    """Fit every configuration and keep the one with the lowest validation loss.
+) -> Selection:
+    """Fit every configuration, keep the one with the lowest validation loss, and test it.
 
-    The validation split is fixed. Each fit is a Spark job; losses come back as one row each.
+    The splits are fixed. Each fit is a Spark job; losses come back as one row each. Only the
+    winner sees the test rows, which are returned with its predictions.
     """
-    best, best_loss, tried = None, float("inf"), []
+    best, best_loss, chosen, tried = None, float("inf"), -1, []
     for number, params in enumerate(grid):
         model = estimator.fit(train, params)
         scored = model.transform(val).select(
@@ -217,5 +260,54 @@ def grid_search(
             }
         )
         if loss < best_loss:
-            best, best_loss = model, loss
-    return best, tried
+            best, best_loss, chosen = model, loss, number
+    return Selection(best, chosen, tried, best.transform(test))
+
+
+def run_result(
+    run: str, trained: TrainedClassifier, test: DataFrame, best_val_acc: float, history: list[dict],
+    class_col: str = "generated_by",
+) -> DataFrame:
+    """One run result, in the schema of ``read_run_results``, from a fitted classifier.
+
+    ``test`` is the table that ``predict_batch`` returns, with the true class. The per-class map has
+    as many entries as the model has labels.
+    """
+    scores = class_scores(test, class_col, "predicted_label")
+    entry = F.struct(
+        F.col("class"),
+        F.struct(
+            F.col("precision"),
+            F.col("recall"),
+            F.col("f1").alias("f1-score"),
+            F.col("support").cast("double").alias("support"),
+        ),
+    )
+    per_class = scores.agg(F.map_from_entries(F.collect_list(entry))).scalar()
+    overall = accuracy(test, class_col, "predicted_label").select("accuracy").scalar()
+    epochs = F.array(
+        *[
+            F.struct(
+                F.lit(h["epoch"]).cast("int").alias("epoch"),
+                *[F.lit(h.get(k)).cast("double").alias(k) for k in ("loss", "train_acc", "val_acc")],
+            )
+            for h in history
+        ]
+    )
+    ids = F.create_map(*[F.lit(v) for i, label in enumerate(trained.labels) for v in (label, i)])
+    return test.sparkSession.range(1).select(
+        F.lit(run).alias("run"),
+        F.lit(best_val_acc).cast("double").alias("best_val_acc"),
+        F.struct(
+            overall.alias("test_accuracy"), per_class.alias("per_class"), F.lit("").alias("report_text")
+        ).alias("test_stats"),
+        epochs.alias("training_history"),
+        ids.alias("label2id"),
+    )
+
+
+def objective_history(trained: TrainedClassifier) -> list[dict]:
+    """Loss of each iteration of the fitted classifier, as rows of a history."""
+    fitted = next(s for s in reversed(trained.pipeline.stages) if hasattr(s, "hasSummary"))
+    losses = fitted.summary.objectiveHistory if fitted.hasSummary else []
+    return [{"epoch": i, "loss": float(x)} for i, x in enumerate(losses)]

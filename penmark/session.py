@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -39,7 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not configured:
         configured = spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
+        # All executors of master local[n] are threads of the driver; local-cluster has processes.
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         application = spark.sparkContext.applicationId
         if application not in _local_dirs:

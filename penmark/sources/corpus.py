@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 from functools import reduce
-from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,22 +13,6 @@ SPLITS = ("train", "val", "test")
 CANONICAL = {"generation": "text", "model": "generated_by"}
 
 
-def spread_local(df: DataFrame, limit: int = 256 << 20) -> DataFrame:
-    """Share a small local input out over the cores.
-
-    A file of one row group is read by one task however many cores there are. That only matters
-    for a few small files on the local disk, which are recognised by their size; any other
-    input already has enough splits and is returned as it is, without a shuffle.
-    """
-    paths = [urlparse(path) for path in df.inputFiles()]
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(paths) >= cores or any(path.scheme not in ("", "file") for path in paths):
-        return df
-    if sum(os.path.getsize(unquote(path.path)) for path in paths) > limit:
-        return df
-    return df.repartition(cores)
-
-
 def load_splits(
     spark: SparkSession,
     root: str,

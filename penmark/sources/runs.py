@@ -88,9 +88,22 @@ def append_run_log(df: DataFrame, path: str) -> None:
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
+    """All records of a log; ``log_epochs`` and ``log_results`` tell their two kinds apart."""
     return spark.read.schema(LOG_SCHEMA).json(path)
 
 
+def log_epochs(log: DataFrame) -> DataFrame:
+    """The epoch records, in the columns of a history."""
+    return log.filter(F.col("epoch").isNotNull()).select(
+        "run", "epoch", "loss", "train_acc", "val_acc", "lr", "best_val_acc"
+    )
+
+
+def log_results(log: DataFrame) -> DataFrame:
+    """The final records with the test score."""
+    return log.filter(F.col("epoch").isNull()).select("run", "test_accuracy", "report")
+
+
 def read_run_results(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """One row per run result. A result without a ``run`` field is named by its folder."""
     folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)

@@ -16,30 +16,29 @@ from penmark.plans.recipes import clean_text
 
 def clean_stream(
     texts: DataFrame,
-    time_col: str,
+    ids: Sequence[str],
     noise: Sequence[str] = (),
     max_words: int = MAX_WORDS,
-    delay: str = "7 days",
     within: Sequence[str] = (),
     salts: int = 16,
 ) -> DataFrame:
     """Clean, truncate, deduplicate and measure each arriving text.
 
-    Deduplication remembers 32 bytes per text until the watermark passes, so equal texts are
-    recognised when they arrive within ``delay`` of each other. It runs twice, first per text
-    and salt, then per text: the copies of a very frequent text meet in ``salts`` tasks, each
-    of which lets one through. Class balancing and quartiles need a finished table and exist as
-    batch operators only.
+    No text is dropped for being late: the state keeps 32 bytes for every different text of the
+    stream, or for every different text and value of ``within`` (a day, a source), so put it into a
+    state store on disk. Deduplication runs twice, first per text and salt, then per text: the copies
+    of a very frequent text meet in ``salts`` tasks, each of which lets one through. The salt is a
+    hash of ``ids``, the identity of the row, so a batch that is tried again deals rows alike. Class
+    balancing and quartiles need a finished table and exist as batch operators only.
     """
     cleaned = clean_text(texts, noise).withColumn(
         "text", w.truncate_words(F.col("text"), max_words)
     )
     unique = (
-        cleaned.withWatermark(time_col, delay)
-        .withColumn("_key", F.coalesce(text_key("text"), F.unhex(F.lit(""))))
-        .withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-        .dropDuplicatesWithinWatermark(["_key", "_salt", *within])
-        .dropDuplicatesWithinWatermark(["_key", *within])
+        cleaned.withColumn("_key", F.coalesce(text_key("text"), F.unhex(F.lit(""))))
+        .withColumn("_salt", F.pmod(F.xxhash64(*ids), F.lit(salts)))
+        .dropDuplicates(["_key", "_salt", *within])
+        .dropDuplicates(["_key", *within])
         .drop("_key", "_salt")
     )
     return with_lengths(unique)

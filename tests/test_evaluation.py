@@ -121,3 +121,48 @@ def test_attribution_ranking_equals_the_mean_of_rows(spark):
     assert {(r["class"], r["feature"]): r["importance"] for r in ranking} == pytest.approx(mean)
     sums = per_row.groupBy("class").agg(F.sum("contribution").alias("s")).collect()
     assert [r["s"] for r in sums] == pytest.approx([0.0, 0.0])
+
+
+def test_missing_labels_and_predictions_follow_one_rule(spark):
+    pairs = [("a", "a"), ("a", None), (None, "a"), ("b", "b")]
+    df = spark.createDataFrame(pairs, "label string, pred string")
+    assert tuple(evaluation.accuracy(df).first()) == (pytest.approx(2 / 3), 3)
+    rows = {r["class"]: r for r in evaluation.classification_report(df).collect()}
+    assert set(rows) == {"a", "b", "accuracy", "macro avg", "weighted avg"}
+    assert rows["accuracy"]["f1"] == pytest.approx(2 / 3) and rows["accuracy"]["support"] == 3
+    assert rows["a"]["precision"] == 1.0 and rows["a"]["recall"] == 0.5
+    counts = {(r["label"], r["pred"]): r["n"] for r in evaluation.confusion_matrix(df).collect()}
+    assert counts == {("a", "a"): 1, ("a", "b"): 0, ("b", "a"): 0, ("b", "b"): 1, ("a", None): 1}
+    assert evaluation.macro_f1(df).first()["macro_f1"] == pytest.approx((2 / 3 + 1) / 2)
+
+
+def test_cross_entropy_leaves_out_unscored_rows_and_refuses_unknown_labels(spark):
+    import math
+
+    schema = "label int, probability array<double>, w double"
+    good = [(0, [0.5, 0.5], 1.0), (1, None, 5.0), (None, [0.5, 0.5], 5.0), (1, [0.5, None], 5.0)]
+    got = evaluation.cross_entropy(spark.createDataFrame(good, schema), weight_col="w").first()
+    assert got["loss"] == pytest.approx(math.log(2)) and got["n"] == 1
+    with pytest.raises(Exception, match="no probability for label 2"):
+        evaluation.cross_entropy(spark.createDataFrame([(2, [0.5, 0.5], 1.0)], schema)).first()
+
+
+def test_epochs_and_runs_without_scores(spark):
+    schema = "run string, epoch int, loss double, train_acc double, val_loss double, val_acc double"
+    scores = {"a": [None, 0.4, 0.3, None], "b": [None, None]}
+    rows = [
+        (run, i, None, None, None if x is None else 1 - x, x)
+        for run, xs in scores.items()
+        for i, x in enumerate(xs, start=1)
+    ]
+    df = spark.createDataFrame(rows, schema)
+    marked = evaluation.running_best(df).orderBy("run", "epoch").collect()
+    assert [r["best_so_far"] for r in marked] == [None, 0.4, 0.4, 0.4, None, None]
+    assert [r["improved"] for r in marked] == [False, True, False, False, False, False]
+    stops = {r["run"]: tuple(r)[1:] for r in evaluation.early_stop_epoch(df).collect()}
+    assert stops == {"a": (4, 2, True), "b": (2, None, False)}
+    board = spark.createDataFrame(
+        [("a", 0.5), ("b", None), ("c", 0.7), ("d", None)], "run string, best_val_acc double"
+    )
+    ranks = {r["run"]: r["rank"] for r in evaluation.rank_runs(board).collect()}
+    assert ranks == {"c": 1, "a": 2, "b": 3, "d": 3}

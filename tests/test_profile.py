@@ -123,3 +123,23 @@ def test_standardise_uses_population_deviation_and_keeps_constants(spark):
     x = np.array([1.0, 2.0, 6.0])
     assert [r["x"] for r in rows] == pytest.approx(list((x - x.mean()) / x.std()))
     assert [r["c"] for r in rows] == [0.0, 0.0, 0.0]
+
+
+def test_label_map_takes_any_number_of_labels(spark):
+    rows = spark.range(10_001).select(F.format_string("%06d", "id").alias("generated_by"))
+    mapping = labels.label_map(rows).orderBy("label").collect()
+    assert [r["label_id"] for r in mapping] == list(range(10_001))
+    assert mapping[7]["label"] == "000007"
+
+
+def test_summaries_hold_counts_beyond_ten_digits(spark):
+    from decimal import Decimal
+
+    table = spark.createDataFrame(
+        [(100, 20_000_000_000), (300, 20_000_000_000)], "value long, weight long"
+    )
+    words, words2 = profile._word_sums()
+    row = table.agg(
+        profile._mean(words).alias("mean"), profile._std(words, words2).alias("std"), words.alias("total")
+    ).first()
+    assert (row["mean"], row["std"], row["total"]) == (200.0, 100.0, Decimal(8_000_000_000_000))

@@ -77,6 +77,12 @@ def test_hashed_embedding_is_unit_and_native(texts):
     assert norms == pytest.approx([1.0, 0.0, 0.0])
 
 
+def test_hashed_embedding_reads_the_whole_text(texts):
+    start = "aa " * 300
+    rows = ops.embed_texts(texts([start + "bb", start + "cc"]), dim=1024).collect()
+    assert rows[0]["embedding"] != rows[1]["embedding"]
+
+
 def test_user_encoder(texts):
     def make():
         def encode(batch):
