@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from penmark.llm.arrowtext import row_slices, split_words
+from penmark.llm.columns import apart
 from penmark.llm.components import connected_components
 from penmark.session import materialise
 
@@ -113,7 +114,7 @@ def within(difference: Iterator[np.ndarray], alive: np.ndarray, radius: int) ->
     ``difference`` yields one plane after the other and takes, through ``send``, the places of the
     words that are still alive.
     """
-    width = radius.bit_length()
+    width = max(1, radius.bit_length())
     shape = alive.shape
     flat = alive.ravel()
     at = np.flatnonzero(flat)
@@ -321,6 +322,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` with the least doc_id of each group, one row for each group."""
+    docs, restored = apart(docs, ("doc_id", "text"))
     names = docs.columns
     fields = StructType([*docs.schema.fields, StructField("_fp", LongType())])
 
@@ -338,4 +340,4 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     chosen = marked.join(classes.withColumnRenamed("fp", "_fp"), "_fp").filter(
         F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
-    return chosen.dropDuplicates(["component"]).select(*names)
+    return restored(chosen.dropDuplicates(["component"]))

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from penmark.llm.arrowtext import row_slices
+from penmark.llm.columns import apart
 
 DIMENSIONS = 1024
 SEED = 42
@@ -238,11 +239,8 @@ def identify_held_out(docs: DataFrame, folds: int = 5) -> DataFrame:
 def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """The documents that resemble a language learned from all labelled ones, columns unchanged."""
     langs, prototypes = train(docs)
-    names = docs.columns  # renamed meanwhile, as a column may be called score
-    plain = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumnRenamed(
-        f"c{names.index('text')}", "text"
-    )
+    plain, restored = apart(docs, ("text",))
     kept = identify(plain, langs, prototypes, SEED).filter(
         (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)
     )
-    return kept.drop("lang_pred", "score").toDF(*names)
+    return restored(kept)

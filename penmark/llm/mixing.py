@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from penmark.llm.columns import apart
 from penmark.session import materialise
 
 SHARE = 1.5
@@ -169,12 +170,12 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` that the mix takes, once for each pass that takes any of their words."""
-    names = docs.columns
+    docs, restored = apart(docs, ("doc_id", "text", "source"))
     numbered = materialise(docs.withColumn("_place", F.monotonically_increasing_id()), "numbered")
     taken = mix(numbered, keep=["_place"], **parameters).filter("taken > 0")
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
     chosen = taken.select("_place", F.explode(F.sequence(F.lit(1), times)).alias("_time"))
-    return numbered.join(chosen, "_place").select(*names)
+    return restored(numbered.join(chosen, "_place"))
 
 
 SQL = r"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penmark.llm import licenses, mixing
+from penmark.llm.workers import make_importable
 from penmark.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +26,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    make_importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -75,14 +77,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_held_out(table(spark, sf_dir, "documents"))
 
 
-def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from penmark.llm.mixing import mix
-
-    return mix(table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))
-
-
-QUERIES["op4_weighted_fair_mix"] = _op4
-ORACLES["op4_weighted_fair_mix"] = mixing.SQL
+@query("op4_weighted_fair_mix", mixing.SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.withColumn("target", F.round("target", 6))
 
 
 @query("op5_simhash_fingerprints")

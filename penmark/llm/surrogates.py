@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from penmark.llm.columns import apart
 from penmark.session import materialise
 
 KEY = "change me"
@@ -48,31 +49,43 @@ NEW_SURNAMES = (
 ).split()
 NEW_SURNAMES_CYRILLIC = "Ардов Белин Вернов Гладин Дорин Ельцов Жаров Зимин Кедров Ларин Маслов Озеров".split()
 
-_EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+\-]*@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}"
+# Each part starts with what fails fast at most places: one character ahead or behind.
+_EMAIL = (
+    r"(?<![^\s,;:()<>\x22'=|])[^\s@,;:()<>\x22'=|]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)*\.\p{L}{2,}+(?![\p{L}\p{N}\-])"
+)
+_ACCESS_KEY = r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
 _SECRET = (
-    r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
-    r"|(?<=(?i:token|secret|api_key|apikey|password|passwd|pwd) {0,2}[=:] {0,2}[\x22']{0,1})[^\s\x22'<>,;]{8,}"
+    r"(?<=[=:\x22'] {0,1})"
+    r"(?<=(?i:token|secret|api_key|apikey|password|passwd|pwd) {0,2}[=:] {0,2}[\x22']{0,1})[^\s\x22'<>,;]{8,}+"
 )
 _IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _IP = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
 _PHONE = (
-    r"(?<![\p{L}0-9])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])"
+    r"(?<![\p{L}0-9])\+1[ .\-]?\(?[0-9]{3}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![0-9])"
+    r"|(?<![\p{L}0-9])\+[2-9][0-9]{0,2}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])"
     r"|(?<![\p{L}0-9])\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?![0-9])"
     r"|(?<![\p{L}0-9.\-])[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9\-])"
 )
 _SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 _CARD = r"(?<![\p{L}0-9.\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\p{L}0-9\-])"
+_CAPITAL = "[A-ZÀ-ÞА-Я]"
+_SMALL = "[a-zß-ÿа-я]"
 _GIVEN = "|".join([*FEMALE, *MALE, *FEMALE_CYRILLIC, *MALE_CYRILLIC])
 _BEFORE = "|".join([*FEMALE, *MALE, *FEMALE_CYRILLIC, *MALE_CYRILLIC, *TITLES])
 _NAME = (
-    rf"(?<!\p{{L}})(?:{_GIVEN})(?= \p{{Lu}}\p{{Ll}})"
-    rf"|(?<=(?<!\p{{L}})(?:{_BEFORE})\.{{0,1}} )\p{{Lu}}\p{{Ll}}+(?!\p{{L}})"
+    rf"(?:{_GIVEN})(?= {_CAPITAL}{_SMALL})"
+    rf"|(?<=(?<!\p{{L}})(?:{_BEFORE})\.{{0,1}} ){_CAPITAL}{_SMALL}++(?!\p{{L}})"
+)
+MENTION = (
+    f"{_EMAIL}|(?=[0-9+(])(?:{_IP}|{_PHONE}|{_SSN}|{_CARD})|(?=[A-Z])(?:{_ACCESS_KEY}|{_IBAN})"
+    rf"|{_SECRET}|(?={_CAPITAL}{_SMALL})(?<!\p{{L}})(?:{_NAME})"
 )
-MENTION = "|".join([_EMAIL, _SECRET, _IBAN, _IP, _PHONE, _SSN, _CARD, _NAME])
 # Cheap to test, and true for every text with a mention.
-MAYBE = r"[@0-9=:]|\p{Lu}\p{Ll}+\.? \p{Lu}\p{Ll}"
-
+MAYBE = (
+    r"[@0-9]|AKIA|[=:](?<=(?i:token|secret|api_key|apikey|password|passwd|pwd) {0,2}[=:])"
+    rf"|(?={_CAPITAL}{_SMALL})(?:{_BEFORE})\.? {_CAPITAL}{_SMALL}"
+)
 
 def _in(names: list[str]) -> str:
     return ", ".join(f"'{n}'" for n in names)
@@ -111,7 +124,7 @@ _KIND = rf"""CASE
  WHEN mention IN ({_in(MALE_CYRILLIC)}) THEN 'male_cyrillic'
  WHEN mention RLIKE r'^\p{{IsCyrillic}}+а$' THEN 'surname_cyrillic_a'
  WHEN mention RLIKE r'^\p{{IsCyrillic}}+$' THEN 'surname_cyrillic'
- WHEN mention RLIKE r'^\p{{Lu}}\p{{Ll}}+$' THEN 'surname'
+ WHEN mention RLIKE r'^{_CAPITAL}{_SMALL}+$' THEN 'surname'
  ELSE 'secret' END"""
 
 # Country codes stay: 1, or two digits after any other plus sign.
@@ -224,8 +237,9 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     Null and empty texts stay as they are, with 0 mentions. Repeated rows are kept and get equal
     texts. An empty table gives no rows. All other columns are kept; a column n_entities is replaced.
     """
-    names = [c for c in docs.columns if c != "n_entities"]
-    rows = docs.select(*names)
+    docs = docs.drop("n_entities")
+    rows, _ = apart(docs, ("doc_id", "text"))
+    names = rows.columns
     text = F.col("text")
     touched = F.coalesce(
         F.when(text.rlike(MAYBE), F.size(mentions(text)) > 0).otherwise(F.lit(False)), F.lit(False)
@@ -267,17 +281,14 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
         .withColumn("text", F.array_join(pieces, ""))
         .select(*names, "n_entities")
     )
-    return changed.union(rows.filter(~touched).select(*names, F.lit(0).alias("n_entities")))
+    out = changed.union(rows.filter(~touched).select(*names, F.lit(0).alias("n_entities")))
+    return out.toDF(*docs.columns, "n_entities")
 
 
 def without_private_data(docs: DataFrame, key: str = KEY) -> DataFrame:
     """The documents with surrogates, in the same columns; n_chars, if any, is that of the new text."""
-    names = docs.columns
-    plain = docs.withColumnRenamed("n_entities", "_n_entities") if "n_entities" in names else docs
-    out = replace_entities(plain, key).drop("n_entities")
-    if "_n_entities" in out.columns:
-        out = out.withColumnRenamed("_n_entities", "n_entities")
-    if "n_chars" in names:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.length("text").cast(kind))
-    return out.select(*names)
+    plain, restored = apart(docs, ("doc_id", "text"))
+    out = restored(replace_entities(plain, key))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
