@@ -11,6 +11,7 @@ from penmark.catalog.text import sql_list, stylometric_sql
 from penmark.constants import STYLE_FEATURES, STYLE_STOPWORDS, TERM_SAMPLE
 from penmark.functions.style import stylometric_features
 from penmark.operators import labels, sampling, scaling, tfidf, tokenids
+from penmark.session import materialise
 
 LABEL_MAP = """label_map AS (
   SELECT generated_by AS label, CAST(row_number() OVER (ORDER BY generated_by) - 1 AS integer) AS label_id
@@ -200,6 +201,9 @@ _SCALED = ", ".join(
     doubles=STYLE_FEATURES,
 )
 def standardise(spark, sf):
-    style = stylometric_features(corpus(spark, sf).select("doc_id", "split", "text")).drop("text")
+    # Written once: fitting and scaling both read the features.
+    style = materialise(
+        stylometric_features(corpus(spark, sf).select("doc_id", "split", "text")).drop("text"), "style"
+    )
     train = style.filter(F.col("split") == "train")
     return scaling.standardise(train, style, STYLE_FEATURES)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from penmark.bounded import attach
 from penmark.constants import MAX_WORDS
@@ -42,7 +43,15 @@ def first_copies(
 
     The smallest identity is found by a partial and a final aggregate over narrow rows, so a
     text that makes up a third of the corpus is reduced to one row per task before the shuffle.
+    A numeric identity of one column takes a hash aggregate without sorting; the ``keep`` columns
+    of the rows that it names follow by a join on the identity.
     """
+    if len(ids) == 1 and isinstance(df.schema[ids[0]].dataType, NumericType):
+        key = df.select(*within, text_key(text_col).alias("_key"), *ids)
+        first = key.groupBy(*within, "_key").agg(F.min(ids[0]).alias(ids[0]))
+        first = first.select(*within, *ids)
+        rest = [c for c in keep if c not in within]
+        return first.join(df.select(*ids, *rest), list(ids)) if rest else first
     key = df.select(*within, text_key(text_col).alias("_key"), F.struct(*ids, *keep).alias("_row"))
     first = key.groupBy(*within, "_key").agg(F.min("_row").alias("_row"))
     return first.select(*within, "_row.*")

@@ -185,7 +185,7 @@ def continuous_percentile(df: DataFrame, value: str, share: float) -> float | No
     top = df.agg(F.max(positive).alias("top")).first()["top"]
     if top is None:
         return None
-    width = max(1.0, top / PERCENTILE_INTERVALS)
+    width = top / PERCENTILE_INTERVALS
     counts = value_counts(df, [], positive).filter(F.col("weight") > 0)
     unit = F.floor(F.col("value") / width)
     units = counts.groupBy(unit.alias("unit")).agg(F.sum("weight").alias("n")).toArrow()

@@ -238,21 +238,30 @@ def number_rows(
     )
 
 
-def _count_up(df: DataFrame, count_col: str, out: str) -> DataFrame:
+def count_up(df: DataFrame, count_col: str, out: str) -> DataFrame:
     """Repeat each row ``count_col`` times, numbered from 0 in ``out``.
 
-    Two steps keep every generated array short, whatever the count is.
+    A row that is repeated very often is first dealt, in blocks of numbers, over all tasks; other
+    rows are repeated where they are.
     """
+    often = F.col(count_col) > SLOT_BLOCK
+    return _numbered(df.filter(~often), count_col, out, deal=False).unionByName(
+        _numbered(df.filter(often), count_col, out, deal=True)
+    )
+
+
+def _numbered(df: DataFrame, count_col: str, out: str, deal: bool) -> DataFrame:
     others = [c for c in df.columns if c != count_col]
     n = F.col(count_col).cast("bigint")
     blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / SLOT_BLOCK))
     start = F.col("_block") * SLOT_BLOCK
     end = F.least(start + SLOT_BLOCK, F.col(count_col).cast("bigint")) - 1
-    return (
-        df.filter(n > 0)
-        .select(*others, count_col, F.explode(blocks).alias("_block"))
-        .select(*others, F.explode(F.sequence(start, end)).alias(out))
-    )
+    placed = df.filter(n > 0).select(*others, count_col, F.explode(blocks).alias("_block"))
+    if deal:
+        # A fixed number, as these few short rows would otherwise be put together again.
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        placed = placed.repartition(tasks, F.xxhash64(*others, "_block"))
+    return placed.select(*others, F.explode(F.sequence(start, end)).alias(out))
 
 
 def upsample(
@@ -268,6 +277,18 @@ def upsample(
     Adds ``draw_no``, the running number of a row's copies. Draws are counted per row before
     they meet the texts, so each text is shuffled once however often it is drawn.
     """
+    picked = drawn_copies(df, class_col, ids, within, seed)
+    return count_up(df.join(picked, list(ids)), "_copies", draw_col)
+
+
+def drawn_copies(
+    df: DataFrame,
+    class_col: str = "generated_by",
+    ids: Sequence[str] = ("doc_id",),
+    within: Sequence[str] = (),
+    seed: int = SEED,
+) -> DataFrame:
+    """(ids, _copies): how often ``upsample`` draws each row; rows never drawn are left out."""
     by = [*within, class_col]
     df = df.filter(F.col(class_col).isNotNull())
     sizes = df.groupBy(*by).agg(F.count("*").alias("_size"))
@@ -297,5 +318,4 @@ def upsample(
         .groupBy(*by, "_rn")
         .agg(F.count("*").alias("_copies"))
     )
-    picked = number_rows(df, by, ids, seed).join(drawn, [*by, "_rn"]).select(*ids, "_copies")
-    return _count_up(df.join(picked, list(ids)), "_copies", draw_col)
+    return number_rows(df, by, ids, seed).join(drawn, [*by, "_rn"]).select(*ids, "_copies")

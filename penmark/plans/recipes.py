@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from penmark.constants import BALANCED_MAX_WORDS, MAX_WORDS, PAD_WORD, SEED
 from penmark.functions import words as w
 from penmark.operators.cleaning import first_copies, remove_outliers_iqr, split_words
-from penmark.operators.sampling import downsample, upsample
+from penmark.operators.sampling import count_up, downsample, drawn_copies
 from penmark.session import materialise
 
 TRANSFORMS = ("truncate", "pad_n_truncate", "remove_outliers", "split")
@@ -76,10 +76,9 @@ def clean_recipe(
         chosen = downsample(kept, class_col, row_ids, within, seed)
         return texts.join(chosen.select(*row_ids), row_ids, "left_semi")
     if balance == "upsample":
-        chosen = upsample(kept, class_col, row_ids, within, seed)
-        return texts.join(chosen.select(*row_ids, "draw_no"), row_ids).select(
-            *texts.columns, "draw_no"
-        )
+        copies = drawn_copies(kept, class_col, row_ids, within, seed)
+        drawn = count_up(texts.join(copies, row_ids), "_copies", "draw_no")
+        return drawn.select(*texts.columns, "draw_no")
     raise ValueError(f"unknown balance {balance!r}; known are {BALANCES}")
 
 

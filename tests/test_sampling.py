@@ -170,3 +170,12 @@ def test_recipes_balance_every_split(skewed, transform, balance):
     texts = {r[0] for r in skewed.select("text").distinct().collect()}
     if transform in ("truncate", "remove_outliers"):
         assert {r[0] for r in out.select("text").distinct().collect()} <= texts
+
+
+def test_copies_of_one_row_are_dealt_over_tasks(spark):
+    rows = [(i, "big") for i in range(100_000)] + [(100_000, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, generated_by string").withColumn("text", F.lit("t"))
+    drawn = sampling.upsample(df).filter("generated_by = 'one'")
+    per_task = drawn.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in per_task) == 100_000 and len(per_task) > 1
+    assert drawn.select("draw_no").distinct().count() == 100_000
