@@ -42,6 +42,7 @@ BUCKETS = 1 << 13
 ROUNDS = 2
 BATCH = 4096
 RATE = 0.3
+FEW_ROWS = 6  # ids with more rows are summed one by one
 SCALE = 1024  # fixed point of the changes of weights
 WEIGHT_BLOCK = 64  # buckets to a row when changes are summed
 
@@ -279,13 +280,31 @@ def step(
     slope = _softmax(_logits(weights, bias, features))
     slope[np.arange(len(classes)), classes] -= 1
     for k in range(features.shape[1]):
-        order = np.argsort(features[:, k], kind="stable")
-        sorted_ids = features[order, k]
-        starts = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
-        sums = np.add.reduceat(slope[order], starts, axis=0)
-        rows = sorted_ids[starts]
+        rows, sums = _row_sums(slope, features[:, k])
         squares[rows] += np.einsum("ij,ij->i", sums, sums)
-        weights[rows] -= (RATE / np.sqrt(squares[rows] + 1e-6))[:, None] * sums
+        sums *= (RATE / np.sqrt(squares[rows] + 1e-6))[:, None]
+        weights[rows] -= sums
+
+
+def _row_sums(values: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different ids in order, and the sum of the rows of ``values`` that have each.
+
+    Most ids have few rows, which are added one rank after the other for all such ids together.
+    """
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [len(ids)]]))
+    sums = values[order[starts]]
+    few = sizes <= FEW_ROWS
+    for rank in range(1, FEW_ROWS):
+        some = np.flatnonzero(few & (sizes > rank))
+        if not len(some):
+            break
+        sums[some] += values[order[starts[some] + rank]]
+    for i in np.flatnonzero(~few).tolist():
+        sums[i] = values[order[starts[i] : starts[i] + sizes[i]]].sum(axis=0)
+    return ids[starts], sums
 
 
 def _round(labelled: DataFrame, totals: Totals, weights: np.ndarray, bias: np.ndarray, part: int, rounds: int) -> np.ndarray:
