@@ -11,7 +11,9 @@ from penmark.catalog.text import sql_list, stylometric_sql
 from penmark.constants import STYLE_FEATURES, STYLE_STOPWORDS, TERM_SAMPLE
 from penmark.functions.style import stylometric_features
 from penmark.operators import labels, sampling, scaling, tfidf, tokenids
-from penmark.session import materialise
+from penmark.plans import report
+from penmark.session import materialise, new_path
+from penmark.sources import runs
 
 LABEL_MAP = """label_map AS (
   SELECT generated_by AS label, CAST(row_number() OVER (ORDER BY generated_by) - 1 AS integer) AS label_id
@@ -137,9 +139,8 @@ def tfidf_transform(spark, sf):
     return model.transform(corpus(spark, sf).filter(F.col("split") != "train"))
 
 
-@query(
-    "top_terms",
-    f"""WITH {CORPUS}, sampled AS (SELECT * FROM {sql_sample(5000, "corpus")}),
+def sql_top_terms(sample: int) -> str:
+    return f"""WITH {CORPUS}, sampled AS (SELECT * FROM {sql_sample(sample, "corpus")}),
         {sql_tfidf("sampled", "sampled", 20000, (1, 2), 5, STYLE_STOPWORDS, sublinear=True)},
         means AS (SELECT generated_by, term, sum(tfidf) / any_value(docs) AS mean_tfidf
                   FROM weights JOIN (SELECT generated_by, count(*) AS docs FROM sampled GROUP BY 1)
@@ -147,15 +148,32 @@ def tfidf_transform(spark, sf):
         SELECT generated_by, term, mean_tfidf, CAST(rank AS integer) AS rank FROM (
           SELECT *, row_number() OVER (PARTITION BY generated_by
                                        ORDER BY round(mean_tfidf, 12) DESC, term) AS rank FROM means)
-        WHERE rank <= 15""",
-    doubles=["mean_tfidf"],
-)
-def top_terms(spark, sf):
-    sample = sampling.sample_per_class(corpus(spark, sf), TERM_SAMPLE)
+        WHERE rank <= 15"""
+
+
+def _top_terms(spark, sf, sample):
+    rows = sampling.sample_per_class(corpus(spark, sf), sample)
     config = tfidf.TfidfConfig(
         20_000, (1, 2), min_df=5, stop_words=tuple(STYLE_STOPWORDS), sublinear_tf=True
     )
-    return tfidf.top_terms(sample, config)
+    return tfidf.top_terms(rows, config)
+
+
+@query("top_terms", sql_top_terms(TERM_SAMPLE), doubles=["mean_tfidf"])
+def top_terms(spark, sf):
+    return _top_terms(spark, sf, TERM_SAMPLE)
+
+
+@query("top_terms_document", sql_top_terms(60), doubles=["mean_tfidf"])
+def top_terms_document(spark, sf):
+    """Of samples of 60 texts per class, written as the published document and read back."""
+    document = report.top_terms_document(_top_terms(spark, sf, 60))
+    path = new_path(spark, "top-terms")
+    runs.write_summary_json(document, path)
+    saved = spark.read.schema(document.schema).json(path)
+    return saved.select("generated_by", F.posexplode("terms").alias("place", "t")).select(
+        "generated_by", "t.term", "t.mean_tfidf", (F.col("place") + 1).alias("rank")
+    )
 
 
 @query(

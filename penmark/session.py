@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -46,6 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
         application = spark.sparkContext.applicationId
         if application not in _local_dirs:
             _local_dirs[application] = tempfile.mkdtemp(prefix="penmark-")
+            atexit.register(shutil.rmtree, _local_dirs[application], ignore_errors=True)
         configured = _local_dirs[application]
     return configured.rstrip("/")
 
