@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penmark.llm import licenses, mixing
+from penmark.llm import egojoin, licenses, mixing
 from penmark.llm.workers import make_importable
 from penmark.session import new_path
 
@@ -63,11 +63,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@query("op10_ego_join")
+@query("op10_ego_join", egojoin.SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from penmark.llm.egojoin import near_vectors
-
-    return near_vectors(table(spark, sf_dir, "embeddings"))
+    return egojoin.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 @query("op2_hyperdimensional_language")
