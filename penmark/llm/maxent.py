@@ -57,6 +57,17 @@ def _one(values: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, mask=mask))
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    """Codes as compressed planes of their bytes; high bytes are mostly alike."""
+    planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, count: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 4 * count, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, count).T).view("<u4").ravel()
+
+
 def _chunks(docs: DataFrame) -> DataFrame:
     """Tokenised texts, a few million bytes to a row: dictionary, training counts and codes."""
 
@@ -97,7 +108,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
                         _one(part.column(0).fill_null(0).to_numpy(), missing),
                         _one(held),
                         _one(lengths.astype(np.int64)),
-                        pa.array([pa.compress(codes.tobytes(), "zstd", asbytes=True)], pa.binary()),
+                        pa.array([_packed(codes)], pa.binary()),
                     ],
                     names=[f.split()[0] for f in CHUNK.split(", ")],
                 )
@@ -174,16 +185,15 @@ def _counted(chunks: DataFrame) -> tuple[DataFrame, Totals, np.ndarray]:
     )
 
 
-LABELLED = "words array<long>, doc_ids array<long>, held array<boolean>, lengths array<long>, codes binary, counts array<long>, classes array<int>"
-
-
 def _labelled(chunks: DataFrame, counted: DataFrame) -> DataFrame:
     """The chunks with counts and classes of their dictionaries, in the order of the dictionary."""
     entries = counted.groupBy("chunk").agg(
         F.sort_array(F.collect_list(F.struct("place", "n", "class"))).alias("entries")
     )
     return (
-        chunks.select("chunk", "words", "doc_ids", "held", "lengths", "codes")
+        # Features need no more than some bits of a word's hash.
+        chunks.withColumn("words", F.transform("words", lambda w: w.bitwiseAND(0x7FFFFFFF).cast("int")))
+        .select("chunk", "words", "doc_ids", "held", "lengths", "codes")
         .join(entries, "chunk", "left")
         .select(
             "words",
@@ -218,12 +228,7 @@ def _tokens(batch: pa.RecordBatch, row: int, totals: Totals, chosen: np.ndarray)
     """Of the chosen texts of a chunk. Before a text stand blanks, which have a class of their own."""
     array = lambda name: batch.column(name)[row].values.to_numpy(zero_copy_only=False)
     lengths = array("lengths")
-    codes = np.frombuffer(
-        pa.decompress(
-            batch.column("codes")[row].as_py(), int(lengths.sum()) * 4, "zstd", asbytes=True
-        ),
-        np.uint32,
-    )
+    codes = _unpacked(batch.column("codes")[row].as_py(), int(lengths.sum()))
     starts = np.cumsum(lengths) - lengths
     codes = gather_runs(codes, starts[chosen], lengths[chosen])
     lengths = lengths[chosen]
@@ -233,7 +238,7 @@ def _tokens(batch: pa.RecordBatch, row: int, totals: Totals, chosen: np.ndarray)
     inside[ends] = False
     words, classes = np.full(size, 1, np.uint64), np.full(size, END, np.int32)
     counts = np.full(size, totals.ends, np.int64)
-    words[inside] = array("words").view(np.uint64)[codes]
+    words[inside] = array("words")[codes].astype(np.uint64)
     classes[inside] = array("classes")[codes]
     counts[inside] = array("counts")[codes]
     nth = np.arange(size) - np.repeat(ends - lengths, lengths + 1)
