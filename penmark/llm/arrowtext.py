@@ -80,7 +80,7 @@ def gather_runs(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
 
 
 # Texts that a worker takes apart at a time, so that its memory does not follow the Arrow batch.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def row_slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES):

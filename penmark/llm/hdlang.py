@@ -27,6 +27,8 @@ from penmark.llm.columns import apart
 
 DIMENSIONS = 1024
 SEED = 42
+# Texts taken apart at a time; the arrays of their n-grams take some sixty times as much.
+SLICE_BYTES = 2 << 20
 UNDETERMINED = "und"
 # Texts whose best cosine is below this are not of any known language.
 LEAST_SCORE = 0.05
@@ -111,7 +113,7 @@ def _gram_counts(rows: DataFrame) -> DataFrame:
         names: dict[str, int] = {}
         parts: list[tuple] = []
         for batch in batches:
-            for piece in row_slices(batch, 0):
+            for piece in row_slices(batch, 0, SLICE_BYTES):
                 text, grams, counts = grams_of(_texts(piece.column(0)))
                 lang = np.array(
                     [names.setdefault(x, len(names)) for x in piece.column(1).to_pylist()], np.int64
@@ -212,7 +214,7 @@ def identify(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = np.array([*langs, UNDETERMINED], object)
         for batch in batches:
-            for piece in row_slices(batch, place):
+            for piece in row_slices(batch, place, SLICE_BYTES):
                 best, score = compare(_texts(piece.column(place)), prototypes, seed)
                 yield pa.RecordBatch.from_arrays(
                     [*piece.columns, pa.array(labels[best], pa.string()), pa.array(score)],

@@ -324,6 +324,7 @@ def _round(labelled: DataFrame, totals: Totals, weights: np.ndarray, bias: np.nd
                 tokens = _tokens(batch, row, totals, np.flatnonzero(~held & turn))
                 for at in range(0, len(tokens.classes), BATCH):
                     step(own, squares, bias, tokens.features[at : at + BATCH], tokens.classes[at : at + BATCH])
+                del tokens  # before the next chunk is taken apart
         change = np.clip(np.rint((own - weights) * SCALE), -32767, 32767).astype("<i2")
         touched = squares > 0
         for block in range(BUCKETS // WEIGHT_BLOCK):
@@ -434,6 +435,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                     ],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
                 )
+                del tokens, logs
 
     scored = labelled.mapInArrow(
         run,

@@ -3,9 +3,9 @@
 Bounded-space online best fit: a task keeps a fixed number of open bins. A bitset has one bit for
 each amount of free space that some open bin has, so the tightest bin for a piece is the lowest set
 bit at or above its length. A piece that fits nowhere opens a bin; if all places are taken, the
-fullest open bin is closed for it. The pieces of an Arrow batch arrive longest first, which lets
+fullest open bin is closed for it. The pieces of some megabytes of text arrive longest first, which lets
 later, shorter pieces fill the gaps. Texts are neither shuffled nor gathered, and a task's memory
-is bounded by the open bins and one batch.
+is bounded by the open bins and those texts.
 
 Defined results: a null or empty text is the end id alone; a null ``doc_id`` is kept; repeated rows
 are packed each; an empty table gives no rows; other columns are ignored, whatever their names.
@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from penmark.llm.arrowtext import row_slices
 from penmark.llm.tokenise import stretches, with_end
 
 SEQUENCE_LENGTH = 1024
 OPEN_BINS = 4096
 END_ID = 2
+SLICE_BYTES = 12 << 20  # texts encoded and sorted by length at a time
 
 SCHEMA = (
     "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -91,7 +93,7 @@ def best_fit_pack(
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = stretches(tokenizer_path, drop_spaces=False)
         bins = OpenBins(length, open_bins, TaskContext.get().partitionId() << 40)
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_slices(whole, 1, SLICE_BYTES)):
             ids, bounds = with_end(*encoder.encode(batch.column(1)), end_id)
             doc, number, start, size = cut(bounds, length)
             at = bounds[doc] + start

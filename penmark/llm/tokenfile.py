@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from penmark.llm import rans
+from penmark.llm.arrowtext import row_slices
 from penmark.llm.tokenise import stretches, with_end
 from penmark.session import new_path
 
 BLOCK_TOKENS = 1 << 20
 END_ID = 2
+SLICE_BYTES = 12 << 20  # texts encoded at a time
 
 IDS = "part int, seq long, before long, doc_id long, n_tokens long, ids binary"
 BLOCKS = (
@@ -46,7 +48,7 @@ def _tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, width: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = stretches(tokenizer_path, drop_spaces=True), TaskContext.get().partitionId()
         seq = before = 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_slices(whole, 1, SLICE_BYTES)):
             ids, bounds = with_end(*encoder.encode(batch.column(1)), end_id)
             size = np.dtype(width).itemsize
             raw = pa.py_buffer(ids.astype(width))

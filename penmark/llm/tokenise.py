@@ -17,7 +17,7 @@ import pyarrow as pa
 from penmark.llm.arrowtext import gather_runs, string_array, text_bytes
 
 # Distinct stretches a worker remembers between batches; it forgets them all when full.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 
 _BYTES = np.arange(256)
 # Kinds of ASCII characters: 1 letter, 2 digit, 3 punctuation but for the apostrophe, 0 others.
