@@ -24,6 +24,8 @@ from penmark.llm.columns import apart
 from penmark.session import materialise
 
 KEY = "change me"
+# From this attempt on surrogates grow longer, so every kind always has free values.
+WIDER = 8
 
 # Given names that mark a person, and titles.
 FEMALE = (
@@ -125,6 +127,7 @@ _KIND = rf"""CASE
  WHEN mention RLIKE r'^\p{{IsCyrillic}}+а$' THEN 'surname_cyrillic_a'
  WHEN mention RLIKE r'^\p{{IsCyrillic}}+$' THEN 'surname_cyrillic'
  WHEN mention RLIKE r'^{_CAPITAL}{_SMALL}+$' THEN 'surname'
+ WHEN mention RLIKE r'^([^\p{{L}}\p{{N}}])\1*$' THEN 'none'
  ELSE 'secret' END"""
 
 # Country codes stay: 1, or two digits after any other plus sign.
@@ -148,7 +151,10 @@ def _names(names: list[str], ending: str = "") -> str:
 
 
 def _shape(text: str, seed: str = "seed") -> str:
-    """SQL: each character replaced by one of its kind: digit, Latin or Cyrillic letter, case."""
+    """SQL: each character replaced by one of its kind: digit, Latin or Cyrillic letter, case.
+
+    Symbols stay, but a text of nothing else becomes small letters.
+    """
     c = f"substring({text}, i, 1)"
     h = f"cast(conv(substring(sha2(concat({seed}, '/', i), 256), 1, 8), 16, 10) as long)"
     of = lambda letters: f"substring('{letters}', cast(1 + {h} % {len(letters)} as int), 1)"
@@ -156,27 +162,28 @@ def _shape(text: str, seed: str = "seed") -> str:
     return (
         f"array_join(transform(sequence(1, length({text})), i -> CASE "
         f"WHEN {text} RLIKE '^(?=.*[a-f])[0-9a-f]{{16,}}$' THEN {of('0123456789abcdef')} "
-        f"WHEN {c} RLIKE '[0-9]' THEN {of('0123456789')} "
+        f"WHEN {c} RLIKE r'\\p{{N}}' THEN {of('0123456789')} "
         f"WHEN {c} RLIKE r'[\\p{{IsCyrillic}}&&\\p{{Lu}}]' THEN upper({of(cyrillic)}) "
         f"WHEN {c} RLIKE r'\\p{{IsCyrillic}}' THEN {of(cyrillic)} "
         f"WHEN {c} RLIKE r'\\p{{Lu}}' THEN upper({of(latin)}) "
-        f"WHEN {c} RLIKE r'\\p{{L}}' THEN {of(latin)} ELSE {c} END), '')"
+        f"WHEN {c} RLIKE r'\\p{{L}}' OR NOT {text} RLIKE r'[\\p{{L}}\\p{{N}}]' THEN {of(latin)} ELSE {c} END), '')"
     )
 
 
 _DIGITS = "translate(concat(seed, sha2(seed, 256)), 'abcdef', '135792')"
+_MORE = f"substring(translate(sha2(concat(seed, '/more'), 256), 'abcdef', '135792'), 1, greatest(0, attempt - {WIDER - 1}))"
 _BYTE = "cast(conv(substring(seed, {}, 2), 16, 10) as int)"
-_BODY = f"concat(substring(entity, 1, 1), substring({_DIGITS}, 1, length(entity) - 2), '0')"
-_BBAN = _shape("substring(entity, 5)")
+_BODY = f"concat(substring(entity, 1, 1), substring({_DIGITS}, 1, length(entity) - 2), {_MORE}, '0')"
+_BBAN = f"concat({_shape('substring(entity, 5)')}, {_MORE})"
 
 _SURROGATE = rf"""CASE
- WHEN kind = 'email' THEN concat({_shape("substring_index(entity, '@', 1)")}, '@',
+ WHEN kind = 'email' THEN concat({_shape("substring_index(entity, '@', 1)")}, {_MORE}, '@',
    {_shape("regexp_replace(substring_index(entity, '@', -1), r'[.][^.]+$', '')", "concat(key, '/', substring_index(entity, '@', -1))")}, '.example')
- WHEN kind = 'ip' THEN concat_ws('.', '10', {_BYTE.format(1)}, {_BYTE.format(3)}, {_BYTE.format(5)})
- WHEN kind = 'phone' AND length(entity) = 10 THEN concat(2 + {_BYTE.format(1)} % 8, substring({_DIGITS}, 3, 2), 2 + {_BYTE.format(9)} % 8, substring({_DIGITS}, 11, 6))
- WHEN kind = 'phone' THEN substring({_DIGITS}, 1, length(entity))
- WHEN kind = 'card' THEN concat(substring({_BODY}, 1, length(entity) - 1), (10 - {_luhn(_BODY)} % 10) % 10)
- WHEN kind = 'ssn' THEN concat('9', substring({_DIGITS}, 1, 8))
+ WHEN kind = 'ip' THEN concat(concat_ws('.', if(attempt < {WIDER // 2}, 10, 240 + {_BYTE.format(7)} % 16), {_BYTE.format(1)}, {_BYTE.format(3)}, {_BYTE.format(5)}), if({_MORE} = '', '', '-'), {_MORE})
+ WHEN kind = 'phone' AND length(entity) = 10 THEN concat(2 + {_BYTE.format(1)} % 8, substring({_DIGITS}, 3, 2), 2 + {_BYTE.format(9)} % 8, substring({_DIGITS}, 11, 6), {_MORE})
+ WHEN kind = 'phone' THEN concat(substring({_DIGITS}, 1, length(entity)), {_MORE})
+ WHEN kind = 'card' THEN concat(substring({_BODY}, 1, length({_BODY}) - 1), (10 - {_luhn(_BODY)} % 10) % 10)
+ WHEN kind = 'ssn' THEN concat('9', substring({_DIGITS}, 1, 8), {_MORE})
  WHEN kind = 'iban' THEN concat(substring(entity, 1, 2), lpad(cast(98 - {_mod97(f"concat({_BBAN}, substring(entity, 1, 2), '00')")} as string), 2, '0'), {_BBAN})
  WHEN kind = 'female' THEN {_names(NEW_FEMALE)}
  WHEN kind = 'male' THEN {_names(NEW_MALE)}
@@ -185,16 +192,16 @@ _SURROGATE = rf"""CASE
  WHEN kind = 'surname_cyrillic' THEN {_names(NEW_SURNAMES_CYRILLIC)}
  WHEN kind = 'surname_cyrillic_a' THEN {_names(NEW_SURNAMES_CYRILLIC, "а")}
  WHEN kind = 'surname' THEN {_names(NEW_SURNAMES)}
- WHEN entity LIKE 'AKIA%' AND length(entity) = 20 THEN concat('AKIA', {_shape("substring(entity, 5)")})
- ELSE {_shape("entity")} END"""
+ WHEN entity LIKE 'AKIA%' AND length(entity) = 20 THEN concat('AKIA', {_shape("substring(entity, 5)")}, {_MORE})
+ ELSE concat({_shape("entity")}, {_MORE}) END"""
 
-# The surrogate in the separators and country code of the mention.
-_FULL = f"concat(substring({_PLAIN}, 1, length({_PLAIN}) - length(surrogate)), surrogate)"
+# The surrogate in the separators and country code of the mention; what is longer follows at the end.
+_FULL = f"concat(substring({_PLAIN}, 1, length({_PLAIN}) - length(entity)), surrogate)"
 _RENDERED = rf"""CASE
- WHEN kind IN ('phone', 'card', 'ssn', 'iban') THEN array_join(transform(sequence(1, length(mention)), i ->
+ WHEN kind IN ('phone', 'card', 'ssn', 'iban') THEN concat(array_join(transform(sequence(1, length(mention)), i ->
    if(substring(mention, i, 1) RLIKE '[0-9A-Za-z]',
       substring({_FULL}, length(regexp_replace(substring(mention, 1, i), '[^0-9A-Za-z]', '')), 1),
-      substring(mention, i, 1))), '')
+      substring(mention, i, 1))), ''), substring({_FULL}, length({_PLAIN}) + 1))
  WHEN kind = 'email' AND mention = upper(mention) THEN upper(surrogate)
  ELSE surrogate END"""
 

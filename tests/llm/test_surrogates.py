@@ -1,0 +1,42 @@
+"""Surrogates: formats without free values, numbers with neighbours, names told of again."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from penmark.llm import surrogates
+
+
+@pytest.fixture
+def bounded(monkeypatch):
+    """Fail instead of trying for ever."""
+    calls, write = [], surrogates.materialise
+
+    def counted(df, name):
+        calls.append(name)
+        assert len(calls) < 40, "no end of attempts"
+        return write(df, name)
+
+    monkeypatch.setattr(surrogates, "materialise", counted)
+
+
+def replaced(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["text"] for r in surrogates.replace_entities(df, "k").orderBy("doc_id").collect()]
+
+
+def test_secrets_of_symbols_come_to_an_end(spark, bounded):
+    out = replaced(spark, "password: ********", "pwd=--------", "password=!+#$%^&*() x", "pwd=١٢٣٤٥٦٧٨")
+    assert out[:2] == ["password: ********", "pwd=--------"]
+    assert re.fullmatch(r"password=[a-z]{10} x", out[2]) and re.fullmatch(r"pwd=[0-9]{8}", out[3])
+
+
+@pytest.mark.parametrize("kind", ["phone", "secret"])
+def test_formats_grow_when_all_values_are_taken(spark, bounded, kind):
+    # All numbers of two digits, or all secrets of one digit among symbols, are entities themselves.
+    n, form = (100, "%02d") if kind == "phone" else (10, "*******%d")
+    df = spark.range(n).select(F.lit(kind).alias("kind"), F.format_string(form, "id").alias("entity"))
+    out = surrogates.surrogates(df).collect()
+    assert len(out) == n and len({r["surrogate"] for r in out}) == n
+    assert not {r["surrogate"] for r in out} & {r["entity"] for r in out}
