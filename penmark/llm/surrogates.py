@@ -1,7 +1,7 @@
 """Keyed surrogates for personal data and credentials, in DataFrame operations only.
 
 Detected: e-mail addresses, telephone numbers, card numbers that pass the Luhn check, IBANs that
-pass their check, social security numbers, IPv4 addresses, credentials, and names of persons (a
+pass their check (also as a run of whole groups inside a longer number), social security numbers, IPv4 addresses, credentials, and names of persons (a
 known given name or a title before a capitalised word). Everything else in a text stays as it is.
 
 An entity is what all ways of writing it have in common (digits, lower case). A hash of a secret key,
@@ -60,7 +60,25 @@ _SECRET = (
     r"(?<=[=:\x22'] {0,1})"
     r"(?<=(?i:token|secret|api_key|apikey|password|passwd|pwd) {0,2}[=:] {0,2}[\x22']{0,1})[^\s\x22'<>,;]{8,}+"
 )
-_IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
+# Countries by the length of their IBAN.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU",
+}
+_IBAN_END = "(?![0-9A-Za-z])"
+_IBAN_REST = "|".join(
+    f"(?<=(?:{countries.replace(' ', '|')})[0-9]{{2}})(?: ?[0-9A-Z]{{4}}){{{(n - 4) // 4}}}"
+    + (f" ?[0-9A-Z]{{{n % 4}}}" if n % 4 else "")
+    + _IBAN_END
+    for n, countries in IBAN_LENGTHS.items()
+)
+_IBAN = (
+    rf"(?<![0-9A-Za-z])[A-Z]{{2}}[0-9]{{2}}(?:{_IBAN_REST}"
+    rf"|(?: ?[0-9A-Z]{{4}}){{2,7}}(?: ?[0-9A-Z]{{1,3}})?{_IBAN_END})"
+)
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _IP = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
 _PHONE = (
@@ -71,6 +89,11 @@ _PHONE = (
 )
 _SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 _CARD = r"(?<![\p{L}0-9.\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\p{L}0-9\-])"
+# The groups in which cards are written, for numbers that stand among others.
+_CARD_GROUPS = (
+    r"(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}(?:[ \-][0-9]{3})?|3[0-9]{3}[ \-][0-9]{6}[ \-][0-9]{4,5}"
+    r"|4[0-9]{3}(?:[ \-][0-9]{3}){3}|[0-9]{6}[ \-][0-9]{7,13})"
+)
 _CAPITAL = "[A-ZÀ-ÞА-Я]"
 _SMALL = "[a-zß-ÿа-я]"
 _GIVEN = "|".join([*FEMALE, *MALE, *FEMALE_CYRILLIC, *MALE_CYRILLIC])
@@ -130,6 +153,19 @@ _KIND = rf"""CASE
  WHEN mention RLIKE r'^([^\p{{L}}\p{{N}}])\1*$' THEN 'none'
  ELSE 'secret' END"""
 
+# Of a number that fails its check: the longest run of whole groups that passes one, and where it starts.
+_STARTS = "filter(sequence(1, length(mention)), i -> i = 1 OR substring(mention, i - 1, 1) IN (' ', '-'))"
+_ENDS = "filter(sequence(1, length(mention)), i -> substring(mention, i + 1, 1) IN ('', ' ', '-'))"
+_SPANS = (
+    f"flatten(transform({_STARTS}, a -> transform(filter({_ENDS}, b -> b >= a + 12), "
+    f"b -> named_struct('n', b - a + 1, 'at', a, 'x', substring(mention, a, b - a + 1)))))"
+)
+_BARE = "regexp_replace(p.x, '[ -]', '')"
+_VALID = rf"""(p.x RLIKE r'^{_CARD_GROUPS}$' AND {_luhn(_BARE)} % 10 = 0)
+ OR (p.x RLIKE r'^{_IBAN}$' AND {_mod97(f"concat(substring({_BARE}, 5), substring({_BARE}, 1, 4))")} = 1)"""
+_PART = f"array_max(transform(filter({_SPANS}, p -> {_VALID}), p -> named_struct('n', p.n, 'at', -p.at, 'x', p.x)))"
+_CHECKED = f"(mention RLIKE r'^{_CARD}$' OR mention RLIKE r'^{_IBAN}$') AND mention RLIKE '[ -]'"
+
 # Country codes stay: 1, or two digits after any other plus sign.
 _ENTITY = rf"""CASE
  WHEN kind = 'email' THEN lower(mention)
@@ -204,6 +240,8 @@ _RENDERED = rf"""CASE
       substring(mention, i, 1))), ''), substring({_FULL}, length({_PLAIN}) + 1))
  WHEN kind = 'email' AND mention = upper(mention) THEN upper(surrogate)
  ELSE surrogate END"""
+# What stands around a part of the whole mention stays.
+_AROUND = "concat(substring(whole, 1, at - 1), {}, substring(whole, at + length(mention)))"
 
 
 def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
@@ -256,13 +294,23 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
         with_some.select(F.explode("_found").alias("mention"))
         .distinct()
         .withColumn("kind", F.expr(_KIND))
+        .withColumn("part", F.expr(f"CASE WHEN kind = 'none' AND {_CHECKED} THEN {_PART} END"))
+        .selectExpr(
+            "mention AS whole",
+            "coalesce(-part.at, 1) AS at",
+            "coalesce(part.x, mention) AS mention",
+            "CASE WHEN part IS NULL THEN kind WHEN part.x RLIKE '^[A-Z]' THEN 'iban' ELSE 'card' END AS kind",
+        )
         .filter("kind <> 'none'")
         .withColumn("entity", F.expr(_ENTITY))
     )
     known = materialise(distinct, "mentions")
     new = surrogates(known.select("kind", "entity").distinct(), key)
     rendered = materialise(
-        known.join(new, ["kind", "entity"]).select("mention", F.expr(_RENDERED).alias("new")), "rendered"
+        known.join(new, ["kind", "entity"]).select(
+            F.col("whole").alias("mention"), F.expr(_AROUND.format(_RENDERED)).alias("new")
+        ),
+        "rendered",
     )
     # Equal rows share a map; the id spreads copies of one text.
     id_hash = F.xxhash64("doc_id") if "doc_id" in names else F.lit(0)

@@ -40,3 +40,24 @@ def test_formats_grow_when_all_values_are_taken(spark, bounded, kind):
     out = surrogates.surrogates(df).collect()
     assert len(out) == n and len({r["surrogate"] for r in out}) == n
     assert not {r["surrogate"] for r in out} & {r["entity"] for r in out}
+
+
+def test_numbers_with_neighbours(spark):
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    texts = [
+        f"{card} 12/25",
+        f"{card} 123",
+        f"{card.replace(' ', '-')}-123",
+        f"12 {card}.",
+        f"{iban} BIC X",
+        f"{iban} {card}",
+        f"AB12 {card} x",
+        "3782 822463 10005 07",
+        "4041 8949 7460 8796 12",
+    ]
+    out = replaced(spark, *texts)
+    assert not [t for t in out if "1111" in t or "1332" in t or "82246" in t]
+    assert out[0].endswith(" 12/25") and out[1].endswith(" 123") and out[2].endswith("-123")
+    assert out[3].startswith("12 ") and out[4].endswith(" BIC X") and out[6].startswith("AB12 ")
+    assert out[0][:19] == out[1][:19] == out[3][3:22] == out[5][-19:] and out[7].endswith(" 07")
+    assert out[8] == texts[8]
