@@ -2,7 +2,8 @@
 
 Detected: e-mail addresses, telephone numbers, card numbers that pass the Luhn check, IBANs that
 pass their check (also as a run of whole groups inside a longer number), social security numbers, IPv4 addresses, credentials, and names of persons (a
-known given name or a title before a capitalised word). Everything else in a text stays as it is.
+known given name or a title before capitalised words, with initials and particles between them, and
+each part of such a name again wherever it stands in the same text). All else stays as it is.
 
 An entity is what all ways of writing it have in common (digits, lower case). A hash of a secret key,
 the kind and the entity gives a surrogate of the same kind: names keep gender and script, numbers
@@ -98,18 +99,25 @@ _CAPITAL = "[A-ZÀ-ÞА-Я]"
 _SMALL = "[a-zß-ÿа-я]"
 _GIVEN = "|".join([*FEMALE, *MALE, *FEMALE_CYRILLIC, *MALE_CYRILLIC])
 _BEFORE = "|".join([*FEMALE, *MALE, *FEMALE_CYRILLIC, *MALE_CYRILLIC, *TITLES])
+# A part of a name (Smith, O'Brien, McDonald), and what may stand before the next one: initials, particles.
+_WORD = rf"{_CAPITAL}(?:[\x27’]{_CAPITAL})?{_SMALL}++(?:{_CAPITAL}{_SMALL}++)?(?!\p{{L}})"
+_INITIALS = rf"(?:(?:{_CAPITAL}\.){{1,3}}|{_CAPITAL})"
+_PARTICLES = "(?:van|von|der|den|de|del|della|di|da|du|la|le|los|zu)"
+_NEXT = rf"(?:(?: {_INITIALS}){{0,2}}(?: {_PARTICLES}){{0,2}} |-){_WORD}"
 _NAME = (
-    rf"(?:{_GIVEN})(?= {_CAPITAL}{_SMALL})"
-    rf"|(?<=(?<!\p{{L}})(?:{_BEFORE})\.{{0,1}} ){_CAPITAL}{_SMALL}++(?!\p{{L}})"
+    rf"(?:{_GIVEN})(?!\p{{L}})(?:{_NEXT}){{1,3}}"
+    rf"|(?<=(?<!\p{{L}})(?:{'|'.join(TITLES)})\.{{0,1}} (?:(?:{_CAPITAL}\.){{1,2}} ){{0,1}}){_WORD}(?:{_NEXT}){{0,3}}"
 )
+_BARE_WORD = rf"(?<!\p{{L}}){_WORD}"
+_WHOLE_NAME = rf"^{_WORD}(?:{_NEXT})*$"
 MENTION = (
     f"{_EMAIL}|(?=[0-9+(])(?:{_IP}|{_PHONE}|{_SSN}|{_CARD})|(?=[A-Z])(?:{_ACCESS_KEY}|{_IBAN})"
-    rf"|{_SECRET}|(?={_CAPITAL}{_SMALL})(?<!\p{{L}})(?:{_NAME})"
+    rf"|{_SECRET}|(?={_CAPITAL}[\x27\u2019a-zß-ÿа-я])(?<!\p{{L}})(?:{_NAME})"
 )
 # Cheap to test, and true for every text with a mention.
 MAYBE = (
     r"[@0-9]|AKIA|[=:](?<=(?i:token|secret|api_key|apikey|password|passwd|pwd) {0,2}[=:])"
-    rf"|(?={_CAPITAL}{_SMALL})(?:{_BEFORE})\.? {_CAPITAL}{_SMALL}"
+    rf"|(?={_CAPITAL}{_SMALL})(?:{_BEFORE})(?:\.?[ \-]{_CAPITAL}| {_PARTICLES} )"
 )
 
 def _in(names: list[str]) -> str:
@@ -149,7 +157,7 @@ _KIND = rf"""CASE
  WHEN mention IN ({_in(MALE_CYRILLIC)}) THEN 'male_cyrillic'
  WHEN mention RLIKE r'^\p{{IsCyrillic}}+а$' THEN 'surname_cyrillic_a'
  WHEN mention RLIKE r'^\p{{IsCyrillic}}+$' THEN 'surname_cyrillic'
- WHEN mention RLIKE r'^{_CAPITAL}{_SMALL}+$' THEN 'surname'
+ WHEN mention RLIKE r'^{_WORD}$' THEN 'surname'
  WHEN mention RLIKE r'^([^\p{{L}}\p{{N}}])\1*$' THEN 'none'
  ELSE 'secret' END"""
 
@@ -289,9 +297,17 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     touched = F.coalesce(
         F.when(text.rlike(MAYBE), F.size(mentions(text)) > 0).otherwise(F.lit(False)), F.lit(False)
     )
-    with_some = rows.filter(touched).withColumn("_found", mentions(text))
+    # The parts of a text's names count one by one, in the names and wherever else they stand.
+    is_name = lambda m: m.rlike(_WHOLE_NAME)
+    words = lambda t: F.regexp_extract_all(t, F.lit(_BARE_WORD), F.lit(0))
+    with_some = (
+        rows.filter(touched)
+        .withColumn("_found", mentions(text))
+        .withColumn("_words", F.array_distinct(F.flatten(F.transform(F.filter("_found", is_name), words))))
+        .withColumn("_known", F.array_union(F.filter("_found", lambda m: ~is_name(m)), "_words"))
+    )
     distinct = (
-        with_some.select(F.explode("_found").alias("mention"))
+        with_some.select(F.explode("_known").alias("mention"))
         .distinct()
         .withColumn("kind", F.expr(_KIND))
         .withColumn("part", F.expr(f"CASE WHEN kind = 'none' AND {_CHECKED} THEN {_PART} END"))
@@ -316,19 +332,46 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     id_hash = F.xxhash64("doc_id") if "doc_id" in names else F.lit(0)
     keyed = with_some.withColumn("_k1", id_hash).withColumn("_k2", F.xxhash64("text"))
     maps = (
-        keyed.select("_k1", "_k2", F.explode(F.array_distinct("_found")).alias("mention"))
+        keyed.select("_k1", "_k2", F.explode("_known").alias("mention"))
         .distinct()
         .join(rendered, "mention")
         .groupBy("_k1", "_k2")
         .agg(F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias("_map"))
     )
-    gaps = F.split(text, MENTION, -1)
+    own = lambda w: F.array_contains("_words", w)
+
+    def renamed(part: Column) -> Column:
+        """A part of the text with the words of its own names replaced."""
+        pieces = F.zip_with(
+            F.split(part, _BARE_WORD, -1),
+            words(part),
+            lambda gap, w: F.concat(gap, F.when(own(w), F.element_at("_map", w)).otherwise(F.coalesce(w, F.lit("")))),
+        )
+        return F.when(F.size("_words") > 0, F.array_join(pieces, "")).otherwise(part)
+
     pieces = F.zip_with(
-        gaps,
+        F.split(text, MENTION, -1),
         "_found",
-        lambda gap, found: F.concat(gap, F.coalesce(F.element_at("_map", found), found, F.lit(""))),
+        lambda gap, found: F.concat(
+            renamed(gap),
+            F.when(found.isNull(), F.lit(""))
+            .when(is_name(found), renamed(found))
+            .otherwise(F.coalesce(F.element_at("_map", found), found)),
+        ),
+    )
+    others = F.filter("_found", lambda m: ~is_name(m))
+    # Names and gaps, without the other mentions, in one string.
+    named = F.array_join(
+        F.zip_with(
+            F.split(text, MENTION, -1),
+            "_found",
+            lambda gap, found: F.concat(gap, F.lit("\n"), F.when(is_name(found), found).otherwise(F.lit("")), F.lit("\n")),
+        ),
+        "",
     )
-    count = F.size(F.filter("_found", lambda m: F.map_contains_key("_map", m)))
+    count = F.size(F.filter(others, lambda m: F.map_contains_key("_map", m))) + F.when(
+        F.size("_words") > 0, F.size(F.filter(words(named), own))
+    ).otherwise(0)
     changed = (
         keyed.join(maps, ["_k1", "_k2"], "left")
         .withColumn("_map", F.coalesce("_map", F.create_map().cast("map<string,string>")))

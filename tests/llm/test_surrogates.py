@@ -61,3 +61,24 @@ def test_numbers_with_neighbours(spark):
     assert out[3].startswith("12 ") and out[4].endswith(" BIC X") and out[6].startswith("AB12 ")
     assert out[0][:19] == out[1][:19] == out[3][3:22] == out[5][-19:] and out[7].endswith(" 07")
     assert out[8] == texts[8]
+
+
+def test_names_told_of_again(spark):
+    texts = [
+        "Mary Smith came. Mary said that Smith left; Smith's dog and Smithson stayed.",
+        "John F. Kennedy spoke, then Kennedy left.",
+        "Mary Ann Smith wrote. Ann is Smith.",
+        "Hans-Peter Müller, Carlos de la Cruz and Dr. J. O'Brien; O'Brien and Cruz too.",
+        "Smith wrote of Berlin.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = surrogates.replace_entities(df, "k").orderBy("doc_id").collect()
+    out = [r["text"] for r in rows]
+    a, b = re.fullmatch(r"([\w-]+) ([\w-]+) came\. \1 said that \2 left; \2's dog and Smithson stayed\.", out[0]).groups()
+    assert set(a.split("-")) <= set(surrogates.NEW_FEMALE) and set(b.split("-")) <= set(surrogates.NEW_SURNAMES)
+    given, surname = re.fullmatch(r"([\w-]+) F\. ([\w-]+) spoke, then \2 left\.", out[1]).groups()
+    assert set(given.split("-")) <= set(surrogates.NEW_MALE) and surname != "Kennedy"
+    assert re.fullmatch(rf"{a} ([\w-]+) {b} wrote\. \1 is {b}\.", out[2]) and "Ann" not in out[2]
+    assert not re.search("Hans|Peter|Müller|Carlos|Cruz|Brien", out[3]) and " de la " in out[3]
+    assert out[4] == texts[4]
+    assert [r["n_entities"] for r in rows] == [5, 3, 5, 8, 0]
