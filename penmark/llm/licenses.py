@@ -1,11 +1,15 @@
 """Licence recognition by sentences and rules, in DataFrame operations only.
 
+Wrapped lines are joined, without comment markers, unless only the line alone is a known sentence.
 A text is cut into sentences, which are normalised (lower case, words and version numbers only) and
 mapped to identifiers of known licence sentences; a run of other sentences becomes ``~``. Then the
 rules are tried in their order on the sequence of identifiers. A rule that matches takes its
 sentences away from later ones, so a full licence text is not reported again by a part of it.
 Sentences that no rule explains are reported as ``UNKNOWN``.
 
+The SQL is a simpler reading: it ends sentences at each newline. It gives equal results
+where no licence is wrapped.
+
 Texts without a trigger word are not cut at all, and nothing is shuffled.
 """
 
@@ -99,6 +103,25 @@ TRIGGERS = (
     "licen", "copyright", "redistribut", "permission", "as is", "liable", "free software",
     "public domain", "rights reserved", "endorse", "in the hope", "any later version",
 )
+# Steps from a wrapped text to sentences (between breaks), which may hold newlines. Paragraphs, list
+# items and lines of copyright end a sentence; other newlines do not.
+BREAK = "\x01"
+UNWRAPPING = (
+    ("\\r\\n?", "\n"),
+    ("(?m)^[ \\t]*(?:#+|/{2,}|/\\*+|\\*+/|\\*+(?=[ \\t]|$)|--+|;+|%+|<!--|-->|\\x22{3})[ \\t]*", ""),  # comment markers
+    ("(?m)[ \\t]*(?:\\*+/|\\*+|#+|-->)[ \\t]*$", ""),
+    ("\\b([Aa]t):?\\s+(?=https?://)", "$1 "),  # the address stands in a paragraph of its own
+    (",\\s+(?=either\\s+version\\b)", "; "),  # one text of the GPL has a comma, another a semicolon
+    (";\\s+(?=without\\s+even\\b)", ", "),
+    (
+        "(?m)^[ \\t]*((?i:copyright)[ \\t]+(?:(?:\\([cC]\\)|©)[ \\t]*)?[0-9](?:(?![.!?;:][ \\t])[^\\n])*)$",
+        f"{BREAK}$1{BREAK}",
+    ),
+    ("(?m)^[ \\t]*(?=(?:Permission (?:is hereby|to use)|Redistribution and use|Licensed under|Released under)\\b)", BREAK),
+    ("\\n[ \\t]*\\n\\s*", BREAK),
+    ("\\n[ \\t]*(?:\\(?(?:[0-9]{1,2}|[a-z]|[ivx]{1,4})[.)]|[-*•+])[ \\t]+", BREAK),
+    ("([.!?;:])[ \\t\\n]+", f"$1{BREAK}"),
+)
 
 
 def _quoted(pattern: str) -> str:
@@ -121,7 +144,14 @@ def _sql(dialect: str) -> dict[str, str]:
     def extract(x: str, pattern: str) -> str:
         return f"regexp_extract({x}, {raw}{_quoted(pattern)}, 1)"
 
-    trigger = " OR ".join(f"contains({{0}}, {_quoted(t)})" for t in TRIGGERS)
+    words = TRIGGERS
+    trigger = " OR ".join(f"contains({{0}}, {_quoted(t)})" for t in words)
+    if spark:  # in a text, a trigger of several words may be wrapped or have other signs between them
+        phrases = "|".join(t.replace(" ", "[^a-z0-9.]+") for t in words if " " in t)
+        wrapped = " OR ".join(f"contains({{0}}, {_quoted(t)})" for t in words if " " not in t)
+        in_text = wrapped.format("lower(text)") + f" OR lower(text) RLIKE '{phrases}'"
+    else:
+        in_text = trigger.format("lower(text)")
     normal = replaced("lower(s)", "licence", "license")
     normal = replaced(normal, "[^a-z0-9.]+", " ")
     normal = replaced(normal, "^[ .]+|[ .]+$", "")
@@ -132,11 +162,21 @@ def _sql(dialect: str) -> dict[str, str]:
         value = f"concat('{name}-', {extract('s', whole)})" if with_version else f"'{name}'"
         cases.append(f"WHEN {matches('s', whole)} THEN {value}")
     named = f"CASE WHEN NOT ({trigger.format('s')}) THEN '~' {' '.join(cases)} ELSE '~' END"
-    lines = replaced("text", "([.!?;:])[ \\t\\n\\r]+", f"{group}1\n")
     if spark:
-        sentences = f"filter(transform(split({lines}, '\\n'), s -> {normal}), s -> s <> '')"
-        ids = f"array_join(transform({sentences}, s -> {named}), ' ')"
+        text = "text"
+        for pattern, by in UNWRAPPING:
+            text = replaced(text, pattern, by)
+        cut = lambda x: f"filter(transform({x}, s -> {normal}), s -> NOT s RLIKE '^[0-9]{{0,2}}$')"
+        one_line = f"array_join(transform({cut('array(u)')}, s -> {named}), ' ')"
+        # A sentence that is not known as a whole is taken line by line.
+        lines = f"array_join(transform({cut('split(u, ' + chr(39) + chr(92) + 'n' + chr(39) + ')')}, s -> {named}), ' ')"
+        unit = (
+            f"element_at(transform(array({one_line}), "
+            f"v -> if(v = '~' AND contains(u, '\\n'), {lines}, v)), 1)"
+        )
+        ids = f"array_join(filter(transform(split({text}, '{BREAK}'), u -> {unit}), v -> v <> ''), ' ')"
     else:
+        lines = replaced("text", "([.!?;:])[ \\t\\n\\r]+", f"{group}1\n")
         sentences = f"list_filter(list_transform(string_split({lines}, chr(10)), lambda s: {normal}), lambda s: s <> '')"
         ids = f"array_to_string(list_transform({sentences}, lambda s: {named}), ' ')"
     sequence = replaced(ids, "~(?: ~)*", "~")
@@ -146,7 +186,7 @@ def _sql(dialect: str) -> dict[str, str]:
         found = replaced(found, f"(^|[ ]){pattern}(?:$|(?=[ ]))" if spark else f"(^|[ ]){pattern}\\b",
                          f"{group}1=" + licence.replace("{1}", f"{group}2") + "=")
     return {
-        "trigger": f"({trigger.format('lower(text)')})",
+        "trigger": f"({in_text})",
         "sequence": sequence,
         "found": found,
     }
