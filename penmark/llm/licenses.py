@@ -7,14 +7,16 @@ rules are tried in their order on the sequence of identifiers. A rule that match
 sentences away from later ones, so a full licence text is not reported again by a part of it.
 Sentences that no rule explains are reported as ``UNKNOWN``.
 
-The SQL is a simpler reading: it ends sentences at each newline. It gives equal results
-where no licence is wrapped.
+The SQL is a simpler reading: it ends sentences at each newline, and needs the word licence or the
+like. It gives equal results where no licence is wrapped or named by Creative Commons alone.
 
 Texts without a trigger word are not cut at all, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +105,9 @@ TRIGGERS = (
     "licen", "copyright", "redistribut", "permission", "as is", "liable", "free software",
     "public domain", "rights reserved", "endorse", "in the hope", "any later version",
 )
+# Those of sentences that name Creative Commons without the word licence.
+MORE_TRIGGERS = ("cc0", "cc by", "creative commons")
+
 # Steps from a wrapped text to sentences (between breaks), which may hold newlines. Paragraphs, list
 # items and lines of copyright end a sentence; other newlines do not.
 BREAK = "\x01"
@@ -144,7 +149,7 @@ def _sql(dialect: str) -> dict[str, str]:
     def extract(x: str, pattern: str) -> str:
         return f"regexp_extract({x}, {raw}{_quoted(pattern)}, 1)"
 
-    words = TRIGGERS
+    words = (*TRIGGERS, *MORE_TRIGGERS) if spark else TRIGGERS
     trigger = " OR ".join(f"contains({{0}}, {_quoted(t)})" for t in words)
     if spark:  # in a text, a trigger of several words may be wrapped or have other signs between them
         phrases = "|".join(t.replace(" ", "[^a-z0-9.]+") for t in words if " " in t)
@@ -158,7 +163,7 @@ def _sql(dialect: str) -> dict[str, str]:
     cases = []
     for name, pattern in SENTENCES:
         whole = f"^(?:{pattern})$"
-        with_version = "([" in pattern.replace("(?:[", "")
+        with_version = re.compile(pattern).groups > 0 if spark else "([" in pattern.replace("(?:[", "")
         value = f"concat('{name}-', {extract('s', whole)})" if with_version else f"'{name}'"
         cases.append(f"WHEN {matches('s', whole)} THEN {value}")
     named = f"CASE WHEN NOT ({trigger.format('s')}) THEN '~' {' '.join(cases)} ELSE '~' END"

@@ -1,4 +1,6 @@
-"""Licences in their usual wrapped form."""
+"""Licences in their usual wrapped form, and one sentence of each pattern."""
+
+import re
 
 from penmark.llm import licenses
 
@@ -80,7 +82,31 @@ def found(spark, texts):
 def test_wrapped_texts(spark):
     texts = [t if m is None else commented(t, m) for m in (None, "#", " *", "//") for t in TEXTS]
     texts += [t.replace("\n", "\r\n") for t in TEXTS]
-    texts += ["x\nReleased under the MIT License\nand more"]
+    texts += ["x\nReleased under the MIT License\nand more", "# x\n\nThis work is licensed under CC BY\n4.0."]
     got = found(spark, texts)
     # A title is part of the licence or a second mention of it.
-    assert [";".join(dict.fromkeys(g.split(";"))) for g in got] == [*TEXTS.values()] * 5 + ["MIT"]
+    assert [";".join(dict.fromkeys(g.split(";"))) for g in got] == [*TEXTS.values()] * 5 + ["MIT", "CC-BY-4.0"]
+
+
+def least(pattern):
+    """The shortest sentence of a pattern, without its optional parts."""
+    while True:
+        shorter = re.sub(r"\((?:\?:)?[^()]*\)\?", "", pattern)
+        shorter = re.sub(r"\((?:\?:)?([^()|]*)(?:\|[^()]*)?\)(?!\?)", r"\1", shorter)
+        if shorter == pattern:
+            break
+        pattern = shorter
+    pattern = re.sub(r"\[([^\]\\])[^\]]*\]", r"\1", pattern.replace("\\.", "."))
+    return re.sub(r" \?|.\?", "", pattern.replace(".*", "x"))
+
+
+def test_every_sentence_passes_the_filter(spark):
+    sentences = [least(p) for _, p in licenses.SENTENCES]
+    good = [(n, s) for (n, p), s in zip(licenses.SENTENCES, sentences) if re.fullmatch(p, s)]
+    assert len(good) == len(sentences), set(sentences) - {s for _, s in good}
+    texts = [s for _, s in good]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["sentence_ids"].split("-")[0] for r in licenses.scan_licenses(df).orderBy("doc_id").collect()]
+    assert got == [n for n, _ in good]
+    some = ["This work is released under CC BY 4.0.", "Available under CC-BY-SA 4.0", "Distributed under CC0 1.0"]
+    assert found(spark, some) == ["CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0"]
