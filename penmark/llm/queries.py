@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penmark.llm import egojoin, licenses, mixing
+from penmark.llm import egojoin, filteraudit, licenses, mixing
 from penmark.llm.workers import make_importable
 from penmark.session import new_path
 
@@ -105,3 +105,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from penmark.llm.maxent import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op11_filter_audit", filteraudit.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit_filters(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
