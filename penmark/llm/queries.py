@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penmark.llm import egojoin, filteraudit, licenses, mixing
+from penmark.llm import egojoin, filteraudit, licenses, maxscore, mixing
 from penmark.llm.workers import make_importable
 from penmark.session import new_path
 
@@ -112,3 +112,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit_filters(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     )
+
+
+@query("op12_maxscore_top_k", maxscore.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.search_embeddings(table(spark, sf_dir, "embeddings"))
