@@ -57,6 +57,7 @@ class Shard:
         held = held[np.argsort(self.places[held], kind="stable")]
         self.n_terms = int(lengths.max(initial=0))
         cuts = np.searchsorted(self.places[held], np.arange(self.n_terms + 1))
+        narrow = np.int32 if np.abs(values.astype(float)).max(initial=0) < 2.0**31 else np.int64
         self.postings: list[tuple[np.ndarray | None, np.ndarray]] = []
         self.low, self.high = np.zeros(self.n_terms, np.int64), np.zeros(self.n_terms, np.int64)
         self.heads: list[np.ndarray] = []
@@ -65,12 +66,16 @@ class Shard:
             docs, impacts = owners[part], values[part]
             if len(impacts):
                 self.low[term], self.high[term] = impacts.min(), impacts.max()
-            full = len(docs) == len(ids)
-            if not full:  # documents without the term add 0
+            if len(docs) < len(ids):  # documents without the term add 0
                 self.low[term], self.high[term] = min(self.low[term], 0), max(self.high[term], 0)
             order = np.argsort(impacts, kind="stable")
             self.heads.append(docs[np.r_[order[:HEAD], order[HEAD:][-HEAD:]]])
-            self.postings.append((None if full else docs, impacts))
+            impacts = impacts.astype(narrow)
+            if 2 * len(docs) >= len(ids):  # a long posting has a place for every document
+                docs, column = None, np.zeros(len(ids), narrow)
+                column[owners[part]] = impacts
+                impacts = column
+            self.postings.append((docs, impacts))
 
     def _whole_scores(self, docs: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Scores of some documents from their own components."""
@@ -96,8 +101,9 @@ class Shard:
         most = np.abs(query[terms].astype(float)) * np.maximum(
             np.abs(self.low[terms].astype(float)), np.abs(self.high[terms].astype(float))
         )
-        # Sums that may leave 64 bits are taken in integers without bound.
-        kind = np.int64 if most.sum() < 2.0**61 else object
+        # The narrowest integers that no sum leaves; beyond 64 bits, integers without bound.
+        total = most.sum()
+        kind = np.int32 if total < 2.0**29 else np.int64 if total < 2.0**61 else object
         query = query.astype(kind)
         weights = query[terms]
         bound = np.maximum(weights * self.high[terms].astype(kind), weights * self.low[terms].astype(kind))
