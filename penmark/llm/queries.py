@@ -117,3 +117,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_maxscore_top_k", maxscore.SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from penmark.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
