@@ -10,7 +10,8 @@ from penmark.catalog.text import ALPHA, AVG_SENT, sql_count_chars
 from penmark.constants import DENSITY_PUNCTUATION, TERM_SAMPLE
 from penmark.functions.style import punctuation_density
 from penmark.functions.words import word_count
-from penmark.operators import density, profile, sampling
+from penmark.operators import density, profile, sampling, sketches
+from penmark.session import materialise
 
 LENGTHS = f"""lengths AS (
   SELECT *, len({sql_words()}) AS word_count, length(text) AS char_count,
@@ -106,6 +107,57 @@ def length_percentiles(spark, sf):
     return profile.length_percentiles(lengths(spark, sf))
 
 
+@query(
+    "sentence_quartiles",
+    f"""{WITH} SELECT split, generated_by, share, count(*) AS n,
+          CASE share WHEN 0.25 THEN quantile_cont(avg_words_per_sentence, 0.25)
+            WHEN 0.5 THEN quantile_cont(avg_words_per_sentence, 0.5)
+            ELSE quantile_cont(avg_words_per_sentence, 0.75) END AS quantile
+        FROM lengths, (VALUES (0.25::double), (0.5::double), (0.75::double)) shares(share) GROUP BY split, generated_by, share""",
+    doubles=["quantile"],
+)
+def sentence_quartiles(spark, sf):
+    return profile.sentence_quartiles(lengths(spark, sf), ["split", "generated_by"])
+
+
+@query(
+    "sentence_quartiles_sketched",
+    f"""{WITH} SELECT generated_by, count(*) AS n, true AS close FROM lengths GROUP BY generated_by""",
+)
+def sentence_quartiles_sketched(spark, sf):
+    """Per class, whether quartiles from united sketches of the splits keep their rank error."""
+    rows = lengths(spark, sf)
+    x = F.col("avg_words_per_sentence")
+    shares = (0.25, 0.5, 0.75)
+    stored = materialise(sketches.quantile_sketches(rows, x, ["split", "generated_by"]), "sketches")
+    quantiles = sketches.merged_quantiles(stored, ["generated_by"], shares)
+    ranked = rows.join(quantiles, "generated_by").groupBy("generated_by", "n").agg(
+        *[F.avg((x < F.col("quantiles")[i]).cast("double")).alias(f"below{i}") for i in range(3)],
+        *[F.avg((x <= F.col("quantiles")[i]).cast("double")).alias(f"upto{i}") for i in range(3)],
+    )
+    close = F.lit(True)
+    for i, share in enumerate(shares):
+        error = sketches.RANK_ERROR
+        close &= (F.col(f"below{i}") <= share + error) & (F.col(f"upto{i}") >= share - error)
+    return ranked.select("generated_by", "n", close.alias("close"))
+
+
+@query(
+    "level_summary",
+    f"""{WITH} SELECT split, generated_by,
+          concat_ws(',', CASE WHEN grouping(split) = 0 THEN 'split' END,
+            CASE WHEN grouping(generated_by) = 0 THEN 'class' END) AS level,
+          count(*) AS n, min(word_count) AS word_min, max(word_count) AS word_max,
+          avg(word_count) AS word_mean, quantile_cont(word_count, 0.5) AS word_median,
+          stddev_pop(word_count) AS word_std, avg(char_count) AS char_mean, stddev_pop(char_count) AS char_std,
+          avg(avg_words_per_sentence) AS sent_len_mean, stddev_pop(avg_words_per_sentence) AS sent_len_std
+        FROM lengths GROUP BY GROUPING SETS ((split, generated_by), (split), (generated_by), ())""",
+    doubles=["word_mean", "word_std", "char_mean", "char_std", "sent_len_mean", "sent_len_std"],
+)
+def level_summary(spark, sf):
+    return profile.level_summary(lengths(spark, sf))
+
+
 @query(
     "boxplot_stats",
     f"""{WITH}, q AS (
@@ -142,6 +194,30 @@ def vocab_size(spark, sf):
     return vocabulary(spark, sf)
 
 
+@query(
+    "vocab_size_sketched",
+    f"""WITH {CORPUS}, words AS (SELECT generated_by, unnest({ALPHA}) AS word FROM corpus)
+        SELECT generated_by, count(DISTINCT word) AS vocab, true AS close FROM words GROUP BY GROUPING SETS ((generated_by), ())""",
+)
+def vocab_size_sketched(spark, sf):
+    """Exact sizes per class and of the corpus, and whether united sketches come within three errors."""
+    rows = corpus(spark, sf)
+    stored = materialise(sketches.vocabulary_sketches(rows, ["split", "generated_by"]), "sketches")
+    exact = profile.vocab_size(rows).union(
+        profile.vocab_size(rows.withColumn("generated_by", F.lit(""))).select(
+            F.lit(None).cast("string").alias("generated_by"), "vocab"
+        )
+    )
+    estimated = sketches.merged_vocabulary(stored, ["generated_by"]).union(
+        sketches.merged_vocabulary(stored).select(F.lit(None).cast("string"), "vocab")
+    )
+    named = estimated.toDF("_class", "_estimate")
+    gap = F.abs(F.col("_estimate") - F.col("vocab")) / F.greatest("vocab", F.lit(1))
+    return exact.join(named, F.col("generated_by").eqNullSafe(F.col("_class")), "left").select(
+        "generated_by", "vocab", (gap <= 3 * sketches.DISTINCT_ERROR).alias("close")
+    )
+
+
 @query(
     "vocab_size_of_samples",
     f"""WITH {CORPUS} SELECT generated_by, count(DISTINCT word) AS vocab FROM (
@@ -223,6 +299,27 @@ def class_density_punctuation(spark, sf):
     return density.class_density(measured, "punctuation")
 
 
+@query(
+    "class_density_binned",
+    f"""{WITH}, exact AS ({"WITH " + sql_density(
+        "SELECT generated_by, avg_words_per_sentence AS value FROM lengths WHERE avg_words_per_sentence > 0")})
+        SELECT generated_by, point, x, density, true AS close FROM exact""",
+    doubles=["x", "density"],
+)
+def class_density_binned(spark, sf):
+    """The density of all rows, and whether that of binned values is within its error bound."""
+    rows = materialise(lengths(spark, sf).select("doc_id", "generated_by", "avg_words_per_sentence"), "means")
+    exact = density.class_density(rows, "avg_words_per_sentence", sample=None)
+    binned = density.binned_density(rows, "avg_words_per_sentence").select(
+        "generated_by", "point", F.col("x").alias("_x"), F.col("density").alias("_density"), "error"
+    )
+    gap = F.abs(F.col("density") - F.col("_density"))
+    close = (F.abs(F.col("x") - F.col("_x")) < 1e-9) & (gap <= F.col("error") + 1e-9)
+    return exact.join(binned, ["generated_by", "point"], "left").select(
+        "generated_by", "point", "x", "density", F.coalesce(close, F.lit(False)).alias("close")
+    )
+
+
 @query(
     "length_density",
     f"""{WITH}, c AS (SELECT generated_by, char_count AS value, count(*) AS k

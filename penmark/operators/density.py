@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from penmark.bounded import attach
 from penmark.constants import (
     DENSITY_CLIP,
     DENSITY_FACTOR,
@@ -19,6 +20,7 @@ from penmark.constants import (
 )
 from penmark.operators.cleaning import filter_finite_positive, value_counts
 from penmark.operators.sampling import sample_per_class
+from penmark.operators.sketches import exact_quantiles
 from penmark.session import materialise
 
 
@@ -116,3 +118,69 @@ def length_density(
         F.pow(F.col("_n").cast("double"), F.lit(-0.2)) * F.col("_std"),
         points,
     )
+
+
+# Bins in a bandwidth, and bandwidths beyond which a kernel counts as nothing (exp(-32)).
+BINS_PER_BANDWIDTH = 64
+REACH = 8
+# A binned density differs from the exact one by at most this share of the peak of one kernel: the
+# kernel is interpolated linearly between bins, whose error is its largest second derivative times
+# the squared bin width over eight.
+BINNING_ERROR = 1.0 / (8 * BINS_PER_BANDWIDTH**2)
+
+
+def binned_density(
+    df: DataFrame,
+    value_col: str,
+    class_col: str = "generated_by",
+    factor: float = DENSITY_FACTOR,
+    points: int = DENSITY_POINTS,
+    clip: float = DENSITY_CLIP,
+) -> DataFrame:
+    """``class_density`` over all rows of a continuous measure, with ``error``, a bound on how far the
+    density is from the exact one.
+
+    Every value is dealt to the two bins around it, in proportion, where rows are; so at most some
+    ten thousand sums a class are shuffled, as the percentile is at most ten deviations from the mean.
+    No class is sorted or held in a buffer: the percentile is exact and comes from sketches. Values
+    are written once. Rows without a class and values that are not positive and finite are left out.
+    """
+    rows = df.filter(F.col(class_col).isNotNull()).select(class_col, F.col(value_col).cast("double").alias("value"))
+    data = filter_finite_positive(materialise(rows, "density"), "value")
+    top = exact_quantiles(data, F.col("value"), [clip], [class_col]).select(class_col, F.col("quantile").alias("_top"))
+    x = F.col("value")
+    # Sums of squares around a value of the class, so that no digits are lost.
+    centre = data.groupBy(class_col).agg(F.avg("value").alias("_mean"), F.min("value").alias("_min"))
+    around = attach(data, centre, [class_col]).groupBy(class_col, "_min").agg(
+        F.count("*").alias("_n"),
+        F.sum((x - F.col("_mean")) * (x - F.col("_mean"))).alias("_squares"),
+    )
+    grid = materialise(
+        around.join(top, class_col)
+        .withColumn("_bw", factor * F.sqrt(F.try_divide(F.col("_squares"), F.col("_n") - 1)))
+        .filter((F.col("_n") > 1) & (F.col("_bw") > 0)),
+        "density-grid",
+    )
+    width = F.col("_bw") / BINS_PER_BANDWIDTH
+    place = (x - F.col("_min")) / width
+    inside = x <= F.col("_top") + REACH * F.col("_bw")
+    bins = (
+        attach(data, grid, [class_col])
+        .filter(inside)
+        .select(class_col, "_min", "_bw", F.floor(place).alias("_bin"), (place - F.floor(place)).alias("_part"))
+        .groupBy(class_col, "_min", "_bw", "_bin")
+        .agg(F.count("*").alias("_rows"), F.sum("_part").alias("_next"))
+    )
+    shares = F.array(
+        F.struct(F.col("_bin").alias("bin"), (F.col("_rows") - F.col("_next")).alias("mass")),
+        F.struct((F.col("_bin") + 1).alias("bin"), F.col("_next").alias("mass")),
+    )
+    counts = (
+        bins.select(class_col, "_min", "_bw", F.inline(shares))
+        .groupBy(class_col, "_min", "_bw", "bin")
+        .agg(F.sum("mass").alias("weight"))
+        .select(class_col, (F.col("_min") + F.col("bin") * width).alias("value"), "weight")
+    )
+    curves = _evaluate(counts, grid, class_col, F.col("_min"), F.col("_top"), F.col("_bw"), points)
+    peaks = grid.select(class_col, (BINNING_ERROR / (F.col("_bw") * F.sqrt(2 * F.pi()))).alias("error"))
+    return curves.join(peaks, class_col)

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from penmark.functions import words as w
 from penmark.functions.tokens import alpha_tokens
 from penmark.operators.cleaning import value_counts
+from penmark.operators.sketches import exact_quantiles
 from penmark.session import materialise
 
 
@@ -170,48 +170,46 @@ def class_mean_sem(
     )
 
 
-PERCENTILE_INTERVALS = 50_000
-
-
 def continuous_percentile(df: DataFrame, value: str, share: float) -> float | None:
     """The exact percentile, linearly interpolated, of the positive finite values of a column.
 
-    Unlike counts, a continuous measure can have about as many values as rows. Values are counted
-    per interval, of which there are at most ``PERCENTILE_INTERVALS``, to find the interval of the
-    wanted rank, and only the values in it are ranked. ``df`` is read three times.
+    Unlike counts, a continuous measure can have about as many values as rows; sketches narrow the
+    interval that is ranked.
     """
     x = F.col(value)
-    positive = F.when((x > 0) & (x < float("inf")), x)
-    top = df.agg(F.max(positive).alias("top")).first()["top"]
-    if top is None:
-        return None
-    width = top / PERCENTILE_INTERVALS
-    counts = value_counts(df, [], positive).filter(F.col("weight") > 0)
-    unit = F.floor(F.col("value") / width)
-    units = counts.groupBy(unit.alias("unit")).agg(F.sum("weight").alias("n")).toArrow()
-    units = units.sort_by("unit")
-    upto = np.cumsum(units.column("n").to_numpy())
-    place = share * (int(upto[-1]) - 1)
-    low = int(place)
-    ranks = (low, min(low + 1, int(upto[-1]) - 1))
-    homes = np.searchsorted(upto, ranks, side="right")
-    names = units.column("unit").to_numpy()[homes]
-    below = [int(upto[home - 1]) if home else 0 for home in homes]
-    before = F.when(unit == int(names[0]), below[0]).otherwise(below[1])
-    up_to = Window.partitionBy("_unit").orderBy("value")
-    found = (
-        counts.filter(unit.isin(*{int(n) for n in names}))
-        .withColumn("_unit", unit)
-        .withColumn("_seen", F.sum("weight").over(up_to) + before)
-        .agg(
-            *[
-                F.min(F.when(F.col("_seen") > rank, F.col("value"))).alias(f"v{i}")
-                for i, rank in enumerate(ranks)
-            ]
-        )
-        .first()
+    found = exact_quantiles(df, F.when(x > 0, x), [share]).first()
+    return None if found is None else found["quantile"]
+
+
+def sentence_quartiles(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Quartiles of words per sentence; ``df`` carries the columns of ``with_lengths``."""
+    return exact_quantiles(df, F.col("avg_words_per_sentence"), (0.25, 0.5, 0.75), by)
+
+
+LEVELS = (("split", "generated_by"), ("split",), ("generated_by",), ())
+
+
+def level_summary(
+    df: DataFrame, levels: Sequence[Sequence[str]] = LEVELS, split_col: str = "split", class_col: str = "generated_by"
+) -> DataFrame:
+    """Length statistics of all levels from one scan; ``df`` carries the columns of ``with_lengths``.
+
+    Texts collapse to one row per split, class and word count first, and those rows alone are
+    repeated for the levels. ``level`` names the columns that a row is grouped by, joined by a
+    comma; the others are null. Rows without a split or class are left out.
+    """
+    known = df.filter(F.col(split_col).isNotNull() & F.col(class_col).isNotNull())
+    counts = length_table(known, [split_col, class_col])
+    names = [
+        F.when(F.grouping(c) == 0, F.lit(name)) for c, name in ((split_col, "split"), (class_col, "class"))
+    ]
+    return counts.groupingSets([list(level) for level in levels], split_col, class_col).agg(
+        F.concat_ws(",", *names).alias("level"),
+        F.sum("weight").alias("n"),
+        F.min("value").alias("word_min"),
+        F.max("value").alias("word_max"),
+        *[column.alias(name) for name, column in _summaries().items()],
     )
-    return found["v0"] + (found["v1"] - found["v0"]) * (place - low)
 
 
 def length_percentiles(df: DataFrame) -> DataFrame:
