@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from penmark.catalog.fixtures import WORD_RE, table
+from penmark.catalog.fixtures import WORD_RE, hash8, sql_hash8, table
 from penmark.catalog.models import classifier_on_texts
 from penmark.catalog.registry import query
 from penmark.catalog.text import AVG_SENT, sql_truncated
+from penmark.constants import BLANK_CLASS
 from penmark.sources.models import load_pipeline, save_pipeline
 from penmark.session import new_path
+from penmark.streaming.cleaning import clean_rows
 from penmark.streaming.cleaning import clean_stream as clean
+from penmark.streaming.deduplication import OUTCOMES, deduplicate_stream
 from penmark.streaming.scoring import score_stream as score
 from penmark.streaming.scoring import write_available
 
@@ -53,3 +56,66 @@ def score_stream(spark, sf):
     return streamed.join(renamed, "doc_id", "full").select(
         "doc_id", F.coalesce(same, F.lit(False)).alias("same")
     )
+
+
+# Documents as the events of eight days that arrive in four runs. Two tenths of them come one or two
+# runs late, and texts are forgotten after one day.
+ARRIVALS, DAYS, TTL = 4, 8, 86_400
+NOISE = ("lowercase", "punctuation")
+
+
+def sql_bounded() -> str:
+    plain = rf"regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_{BLANK_CLASS}]+', '', 'g')"
+    parts = [
+        f"""arrivals AS (
+          SELECT doc_id, {sql_truncated(500, plain)} AS text, doc_id * {DAYS * TTL * 1_000_000} // n AS micros,
+            least({ARRIVALS - 1}, doc_id * {ARRIVALS} // n + CASE h WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END) AS batch
+          FROM (SELECT *, {sql_hash8("doc_id")} % 10 AS h, (SELECT max(doc_id) + 1 FROM documents) AS n FROM documents)
+        ), state_0 AS (SELECT text, micros FROM arrivals WHERE false)"""
+    ]
+    for b in range(ARRIVALS):
+        limit = f"(SELECT coalesce(max(micros), -1) - {TTL * 1_000_000} FROM arrivals WHERE batch < {b})"
+        parts += [
+            f"live_{b} AS (SELECT * FROM state_{b} WHERE micros >= {limit})",
+            f"""new_{b} AS (
+              SELECT * FROM arrivals
+              WHERE batch = {b} AND micros >= {limit} AND text NOT IN (SELECT text FROM live_{b})
+              QUALIFY row_number() OVER (PARTITION BY text ORDER BY micros, doc_id) = 1)""",
+            f"state_{b + 1} AS (SELECT * FROM live_{b} UNION ALL SELECT text, micros FROM new_{b})",
+            f"""out_{b} AS (
+              SELECT batch, doc_id, CASE WHEN micros < {limit} THEN 'late'
+                  WHEN doc_id IN (SELECT doc_id FROM new_{b}) THEN 'first' ELSE 'repeated' END AS outcome,
+                text IN (SELECT text FROM live_{b}) AS known, length(text) AS n_chars
+              FROM arrivals WHERE batch = {b})""",
+        ]
+    union = " UNION ALL ".join(f"SELECT * FROM out_{b}" for b in range(ARRIVALS))
+    return f"""WITH {", ".join(parts)}
+        SELECT CAST(batch AS int) AS batch, doc_id, outcome, CASE outcome WHEN 'late' THEN known END AS known,
+          CASE WHEN outcome <> 'repeated' THEN CAST(n_chars AS int) END AS n_chars FROM ({union})"""
+
+
+@query("clean_stream_bounded", sql_bounded())
+def clean_stream_bounded(spark, sf):
+    """Every document once: as the first of its text, as a repetition, or as late."""
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    n = documents.agg(F.max("doc_id") + 1).scalar()
+    late = F.when(hash8("doc_id") % 10 == 0, 1).when(hash8("doc_id") % 10 == 1, 2).otherwise(0)
+    events = documents.withColumn("n", n).select(
+        "doc_id",
+        "text",
+        F.timestamp_micros(F.expr(f"doc_id * {DAYS * TTL * 1_000_000}L div n")).alias("event_time"),
+        F.least(F.lit(ARRIVALS - 1), F.expr(f"doc_id * {ARRIVALS} div n") + late).alias("run"),
+    )
+    source, out, state = (new_path(spark, x) for x in ("arriving", "bounded", "bounded-state"))
+    for run in range(ARRIVALS):
+        events.filter(F.col("run") == run).drop("run").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.drop("run").schema).parquet(source)
+        job = deduplicate_stream(clean_rows(stream, NOISE), out, state, ["doc_id"], "event_time", TTL)
+    first, repeated, late_rows = (job.read(spark, outcome) for outcome in OUTCOMES)
+    text_length = F.length("text").alias("n_chars")
+    nothing = F.lit(None)
+    return (
+        first.select("batch", "doc_id", F.lit("first").alias("outcome"), nothing.cast("boolean").alias("known"), text_length)
+        .union(repeated.select("batch", "doc_id", F.lit("repeated"), nothing.cast("boolean"), nothing.cast("int")))
+        .union(late_rows.select("batch", "doc_id", F.lit("late"), "known", text_length))
+    )

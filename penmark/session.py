@@ -58,12 +58,33 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/penmark/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str = "table") -> DataFrame:
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target, files = _file_system(spark, path)
+    return files.exists(target)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system; nothing happens if it does not exist."""
+    target, files = _file_system(spark, path)
+    files.delete(target, True)
+
+
+# Bytes of a row group of a written table with texts. Small ones let tasks share a file.
+TEXT_ROWS = 4 << 20
+
+
+def materialise(df: DataFrame, label: str = "table", row_group: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, which cuts its lineage.
 
-    Used for narrow tables (keys and classes, no texts) that several later stages read.
-    The written table survives the loss of executors.
+    Used for what several later stages read: mostly narrow tables of keys and classes, texts or
+    tokens where a fit reads them repeatedly. The written table survives the loss of executors.
     """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    writer = df.write if row_group is None else df.write.option("parquet.block.size", row_group)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,6 +14,13 @@ from penmark.operators.profile import with_lengths
 from penmark.plans.recipes import clean_text
 
 
+def clean_rows(
+    texts: DataFrame, noise: Sequence[str] = (), max_words: int = MAX_WORDS
+) -> DataFrame:
+    """Noise steps and truncation of each arriving text; no state."""
+    return clean_text(texts, noise).withColumn("text", w.truncate_words(F.col("text"), max_words))
+
+
 def clean_stream(
     texts: DataFrame,
     ids: Sequence[str],
@@ -31,11 +38,8 @@ def clean_stream(
     hash of ``ids``, the identity of the row, so a batch that is tried again deals rows alike. Class
     balancing and quartiles need a finished table and exist as batch operators only.
     """
-    cleaned = clean_text(texts, noise).withColumn(
-        "text", w.truncate_words(F.col("text"), max_words)
-    )
     unique = (
-        cleaned.withColumn("_key", F.coalesce(text_key("text"), F.unhex(F.lit(""))))
+        clean_rows(texts, noise, max_words).withColumn("_key", F.coalesce(text_key("text"), F.unhex(F.lit(""))))
         .withColumn("_salt", F.pmod(F.xxhash64(*ids), F.lit(salts)))
         .dropDuplicates(["_key", "_salt", *within])
         .dropDuplicates(["_key", *within])
