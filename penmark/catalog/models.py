@@ -15,11 +15,12 @@ from penmark.catalog.fixtures import CORPUS, corpus, sql_hash8, vectors_learnabl
 from penmark.catalog.registry import query
 from penmark.constants import STYLE_FEATURES
 from penmark.functions.style import stylometric_features
+from penmark.operators import evaluation
 from penmark.operators.cleaning import remove_duplicates
 from penmark.operators.tfidf import TRAIN_CONFIG
 from penmark.operators.vectors import embed_texts
 from penmark.plans import training
-from penmark.session import materialise, new_path
+from penmark.session import TEXT_ROWS, materialise, new_path
 from penmark.sources.models import load_pipeline, save_pipeline
 from penmark.sources.runs import read_run_results, run_leaderboard
 
@@ -29,7 +30,7 @@ BEATS = f"""WITH {DISTINCT} SELECT count(*) AS n, true AS beats_majority FROM te
 
 def distinct_texts(spark, sf):
     """The corpus without copies, so that no text is in two splits; written once."""
-    return materialise(remove_duplicates(corpus(spark, sf)), "distinct-texts")
+    return materialise(remove_duplicates(corpus(spark, sf)), "distinct-texts", TEXT_ROWS)
 
 
 def classifier_on_texts(spark, sf):
@@ -107,6 +108,50 @@ def train_embedding_classifier(spark, sf):
     )
 
 
+PATIENCE = 2
+
+
+@query(
+    "train_with_validation",
+    f"""SELECT 'embedding' AS run, 1 AS rank, true AS has_history, true AS best_is_highest,
+        true AS restored_scores_best, true AS stops_by_patience, true AS beats_majority, count(*) AS n
+        FROM embeddings WHERE {sql_hash8("vec_id")} % 10 = 9""",
+)
+def train_with_validation(spark, sf):
+    """The history of a training, read by the operators on histories, names the model that is kept."""
+    rows = vectors_learnable(spark, sf)
+    part = lambda split: rows.filter(F.col("split") == split)
+    trained = training.train_with_validation(
+        part("train"), part("val"), block_iter=10, max_blocks=8, patience=PATIENCE
+    )
+    history = trained.table(spark, "embedding")
+    # Tables of one row each; the run is one.
+    best = evaluation.best_epoch(history).first()
+    stop = evaluation.early_stop_epoch(history, PATIENCE, "val_acc", "max").first()
+    points = evaluation.learning_curves(history).count()
+    score = lambda split: trained.best.pipeline.transform(
+        training.with_vectors(part(split))
+    ).withColumn("label", F.col("label").cast("string"))
+    restored = evaluation.accuracy(score("val"), "label", "predicted_label").first()["accuracy"]
+    last = len(trained.history)
+    facts = {
+        "has_history": points == 4 * last,
+        "best_is_highest": best["best_epoch"] == trained.best_epoch,
+        "restored_scores_best": abs(restored - best["best_val_acc"]) < 1e-12,
+        "stops_by_patience": (stop["stop_epoch"], stop["restore_epoch"], stop["stopped_early"])
+        == (last, trained.best_epoch, trained.stopped_early),
+    }
+    beats = beats_majority(score("test"), "label", "predicted_label")
+    board = evaluation.rank_runs(evaluation.leaderboard(history)).select("run", "rank")
+    return beats.select(
+        F.lit("embedding").alias("run"),
+        board.select(F.col("rank").cast("int")).scalar().alias("rank"),
+        *[F.lit(value).alias(name) for name, value in facts.items()],
+        "beats_majority",
+        "n",
+    )
+
+
 @query("train_weighted_classifier", BEATS)
 def train_weighted_classifier(spark, sf):
     style = stylometric_features(embed_texts(distinct_texts(spark, sf))).drop("text")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
@@ -22,13 +23,14 @@ from pyspark.ml.feature import (
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penmark.functions.tokens import WORD
 from penmark.operators.evaluation import accuracy, class_scores, cross_entropy
 from penmark.operators.profile import class_weights
 from penmark.operators.tfidf import TfidfConfig, tfidf_fit
+from penmark.session import materialise
 
 
 def tfidf_stages(
@@ -150,6 +152,105 @@ def train_embedding_classifier(
     return _finish(rows, indexer, [], network)
 
 
+@dataclass
+class ValidatedTraining:
+    """The best classifier of a training and what every block of iterations scored.
+
+    ``history`` has one row per block, in the columns that ``best_epoch``, ``early_stop_epoch``,
+    ``leaderboard`` and ``learning_curves`` read.
+    """
+
+    best: TrainedClassifier
+    best_epoch: int
+    stopped_early: bool
+    history: list[dict] = field(default_factory=list)
+
+    def table(self, spark: SparkSession, run: str) -> DataFrame:
+        columns = "run string, epoch int, loss double, train_acc double, val_loss double, val_acc double"
+        names = [c.split()[0] for c in columns.split(", ")[1:]]
+        return spark.createDataFrame([(run, *(h[c] for c in names)) for h in self.history], columns)
+
+
+def _scores_by_part(rows: DataFrame, model) -> dict[str, tuple[float, float]]:
+    """part -> (mean cross-entropy, accuracy), from one pass over all parts."""
+    p = F.get(vector_to_array("probability"), F.col("label_id").cast("int"))
+    scored = (
+        model.transform(rows)
+        .groupBy("part")
+        .agg(
+            F.avg(-F.log(F.greatest(p, F.lit(1e-15)))).alias("loss"),
+            F.avg((F.col("prediction") == F.col("label_id")).cast("double")).alias("accuracy"),
+        )
+    )
+    return {r["part"]: (r["loss"], r["accuracy"]) for r in scored.collect()}
+
+
+def train_with_validation(
+    train: DataFrame,
+    val: DataFrame,
+    class_col: str = "label",
+    embedding_col: str = "embedding",
+    hidden: Sequence[int] = (512, 256, 128),
+    block_iter: int = 10,
+    max_blocks: int = 20,
+    patience: int = 3,
+    monitor: str = "val_acc",
+    seed: int = 42,
+) -> ValidatedTraining:
+    """A network on embeddings, trained in blocks of iterations and validated after each.
+
+    Every block starts from the weights of the block before. After it, loss and accuracy on the
+    training and the validation rows are taken in one pass. The weights of the first block with the
+    best ``monitor`` (val_acc: highest, val_loss: lowest) are kept; training stops after
+    ``patience`` blocks without a gain. Rows without a class are left out, a class that the training
+    rows lack raises an error. Vectors and labels are written once for all blocks; the driver holds
+    the weights of two networks.
+    """
+    if monitor not in ("val_acc", "val_loss"):
+        raise ValueError(f"monitor must be val_acc or val_loss, not {monitor}")
+    train = train.filter(F.col(class_col).isNotNull())
+    indexer = _label_indexer(train, class_col)
+    parts = [
+        indexer.transform(with_vectors(df.filter(F.col(class_col).isNotNull()), embedding_col)).select(
+            F.lit(part).alias("part"), "label_id", "features"
+        )
+        for part, df in (("train", train), ("val", val))
+    ]
+    rows = materialise(parts[0].union(parts[1]), "training-rows")
+    fit_rows = rows.filter(F.col("part") == "train").select("label_id", "features")
+    width = fit_rows.select(F.size(vector_to_array("features")).alias("d")).first()["d"]
+    network = MultilayerPerceptronClassifier(
+        featuresCol="features",
+        labelCol="label_id",
+        layers=[width, *hidden, len(indexer.labels)],
+        maxIter=block_iter,
+        seed=seed,
+    )
+    model, best, best_score, best_at, history = None, None, None, 0, []
+    for epoch in range(1, max_blocks + 1):
+        if model is not None:
+            network = network.setInitialWeights(model.weights)
+        model = network.fit(fit_rows)
+        scores = _scores_by_part(rows, model)
+        val_loss, val_acc = scores.get("val", (None, None))
+        loss, train_acc = scores["train"]
+        history.append(
+            {"epoch": epoch, "loss": loss, "train_acc": train_acc, "val_loss": val_loss, "val_acc": val_acc}
+        )
+        score = val_acc if monitor == "val_acc" or val_loss is None else -val_loss
+        if best is None or (score is not None and (best_score is None or score > best_score)):
+            best, best_score, best_at = model, score, epoch
+        elif epoch - best_at >= patience:
+            break
+    names = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=indexer.labels)
+    return ValidatedTraining(
+        TrainedClassifier(list(indexer.labels), PipelineModel([best, names])),
+        best_at,
+        len(history) - best_at >= patience,
+        history,
+    )
+
+
 def train_vector_classifier(
     train: DataFrame, class_col: str, max_iter: int = 30, reg: float = 1e-4
 ) -> TrainedClassifier:
@@ -198,8 +299,16 @@ def train_weighted_classifier(
             "_embedding", array_to_vector(F.col(embedding_col).cast("array<double>"))
         )
     assemble = VectorAssembler(inputCols=inputs, outputCol="_raw")
-    scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)
-    stages = [assemble, scaler.fit(assemble.transform(weighted).select("_raw"))]
+    scaler = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True)
+    fitted = scaler.fit(assemble.transform(weighted).select("_raw"))
+    # The scaler divides by the sample deviation; the root turns it into that of the population.
+    n = weighted.count()
+    root = Vectors.dense([math.sqrt(n / max(n - 1, 1))] * len(fitted.mean))
+    stages = [
+        assemble,
+        fitted,
+        ElementwiseProduct(scalingVec=root, inputCol="_scaled", outputCol="features"),
+    ]
     estimator = _logistic(maxIter=max_iter, weightCol="_weight")
     return _finish(weighted, indexer, stages, estimator)
 
