@@ -13,7 +13,7 @@ from penmark.catalog.fixtures import (
 )
 from penmark.catalog.registry import query
 from penmark.functions.vectors import pad_embedding
-from penmark.operators import attribution
+from penmark.operators import attribution, neighbours
 from penmark.operators import vectors as ops
 from penmark.operators.labels import attach_labels as join_labels
 
@@ -147,7 +147,10 @@ def _linear_model(spark, sf):
     doubles=["contribution"],
 )
 def linear_attribution(spark, sf):
-    return attribution.linear_attribution(*_linear_model(spark, sf))
+    _, coefficients, background = _linear_model(spark, sf)
+    rows = vectors(spark, sf).withColumn("features", F.col("embedding").cast("array<double>"))
+    arrays = attribution.attribution_arrays(rows, coefficients, background, ["vec_id"])
+    return arrays.select("vec_id", "class", F.posexplode("contributions").alias("feature", "contribution"))
 
 
 @query(
@@ -158,3 +161,22 @@ def linear_attribution(spark, sf):
 )
 def attribution_ranking(spark, sf):
     return attribution.attribution_ranking(*_linear_model(spark, sf))
+
+
+@query(
+    "nearest_vectors",
+    """WITH units AS (
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS double)) AS e FROM embeddings),
+        scores AS (
+          SELECT q.vec_id AS query_id, d.vec_id AS vec_id, round(list_cosine_similarity(q.e, d.e), 12) AS cosine
+          FROM units q, units d WHERE q.vec_id % 50 = 0)
+        SELECT query_id, vec_id, cosine,
+          CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS integer) AS rank
+        FROM scores QUALIFY rank <= 10""",
+    doubles=["cosine"],
+)
+def nearest_vectors(spark, sf):
+    """Exact search by cells, for every fiftieth vector against all."""
+    rows = vectors(spark, sf)
+    asked = rows.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return neighbours.nearest_vectors(rows, asked, 10)

@@ -39,6 +39,40 @@ def linear_attribution(
     )
 
 
+def attribution_arrays(
+    df: DataFrame,
+    coefficients: DataFrame,
+    background: DataFrame,
+    ids: Sequence[str],
+    feature_col: str = "features",
+) -> DataFrame:
+    """(ids, class, contributions): one array per row and class, made inside the row.
+
+    ``coefficients`` is (class, feature, coef) and ``background`` is (feature, mean), with features
+    numbered from 0 without gaps. Only the model travels, one array per class; rows are neither
+    exploded nor shuffled. A null array of features gives null, missing features too.
+    """
+    entry = F.struct("feature", "coef", "mean")
+    model = (
+        coefficients.join(background, "feature")
+        .groupBy("class")
+        .agg(F.sort_array(F.collect_list(entry)).alias("_model"))
+    )
+    classes = [r["class"] for r in model.select("class").collect()]
+    wanted = coefficients.schema["class"].dataType
+    named = df.select(
+        *ids, F.col(feature_col).alias("_x"), F.explode(F.array(*[F.lit(c).cast(wanted) for c in classes])).alias("class")
+    )
+    return named.join(F.broadcast(model), "class").select(
+        *ids,
+        "class",
+        F.when(
+            F.col("_x").isNotNull(),
+            F.zip_with("_model", "_x", lambda m, x: m["coef"] * (x - m["mean"])),
+        ).alias("contributions"),
+    )
+
+
 def attribution_ranking(
     features: DataFrame, coefficients: DataFrame, background: DataFrame
 ) -> DataFrame:
