@@ -97,6 +97,22 @@ def stratified_split(spark, sf):
     return sampling.stratified_split(corpus(spark, sf)).select("doc_id", "generated_by", "split")
 
 
+@query(
+    "grouped_split",
+    f"""WITH {CORPUS}, texts AS (
+          SELECT sha256(text) AS g, count(*) AS n, arg_min(generated_by, doc_id) AS class
+          FROM corpus WHERE generated_by IS NOT NULL GROUP BY text),
+        starts AS (
+          SELECT g, sum(n) OVER (PARTITION BY class ORDER BY {sql_hash("g")}, g) - n AS start,
+            sum(n) OVER (PARTITION BY class) AS size FROM texts)
+        SELECT doc_id, generated_by, CASE WHEN start < floor(round(size * 0.7, 6)) THEN 'train'
+            WHEN start < floor(round(size * 0.85, 6)) THEN 'val' ELSE 'test' END AS split
+        FROM corpus JOIN starts ON g = sha256(text)""",
+)
+def grouped_split(spark, sf):
+    return sampling.grouped_split(corpus(spark, sf)).select("doc_id", "generated_by", "split")
+
+
 @query(
     "clean_and_balance",
     f"""WITH {CORPUS} SELECT doc_id, split, generated_by, {sql_truncated(300)} AS text

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from penmark.catalog.fixtures import (
     CORPUS,
     HISTORY,
+    WORD_RE,
     corpus,
+    hash8,
     history,
     sql_hash8,
     vectors,
@@ -15,6 +17,7 @@ from penmark.catalog.fixtures import (
 from penmark.catalog.profile import CLASS_SUMMARY, LENGTHS, lengths
 from penmark.catalog.registry import query
 from penmark.functions.hashing import hash_split
+from penmark.functions.words import word_count
 from penmark.operators.profile import class_summary
 from penmark.plans import report
 from penmark.session import new_path
@@ -72,26 +75,66 @@ def write_summary_json(spark, sf):
     return spark.read.schema(summary.schema).json(path)
 
 
+GLOBAL = {
+    "word_count": ("mean", "median", "std", "min", "max"),
+    "char_count": ("mean", "median", "std"),
+    "avg_words_per_sentence": ("mean", "std"),
+}
+SQL_STATISTIC = {
+    "mean": "avg({})",
+    "median": "quantile_cont({}, 0.5)",
+    "std": "stddev_pop({})",
+    "min": "min({})",
+    "max": "max({})",
+}
+GLOBAL_COLUMNS = [f"global_{measure}_{name}" for measure, names in GLOBAL.items() for name in names]
+
+
+def sql_global() -> str:
+    return ", ".join(
+        f"(SELECT {SQL_STATISTIC[name].format(measure)} FROM lengths) AS global_{measure}_{name}"
+        for measure, names in GLOBAL.items()
+        for name in names
+    )
+
+
+def sql_split_rows() -> str:
+    return ", ".join(
+        f"(SELECT count(*) FROM lengths WHERE split = '{split}') AS {split}_rows" for split in corpora.SPLITS
+    )
+
+
 @query(
     "summary_document",
     f"""WITH {CORPUS}, {LENGTHS}, s AS ({CLASS_SUMMARY})
-        SELECT (SELECT count(*) FROM lengths) AS total, generated_by, n, word_mean, word_median, word_std,
-               char_mean, sent_len_mean, (SELECT avg(word_count) FROM lengths) AS global_word_mean,
-               (SELECT count(*) FROM lengths WHERE split = 'train') AS train_rows
+        SELECT 'documents' AS dataset, (SELECT count(*) FROM lengths) AS total,
+               (SELECT count(DISTINCT generated_by) FROM lengths) AS classes,
+               (SELECT string_agg(generated_by, ',' ORDER BY generated_by) FROM s) AS class_list,
+               {sql_split_rows()}, {sql_global()},
+               generated_by, n, word_mean, word_median, word_std, char_mean, sent_len_mean
         FROM s""",
-    doubles=["word_mean", "word_std", "char_mean", "sent_len_mean", "global_word_mean"],
+    doubles=["word_mean", "word_std", "char_mean", "sent_len_mean"]
+    + [c for c in GLOBAL_COLUMNS if c.endswith(("mean", "std"))],
 )
 def summary_document(spark, sf):
+    """Every field of the document, read back from JSON."""
     document = report.summary_document(lengths(spark, sf), "documents")
     path = new_path(spark, "summary-document")
     runs.write_summary_json(document, path)
     saved = spark.read.schema(document.schema).json(path)
     return saved.select(
+        "dataset",
         "total",
-        F.col("global.word_count.mean").alias("global_word_mean"),
-        F.element_at("splits", "train").alias("train_rows"),
+        "classes",
+        F.array_join("class_list", ",").alias("class_list"),
+        *[F.element_at("splits", split).alias(f"{split}_rows") for split in corpora.SPLITS],
+        *[
+            F.col(f"global.{measure}.{name}").alias(f"global_{measure}_{name}")
+            for measure, names in GLOBAL.items()
+            for name in names
+        ],
         F.explode("per_class").alias("generated_by", "c"),
-    ).select("total", "global_word_mean", "train_rows", "generated_by", "c.*")
+    ).select("*", "c.*").drop("c")
 
 
 @query(
@@ -222,3 +265,42 @@ def embedding_store(spark, sf):
     return saved.select(
         "vec_id", "label", "encoder", "split", F.posexplode("embedding").alias("dim", "value")
     ).withColumn("value", F.col("value").cast("double"))
+
+
+FIRST_RUN = f"({sql_hash8('doc_id')} % 10) < 7"
+CHANGED = f"({sql_hash8('doc_id')} % 10) = 0"
+
+
+@query(
+    "embedding_store_update",
+    f"""WITH {CORPUS}, second AS (
+          SELECT doc_id, split, CASE WHEN {CHANGED} THEN 'again ' || text ELSE text END AS text,
+            {CHANGED} OR NOT {FIRST_RUN} AS encoded FROM corpus)
+        SELECT doc_id, split, CAST(len(regexp_extract_all(text, '{WORD_RE}')) AS double) AS words,
+          CAST(length(text) AS double) AS chars, (SELECT count(*) FROM corpus WHERE {FIRST_RUN}) AS first_run,
+          (SELECT count(*) FROM second WHERE encoded) AS second_run, 0 AS third_run FROM second""",
+)
+def embedding_store_update(spark, sf):
+    """A store in two runs: the second encodes new and changed texts alone, a third one nothing."""
+    rows = corpus(spark, sf).select("doc_id", "text", "split")
+    bucket = hash8("doc_id") % 10
+    changed = rows.withColumn(
+        "text", F.when(bucket == 0, F.concat(F.lit("again "), F.col("text"))).otherwise(F.col("text"))
+    )
+    measure = lambda df: df.withColumn(
+        "embedding", F.array(word_count(F.col("text")).cast("float"), F.length("text").cast("float"))
+    )
+    path = new_path(spark, "embedding-updates")
+    encoded = [
+        embeddings.update_embeddings(run, path, "lengths", measure)
+        for run in (rows.filter(bucket < 7), changed, changed)
+    ]
+    return embeddings.read_embeddings(spark, path, "lengths").select(
+        "doc_id",
+        F.col("split").cast("string").alias("split"),
+        F.get("embedding", F.lit(0)).cast("double").alias("words"),
+        F.get("embedding", F.lit(1)).cast("double").alias("chars"),
+        F.lit(encoded[0]).cast("long").alias("first_run"),
+        F.lit(encoded[1]).cast("long").alias("second_run"),
+        F.lit(encoded[2]).alias("third_run"),
+    )

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from penmark.bounded import attach
 from penmark.constants import SEED
 from penmark.functions.hashing import HASH_BITS, seeded_hash
+from penmark.session import materialise
 
 BUCKET_BITS = 16
 NUMBER_BITS = 12
@@ -220,6 +221,69 @@ def stratified_split(
     return placed.select(*[c for c in df.columns if c != split_col], part.alias(split_col))
 
 
+# A group with more than this share of all rows meets the rows in a broadcast; there are at most
+# 1 / HEAVY_SHARE of them.
+HEAVY_SHARE = 0.001
+
+
+def grouped_split(
+    df: DataFrame,
+    group: Column | None = None,
+    train: float = 0.70,
+    val: float = 0.15,
+    class_col: str = "generated_by",
+    ids: Sequence[str] = ("doc_id",),
+    seed: int = SEED,
+    split_col: str = "split",
+) -> DataFrame:
+    """Label rows train / val / test so that all rows of a group are in one split.
+
+    ``group`` is a string, by default a hash of the text, so that no text is in two splits; the
+    component of a near-duplicate search keeps linked texts together. The class of a group is that
+    of its first row by ``ids``. Inside a class, groups follow each other in the seeded order; those
+    that start before ``floor(train*n)`` rows are for training, those before
+    ``floor((train+val)*n)`` for validation. So the rows of a split differ from its share by less than the
+    largest group. Rows without a class are left out, a null group counts as one of its own.
+
+    Groups are summed before the shuffle and placed in hash buckets, so neither a class nor a group
+    is in one task. The rows are joined once. Groups are written once.
+    """
+    group = F.sha2("text", 256) if group is None else group
+    df = df.filter(F.col(class_col).isNotNull())
+    keyed = df.withColumn("_group", F.coalesce(group, F.lit("")))
+    groups = materialise(
+        keyed.groupBy("_group")
+        .agg(F.count("*").alias("_n"), F.min(F.struct(*ids, class_col))[class_col].alias("_class"))
+        .withColumn("_h", seeded_hash(seed, ["_group"])),
+        "groups",
+    )
+    placed = groups.withColumn("_b", _bucket(NUMBER_BITS))
+    below = Window.partitionBy("_class").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_class", "_b").agg(F.sum("_n").alias("_rows"))
+    offsets = sizes.select(
+        "_class",
+        "_b",
+        F.coalesce(F.sum("_rows").over(below), F.lit(0)).alias("_offset"),
+        F.sum("_rows").over(Window.partitionBy("_class")).alias("_size"),
+    )
+    inside = Window.partitionBy("_class", "_b").orderBy("_h", "_group").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("_offset") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    end = lambda share: F.floor(F.round(F.col("_size") * share, 6))
+    part = F.when(start < end(train), "train").when(start < end(train + val), "val").otherwise("test")
+    assigned = materialise(
+        placed.join(offsets, ["_class", "_b"]).select("_group", "_n", part.alias("_part")), "group-splits"
+    )
+    total = assigned.agg(F.sum("_n")).first()[0] or 0
+    heavy = F.col("_n") > HEAVY_SHARE * total
+    # Rows of a heavy group get a key that no group has, and is different for each row.
+    found = keyed.join(
+        F.broadcast(assigned.filter(heavy).select("_group", F.col("_part").alias("_heavy"))), "_group", "left"
+    ).withColumn("_group", F.when(F.col("_heavy").isNull(), F.col("_group")).otherwise(F.concat(F.lit("/"), F.md5(F.concat_ws("|", *ids)))))
+    return found.join(assigned.filter(~heavy).select("_group", "_part"), "_group", "left").select(
+        *[c for c in df.columns if c != split_col], F.coalesce("_heavy", "_part").alias(split_col)
+    )
+
+
 def number_rows(
     df: DataFrame, by: Sequence[str], ids: Sequence[str], seed: int = SEED
 ) -> DataFrame:
