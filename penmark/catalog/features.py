@@ -8,7 +8,7 @@ from penmark.catalog.fixtures import CORPUS, corpus
 from penmark.catalog.profile import sql_sample
 from penmark.catalog.registry import query
 from penmark.catalog.text import sql_list, stylometric_sql
-from penmark.constants import STYLE_FEATURES, STYLE_STOPWORDS, TERM_SAMPLE
+from penmark.constants import ENGLISH_STOP_WORDS, STYLE_FEATURES, STYLE_STOPWORDS, TERM_SAMPLE
 from penmark.functions.style import stylometric_features
 from penmark.operators import labels, sampling, scaling, tfidf, tokenids
 from penmark.plans import report
@@ -139,9 +139,9 @@ def tfidf_transform(spark, sf):
     return model.transform(corpus(spark, sf).filter(F.col("split") != "train"))
 
 
-def sql_top_terms(sample: int) -> str:
+def sql_top_terms(sample: int, stop_words=STYLE_STOPWORDS) -> str:
     return f"""WITH {CORPUS}, sampled AS (SELECT * FROM {sql_sample(sample, "corpus")}),
-        {sql_tfidf("sampled", "sampled", 20000, (1, 2), 5, STYLE_STOPWORDS, sublinear=True)},
+        {sql_tfidf("sampled", "sampled", 20000, (1, 2), 5, stop_words, sublinear=True)},
         means AS (SELECT generated_by, term, sum(tfidf) / any_value(docs) AS mean_tfidf
                   FROM weights JOIN (SELECT generated_by, count(*) AS docs FROM sampled GROUP BY 1)
                   USING (generated_by) GROUP BY generated_by, term)
@@ -164,6 +164,12 @@ def top_terms(spark, sf):
     return _top_terms(spark, sf, TERM_SAMPLE)
 
 
+@query("top_terms_english", sql_top_terms(TERM_SAMPLE, ENGLISH_STOP_WORDS), doubles=["mean_tfidf"])
+def top_terms_english(spark, sf):
+    """The published profile, with English stop words."""
+    return tfidf.top_terms(sampling.sample_per_class(corpus(spark, sf), TERM_SAMPLE), tfidf.PROFILE_CONFIG)
+
+
 @query("top_terms_document", sql_top_terms(60), doubles=["mean_tfidf"])
 def top_terms_document(spark, sf):
     """Of samples of 60 texts per class, written as the published document and read back."""

@@ -32,16 +32,40 @@ DENSITY_PUNCTUATION = ".,!?;:\"'-–—()[]{}"
 STYLE_PUNCTUATION = ".,!?;:"
 
 # Fixed stop-word list of the stylometric features.
-STYLE_STOPWORDS = (
-    "the a an is are was were be been being "
-    "have has had do does did will would could should "
-    "may might shall to of in for on with at by "
-    "from up about into through during before after "
-    "and but or nor so yet not no it its this that"
-).split()
+STYLE_STOPWORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had",
+    "do", "does", "did", "will", "would", "could", "should", "may", "might", "shall", "to",
+    "of", "in", "for", "on", "with", "at", "by", "from", "up", "about", "into", "through",
+    "during", "before", "after", "and", "but", "or", "nor", "so", "yet", "not", "no", "it",
+    "its", "this", "that",
+]
 
 # Fixed hedge-word list of the stylometric features.
-HEDGE_WORDS = "perhaps maybe might could possibly likely somewhat generally often".split()
+HEDGE_WORDS = [
+    "perhaps", "maybe", "might", "could", "possibly", "likely", "somewhat", "generally",
+    "often",
+]
+
+# Fixed English stop words, Spark's own list.
+ENGLISH_STOP_WORDS = (
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours",
+    "yourself", "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself",
+    "it", "its", "itself", "they", "them", "their", "theirs", "themselves", "what", "which",
+    "who", "whom", "this", "that", "these", "those", "am", "is", "are", "was", "were", "be",
+    "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing", "a", "an",
+    "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for",
+    "with", "about", "against", "between", "into", "through", "during", "before", "after",
+    "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under",
+    "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all",
+    "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not",
+    "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don",
+    "should", "now", "i'll", "you'll", "he'll", "she'll", "we'll", "they'll", "i'd", "you'd",
+    "he'd", "she'd", "we'd", "they'd", "i'm", "you're", "he's", "she's", "it's", "we're",
+    "they're", "i've", "we've", "you've", "they've", "isn't", "aren't", "wasn't", "weren't",
+    "haven't", "hasn't", "hadn't", "don't", "doesn't", "didn't", "won't", "wouldn't", "shan't",
+    "shouldn't", "mustn't", "can't", "couldn't", "cannot", "could", "here's", "how's", "let's",
+    "ought", "that's", "there's", "what's", "when's", "where's", "who's", "why's", "would",
+)
 
 # Fixed patterns and literals of the cleaning steps.
 TAG_PATTERN = "<[^<>]*>"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import NGram, StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from penmark.constants import (
     STYLE_PUNCTUATION,
     STYLE_STOPWORDS,
 )
-from penmark.functions.tokens import alpha_tokens, positions, upper_word_count
+from penmark.functions.tokens import alpha_tokens, upper_word_count
 from penmark.functions.words import sentence_lengths
 
 # Vowel groups count as syllables; a word without one counts as one syllable.
@@ -40,26 +41,32 @@ def _count(pattern: str, column: str) -> Column:
     return F.regexp_count(column, F.lit(pattern)).cast("bigint")
 
 
-def _listed(column: str, listed: list[str]) -> Column:
-    return F.size(F.filter(column, lambda w: w.isin(*listed)))
+def _without(df: DataFrame, column: str, listed: list[str], out: str) -> DataFrame:
+    """Append the words of an array that are not listed."""
+    remover = StopWordsRemover(inputCol=column, outputCol=out, stopWords=listed, caseSensitive=True)
+    return remover.transform(df)
 
 
 def stylometric_features(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Append the fifteen measures of ``STYLE_FEATURES`` as doubles.
 
     Tokens, sentence lengths and integer counts are projected in stages, each used several
-    times by the next one, so that the optimiser keeps them as shared columns.
+    times by the next one, so that the optimiser keeps them as shared columns. Pairs of words and
+    words outside a list come from ML transformers, which work on a row's array in compiled code.
     """
     text = F.col(text_col)
     original = df.columns
+    staged = df.withColumns(
+        {
+            "_words": alpha_tokens(F.coalesce(text, F.lit(""))),
+            "_sents": sentence_lengths(text),
+        }
+    )
+    staged = NGram(n=2, inputCol="_words", outputCol="_runs").transform(staged)
+    staged = _without(staged, "_words", STYLE_STOPWORDS, "_content")
+    staged = _without(staged, "_words", HEDGE_WORDS, "_plain")
     staged = (
-        df.withColumns(
-            {
-                "_words": alpha_tokens(text),
-                "_sents": sentence_lengths(text),
-            }
-        )
-        .withColumns(
+        staged.withColumns(
             {
                 "_joined": F.array_join("_words", " "),
                 "_n": F.size("_words"),
@@ -70,16 +77,7 @@ def stylometric_features(df: DataFrame, text_col: str = "text") -> DataFrame:
             {
                 "_letters": F.length("_joined") - F.greatest(F.col("_n") - 1, F.lit(0)),
                 "_types": F.size(F.array_distinct("_words")),
-                "_pairs": F.size(
-                    F.array_distinct(
-                        F.transform(
-                            positions(F.col("_n") - 1),
-                            lambda i: F.concat_ws(
-                                " ", F.get("_words", i), F.get("_words", i + 1)
-                            ),
-                        )
-                    )
-                ),
+                "_pairs": F.size(F.array_distinct("_runs")),
                 "_syllables": _count(SYLLABLE, "_joined"),
                 "_complex": _count(THREE_SYLLABLES, "_joined"),
                 "_sw": F.aggregate("_sents", F.lit(0).cast("bigint"), lambda t, x: t + x),
@@ -103,7 +101,7 @@ def stylometric_features(df: DataFrame, text_col: str = "text") -> DataFrame:
             - 1.015 * words_per_sentence
             - 84.6 * F.try_divide(F.col("_syllables").cast("double"), n)
         ),
-        "stopword_ratio": per_word(_listed("_words", STYLE_STOPWORDS)),
+        "stopword_ratio": per_word(n - F.size("_content")),
         "sent_len_std": or_zero(F.try_divide(F.sqrt((s * sw2 - sw * sw).cast("double")), s)),
         "bullet_rate": per_sentence(F.regexp_count(text, F.lit(BULLET))),
         "question_rate": per_sentence(count_chars(text, "?")),
@@ -114,7 +112,7 @@ def stylometric_features(df: DataFrame, text_col: str = "text") -> DataFrame:
         "fog": or_zero(
             0.4 * (words_per_sentence + F.try_divide(100.0 * F.col("_complex"), n))
         ),
-        "hedge_ratio": per_word(_listed("_words", HEDGE_WORDS)),
+        "hedge_ratio": per_word(n - F.size("_plain")),
     }
     known = text.isNotNull()
     return staged.select(

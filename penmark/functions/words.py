@@ -83,11 +83,13 @@ def prefix_text(text: Column, prefix: str = "passage: ") -> Column:
 
 
 def sentence_lengths(text: Column) -> Column:
-    """Words of each non-blank sentence, sentences ending at runs of ``.``, ``!`` or ``?``."""
+    """Words of each non-blank sentence, sentences ending at runs of ``.``, ``!`` or ``?``.
+
+    Every word becomes one letter, so the length of a piece between ends is its number of words.
+    """
     marked = F.translate(text, "!?" + WHITESPACE, ".." + " " * len(WHITESPACE))
-    lengths = F.transform(
-        F.split(marked, r"\.+"), lambda s: F.size(F.array_remove(F.split(s, " +"), ""))
-    )
+    letters = F.translate(F.regexp_replace(marked, "[^ .]+", "w"), " ", "")
+    lengths = F.transform(F.split(letters, r"\.+"), F.length)
     return F.filter(lengths, lambda n: n > 0)
 
 

@@ -1,26 +1,26 @@
 """TF-IDF as a long table (document, term, weight).
 
-Term counts are taken inside each row (sort the n-grams of a text, measure the runs), so
-neither the vocabulary nor the weights need a shuffle per document and term. The vocabulary is
-bounded by ``max_features`` and is held as a local table, the parameters of the fitted model.
+N-grams are summed where the texts are, and weights are made inside each row, so neither the
+vocabulary nor the weights need a shuffle per document and term. The vocabulary is bounded by
+``max_features`` and is held as a local table, the parameters of the fitted model.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, NGram, StopWordsRemover
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from penmark.bounded import SMALL_TABLE_ROWS, fetch_table
-from penmark.constants import TOP_TERMS
-from penmark.functions.tokens import ngrams, positions, vectoriser_tokens
-from penmark.session import materialise
+from penmark.constants import ENGLISH_STOP_WORDS, TOP_TERMS
+from penmark.functions.tokens import vectoriser_tokens
+from penmark.session import TEXT_ROWS, materialise
 
 
 @dataclass(frozen=True)
@@ -32,57 +32,26 @@ class TfidfConfig:
     sublinear_tf: bool = False
 
 
-def english_stop_words(spark) -> list[str]:
-    """Spark's own English list; any other list can be given instead."""
-    from pyspark.ml.feature import StopWordsRemover
-
-    return StopWordsRemover.loadDefaultStopWords("english")
-
-
-# The published configurations; the profile one also takes English stop words.
+# The published configurations.
 TRAIN_CONFIG = TfidfConfig(50_000, (1, 4))
 TRIGRAM_CONFIG = TfidfConfig(50_000, (1, 3))
 SMALL_TRIGRAM_CONFIG = TfidfConfig(5_000, (1, 3))
 UNIGRAM_CONFIG = TfidfConfig(5_000, (1, 1))
+PROFILE_CONFIG = TfidfConfig(
+    20_000, (1, 2), min_df=5, stop_words=ENGLISH_STOP_WORDS, sublinear_tf=True
+)
 
 
-def profile_config(spark) -> TfidfConfig:
-    return TfidfConfig(
-        20_000, (1, 2), min_df=5, stop_words=tuple(english_stop_words(spark)), sublinear_tf=True
-    )
-
-
-def term_counts(tokenised: DataFrame, config: TfidfConfig, keep: Sequence[str]) -> DataFrame:
-    """(keep, term, n): how often each n-gram of the column ``_tokens`` occurs in each text.
-
-    The stages are separate columns because each is used repeatedly by the next. The generator
-    is an outer one on purpose: for an inner one the optimiser adds a filter on the size of the
-    array, which evaluates the whole chain a second time.
-    """
-    n = F.size("_sorted")
-    return (
-        tokenised.withColumn(
-            "_sorted", F.sort_array(ngrams(F.col("_tokens"), *config.ngram_range))
-        )
-        .withColumn(
-            "_starts",
-            F.filter(
-                positions(n), lambda i: (i == 0) | (F.get("_sorted", i) != F.get("_sorted", i - 1))
-            ),
-        )
-        .withColumn(
-            "_counts",
-            F.transform(
-                "_starts",
-                lambda start, k: F.struct(
-                    F.get("_sorted", start).alias("term"),
-                    (F.coalesce(F.get("_starts", k + 1), n) - start).alias("n"),
-                ),
-            ),
-        )
-        .select(*keep, F.inline_outer("_counts"))
-        .filter(F.col("term").isNotNull())
-    )
+def with_ngrams(df: DataFrame, low: int, high: int, out: str = "_grams") -> DataFrame:
+    """Append all runs of ``low`` to ``high`` neighbouring tokens of the column ``_tokens``."""
+    parts = []
+    for n in range(low, high + 1):
+        if n == 1:
+            parts.append("_tokens")
+            continue
+        df = NGram(n=n, inputCol="_tokens", outputCol=f"_runs{n}").transform(df)
+        parts.append(f"_runs{n}")
+    return df.withColumn(out, F.concat(*parts)).drop(*[p for p in parts if p != "_tokens"])
 
 
 def _term_stats(
@@ -93,10 +62,18 @@ def _term_stats(
 ) -> DataFrame:
     """(term, tf, df) of the n-grams of some lengths that are in ``min_df`` documents or more.
 
-    ``shorter`` holds the frequent terms of one token less; an n-gram can be frequent only if
-    its first and its last n-1 tokens are, and any other is dropped before the shuffle.
+    Occurrences count towards tf, the distinct n-grams of each text towards df; both are summed
+    where the texts are, and only sums are shuffled. ``shorter`` holds the frequent terms of one
+    token less; an n-gram can be frequent only if its first and its last n-1 tokens are, and any
+    other is dropped before it is counted.
     """
-    counts = term_counts(tokenised, replace(config, ngram_range=lengths), [])
+    grams = with_ngrams(tokenised, *lengths).select("_grams")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    # Outer generators: inner ones add a filter on the size, which makes all n-grams once more.
+    counts = grams.select(F.explode_outer("_grams").alias("term"), one.alias("tf"), none.alias("df")).union(
+        grams.select(F.explode_outer(F.array_distinct("_grams")), none, one)
+    )
+    counts = counts.filter(F.col("term").isNotNull())
     if shorter is not None:
         known = F.broadcast(shorter.select(F.col("term").alias("_part")))
         size = lengths[0] - 1
@@ -104,7 +81,7 @@ def _term_stats(
             counts = counts.join(known, part == F.col("_part"), "left_semi")
     return (
         counts.groupBy("term")
-        .agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+        .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
         .filter(F.col("df") >= config.min_df)
     )
 
@@ -144,8 +121,18 @@ def _fetch_terms(stats: DataFrame, features: int) -> tuple[pa.Table, bool]:
 
 def _tokenised(df: DataFrame, config: TfidfConfig, text_col: str) -> DataFrame:
     """The tokens of every text, written once, as fitting reads them several times."""
-    tokens = vectoriser_tokens(F.col(text_col), config.stop_words)
-    return materialise(df.select(tokens.alias("_tokens")), "tokens")
+    return materialise(_with_tokens(df.select(text_col), config, text_col).select("_tokens"), "tokens", TEXT_ROWS)
+
+
+def _with_tokens(df: DataFrame, config: TfidfConfig, text_col: str) -> DataFrame:
+    """Append ``_tokens``; a null text has none."""
+    tokens = vectoriser_tokens(F.coalesce(F.col(text_col), F.lit("")))
+    if not config.stop_words:
+        return df.withColumn("_tokens", tokens)
+    remover = StopWordsRemover(
+        inputCol="_all", outputCol="_tokens", stopWords=list(config.stop_words), caseSensitive=True
+    )
+    return remover.transform(df.withColumn("_all", tokens)).drop("_all")
 
 
 def _vocabulary_table(tokenised: DataFrame, config: TfidfConfig) -> pa.Table:
@@ -210,12 +197,8 @@ class TfidfModel:
             return self.vocabulary.limit(0).join(df.select(*ids, *keep), F.lit(False)).select(
                 *ids, *keep, "term", "term_id", F.lit(0.0).alias("tfidf")
             )
-        tokens = vectoriser_tokens(F.coalesce(F.col(text_col), F.lit("")), self.config.stop_words)
-        grams = (
-            df.select(*ids, *keep, tokens.alias("_tokens"))
-            .withColumn("_grams", ngrams(F.col("_tokens"), *self.config.ngram_range))
-            .drop("_tokens")
-        )
+        tokens = _with_tokens(df.select(*dict.fromkeys([*ids, *keep, text_col])), self.config, text_col)
+        grams = with_ngrams(tokens, *self.config.ngram_range).drop("_tokens")
         counter = CountVectorizerModel.from_vocabulary(names, inputCol="_grams", outputCol="_n")
         weigher = ElementwiseProduct(
             scalingVec=Vectors.dense(self.terms.column("idf").to_pylist()),
@@ -285,7 +268,7 @@ def top_terms(
     Means that agree to twelve decimals count as equal and are ordered by term.
     """
     # Usually a sample, which would otherwise be drawn again for each of the passes below.
-    df = materialise(df.select(*dict.fromkeys([*ids, class_col, text_col])), "profiled")
+    df = materialise(df.select(*dict.fromkeys([*ids, class_col, text_col])), "profiled", TEXT_ROWS)
     sizes = df.groupBy(class_col).agg(F.count("*").alias("_docs"))
     weights = tfidf_fit_transform(df, config, ids, text_col, keep=[class_col])
     best = Window.partitionBy(class_col).orderBy(F.desc(F.round("mean_tfidf", 12)), "term")
