@@ -112,6 +112,8 @@ class Shard:
         # rest[i]: the most that terms i and later can add.
         rest = np.append(np.cumsum(bound[::-1], dtype=kind)[::-1], 0)
         floor = self._first_floor(own, terms, query, k)
+        # Scores beyond 64 bits count as the nearest long, and tie there.
+        floor = None if floor is None or floor <= _LONG.min else min(floor, _LONG.max)
         if floor is None:
             floor, essential = -int(2 * most.sum()) - 1, len(terms)
         else:
@@ -131,9 +133,12 @@ class Shard:
             stay = scores + rest[i + 1] >= floor
             docs, scores = docs[stay], scores[stay]
         other = self.ids[docs] != own
-        docs, scores = docs[other], scores[other]
-        best = np.argsort(-scores, kind="stable")[:k]  # documents are in the order of their ids
-        return self.ids[docs[best]], np.clip(scores[best], _LONG.min, _LONG.max).astype(np.int64)
+        docs = docs[other]
+        scores = np.clip(scores[other], _LONG.min, _LONG.max).astype(np.int64)
+        # The complement turns the order round and, unlike the negative, has a value for every long;
+        # documents are in the order of their ids.
+        best = np.argsort(~scores, kind="stable")[:k]
+        return self.ids[docs[best]], scores[best]
 
     def _first_floor(self, own: int, terms: np.ndarray, query: np.ndarray, k: int):
         """The k-th score among the heads of the first terms, None if they are fewer."""
