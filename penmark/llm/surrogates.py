@@ -1,7 +1,7 @@
 """Keyed surrogates for personal data and credentials, in DataFrame operations only.
 
-Detected: e-mail addresses, telephone numbers, card numbers that pass the Luhn check, IBANs that
-pass their check (also as a run of whole groups inside a longer number), social security numbers, IPv4 addresses, credentials, and names of persons (a
+Detected: e-mail addresses, telephone numbers (international, American, and national ones with a leading zero), card numbers that pass the Luhn check, IBANs that
+pass their check (also as a run of whole groups inside a longer number), social security numbers, IPv4 and IPv6 addresses, credentials, and names of persons (a
 known given name or a title before capitalised words, with initials and particles between them, and
 each part of such a name again wherever it stands in the same text). All else stays as it is.
 
@@ -18,24 +18,31 @@ surrogates, and return to their text as a map of that text's own mentions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from penmark.llm.columns import apart
 from penmark.session import materialise
 
-KEY = "change me"
+# The session setting that names the secret key.
+KEY_CONF = "spark.penmark.surrogateKey"
 # From this attempt on surrogates grow longer, so every kind always has free values.
 WIDER = 8
 
 # Given names that mark a person, and titles.
 FEMALE = (
     "Mary Anna Maria Emma Laura Julia Sarah Elizabeth Linda Patricia Susan Karen Nancy Emily Alice "
-    "Charlotte Sophie Camille Claire Ingrid Petra Carmen Lucia Elena"
+    "Charlotte Sophie Camille Claire Ingrid Petra Carmen Lucia Elena Ana Marie Julie Nicole Claudia Monika "
+    "Sabine Isabel Sofia Teresa Amanda Jessica Jennifer Michelle Helen Rachel Rebecca Hannah Lucy Aiko Yuki "
+    "Fatima Aisha Priya"
 ).split()
 MALE = (
     "John James Robert Michael William David Richard Thomas Peter Paul Daniel George Henry Edward "
-    "Pierre Jacques Antoine Hans Klaus Dieter Carlos Miguel Pedro Javier"
+    "Pierre Jacques Antoine Hans Klaus Dieter Carlos Miguel Pedro Javier Juan José Jose Luis Antonio "
+    "Francisco Diego Marco Luca Philippe Michel Stefan Andreas Markus Wolfgang Steven Andrew Joseph Charles "
+    "Brian Kevin Matthew Ahmed Mohammed Kenji Hiroshi Raj"
 ).split()
 FEMALE_CYRILLIC = "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана".split()
 MALE_CYRILLIC = "Иван Сергей Дмитрий Алексей Андрей Михаил Николай Владимир".split()
@@ -46,11 +53,25 @@ NEW_FEMALE = "Ada Beatrice Cora Delia Edith Flora Greta Hilda Iris Judith Lydia
 NEW_MALE = "Adrian Basil Conrad Desmond Edgar Felix Gilbert Hugo Ivor Jasper Leonard Martin Nigel Oscar Quentin Rupert Silas Victor".split()
 NEW_FEMALE_CYRILLIC = "Вера Галина Дарья Зоя Лидия Нина Раиса Тамара".split()
 NEW_MALE_CYRILLIC = "Борис Вадим Глеб Егор Захар Леонид Павел Тимофей".split()
-NEW_SURNAMES = (
-    "Ashdown Barlowe Cranfield Dunmore Elsworth Fairleigh Garrick Haldane Inglewood Kirkham Langdale "
-    "Merrow Norcross Oakden Penrose Quarles Ravensby Selwyn Thornbury Underhay Verrall Wexcombe Yarrow Zeller"
-).split()
-NEW_SURNAMES_CYRILLIC = "Ардов Белин Вернов Гладин Дорин Ельцов Жаров Зимин Кедров Ларин Маслов Озеров".split()
+
+# Pieces of new surnames, one of each list in a row; some twenty million in Latin letters,
+# some three million in Cyrillic ones.
+SURNAME_PIECES = (
+    "Al Ar Bal Bar Bel Ber Bran Cal Car Cor Dal Dar Dor El Er Fal Far Fen Gal Gar Gil Hal Har Hol Il Jar Kel Kin "
+    "Lan Lor Mal Mar Mel Nor Or Pel Ral Ros Sel Tal Tor Ul Val Ver Wal Wen Yar Zel".split(),
+    "a e i o u ade ane are ede ele ene ere ide ine ire ode one ore ude une ali eri osi uni".split(),
+    "b c d f g l m n p r s t v br cr dr fl gr lm nd nt rn st tr".split(),
+    "a e i o u ae ai au ea ei eu ia ie io oa oe oi ou ua ue ui uo ay oy".split(),
+    "ck ll m rd st by den dor lt n r rs rt tt field ford ham s ley low man mere more ner ney ric ston well wick".split(),
+)
+SURNAME_PIECES_CYRILLIC = (
+    "Ал Ар Бал Бар Бел Вар Вел Гал Гор Дар Дор Жар Зар Кал Кор Лар Мал Мер Нор Пол Сал Тар Тор Фал".split(),
+    "а е и о у".split(),
+    "б в г д ж з к л м н п р с т ф".split(),
+    "а е и о у".split(),
+    "б в г д ж з к л м н п р с т ф".split(),
+    "ов ев ин ын енков аков".split(),
+)
 
 # Each part starts with what fails fast at most places: one character ahead or behind.
 _EMAIL = (
@@ -59,7 +80,8 @@ _EMAIL = (
 _ACCESS_KEY = r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
 _SECRET = (
     r"(?<=[=:\x22'] {0,1})"
-    r"(?<=(?i:token|secret|api_key|apikey|password|passwd|pwd) {0,2}[=:] {0,2}[\x22']{0,1})[^\s\x22'<>,;]{8,}+"
+    r"(?<=(?i:token|secret|api_key|apikey|password|passwd|pwd)[\x22']{0,1} {0,2}[=:] {0,2}[\x22']{0,1})"
+    r"[^\s\x22'<>,;]{8,}+"
 )
 # Countries by the length of their IBAN.
 IBAN_LENGTHS = {
@@ -82,11 +104,17 @@ _IBAN = (
 )
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _IP = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
+_HEX = "[0-9A-Fa-f]{1,4}"
+_IPV6 = (
+    rf"(?<![\p{{L}}0-9:._])(?=[0-9A-Fa-f:]*[0-9])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})"
+    r"(?![\p{L}0-9:])"
+)
 _PHONE = (
     r"(?<![\p{L}0-9])\+1[ .\-]?\(?[0-9]{3}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![0-9])"
     r"|(?<![\p{L}0-9])\+[2-9][0-9]{0,2}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])"
     r"|(?<![\p{L}0-9])\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?![0-9])"
     r"|(?<![\p{L}0-9.\-])[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9\-])"
+    r"|(?<![\p{L}0-9.\-])0[0-9]{2,4}[ \-][0-9]{3,4}[ \-][0-9]{3,4}(?![0-9\-])"
 )
 _SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 _CARD = r"(?<![\p{L}0-9.\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\p{L}0-9\-])"
@@ -106,17 +134,18 @@ _PARTICLES = "(?:van|von|der|den|de|del|della|di|da|du|la|le|los|zu)"
 _NEXT = rf"(?:(?: {_INITIALS}){{0,2}}(?: {_PARTICLES}){{0,2}} |-){_WORD}"
 _NAME = (
     rf"(?:{_GIVEN})(?!\p{{L}})(?:{_NEXT}){{1,3}}"
-    rf"|(?<=(?<!\p{{L}})(?:{'|'.join(TITLES)})\.{{0,1}} (?:(?:{_CAPITAL}\.){{1,2}} ){{0,1}}){_WORD}(?:{_NEXT}){{0,3}}"
+    rf"|(?<=(?<!\p{{L}})(?:{'|'.join(TITLES)})\.{{0,1}} (?:(?:{_CAPITAL}\.){{1,2}} ){{0,1}})"
+    rf"(?!(?:{'|'.join(TITLES)})(?!\p{{L}})){_WORD}(?:{_NEXT}){{0,3}}"
 )
 _BARE_WORD = rf"(?<!\p{{L}}){_WORD}"
 _WHOLE_NAME = rf"^{_WORD}(?:{_NEXT})*$"
 MENTION = (
     f"{_EMAIL}|(?=[0-9+(])(?:{_IP}|{_PHONE}|{_SSN}|{_CARD})|(?=[A-Z])(?:{_ACCESS_KEY}|{_IBAN})"
-    rf"|{_SECRET}|(?={_CAPITAL}[\x27\u2019a-zß-ÿа-я])(?<!\p{{L}})(?:{_NAME})"
+    rf"|{_SECRET}|(?={_HEX}:[0-9A-Fa-f:]){_IPV6}|(?={_CAPITAL}[\x27\u2019a-zß-ÿа-я])(?<!\p{{L}})(?:{_NAME})"
 )
 # Cheap to test, and true for every text with a mention.
 MAYBE = (
-    r"[@0-9]|AKIA|[=:](?<=(?i:token|secret|api_key|apikey|password|passwd|pwd) {0,2}[=:])"
+    r"[@0-9]|AKIA|[=:](?<=(?i:token|secret|api_key|apikey|password|passwd|pwd)[\x22']{0,1} {0,2}[=:])"
     rf"|(?={_CAPITAL}{_SMALL})(?:{_BEFORE})(?:\.?[ \-]{_CAPITAL}| {_PARTICLES} )"
 )
 
@@ -140,10 +169,13 @@ def _mod97(text: str) -> str:
     return f"aggregate(sequence(1, length({text})), 0, (s, i) -> (s * if({v} > 9, 100, 10) + {v}) % 97)"
 
 
+# In SQL raw strings the quote of the pattern is written by its number.
+_EMAIL_SQL = _EMAIL.replace("'", r"\x27")
 _PLAIN = "upper(regexp_replace(mention, '[^0-9A-Za-z]', ''))"
 
 _KIND = rf"""CASE
- WHEN mention LIKE '%@%' THEN 'email'
+ WHEN mention RLIKE r'^{_EMAIL_SQL}$' THEN 'email'
+ WHEN mention RLIKE r'^{_IPV6}$' THEN 'ipv6'
  WHEN mention RLIKE r'^{_IP}$' THEN 'ip'
  WHEN mention RLIKE r'^AKIA[0-9A-Z]{{16}}$' THEN 'secret'
  WHEN mention RLIKE r'^{_IBAN}$' AND {_mod97(f"concat(substring({_PLAIN}, 5), substring({_PLAIN}, 1, 4))")} = 1 THEN 'iban'
@@ -176,9 +208,10 @@ _CHECKED = f"(mention RLIKE r'^{_CARD}$' OR mention RLIKE r'^{_IBAN}$') AND ment
 
 # Country codes stay: 1, or two digits after any other plus sign.
 _ENTITY = rf"""CASE
- WHEN kind = 'email' THEN lower(mention)
+ WHEN kind IN ('email', 'ipv6') THEN lower(mention)
  WHEN kind = 'phone' AND mention RLIKE r'^\+1[^0-9]' THEN substring({_PLAIN}, 2)
  WHEN kind = 'phone' AND mention LIKE '+%' THEN substring({_PLAIN}, 3)
+ WHEN kind = 'phone' AND mention LIKE '0%' THEN substring({_PLAIN}, 2)
  WHEN kind IN ('phone', 'card', 'ssn', 'iban') THEN {_PLAIN}
  ELSE mention END"""
 
@@ -187,11 +220,27 @@ def _pick(names: list[str], h: str) -> str:
     return f"element_at(array({_in(names)}), cast(1 + {h} % {len(names)} as int))"
 
 
-def _names(names: list[str], ending: str = "") -> str:
+def _names(names: list[str]) -> str:
     """SQL: a name from the list; later attempts join several, so there is always a free one."""
     h = "cast(conv(substring(sha2(concat(seed, '/', i), 256), 1, 8), 16, 10) as long)"
-    one = f"concat({_pick(names, h)}, '{ending}')"
-    return f"array_join(transform(sequence(0, attempt), i -> {one}), '-')"
+    return f"array_join(transform(sequence(0, attempt), i -> {_pick(names, h)}), '-')"
+
+
+def _surnames(pieces: tuple[list[str], ...], ending: str = "") -> str:
+    """SQL: a surname of one piece from each list; late attempts join several, so one is always free."""
+    digits = lambda at: f"cast(conv(substring(sha2(concat(seed, '/', i), 256), {at}, 8), 16, 10) as long)"
+    one = ", ".join(_pick(piece, digits(1 + 8 * n)) for n, piece in enumerate(pieces))
+    return f"array_join(transform(sequence(0, greatest(0, attempt - 3)), i -> concat({one}, '{ending}')), '-')"
+
+
+def _hex_shape(text: str) -> str:
+    """SQL: each digit of a hexadecimal text replaced, all other characters as they are."""
+    c = f"substring({text}, i, 1)"
+    h = "cast(conv(substring(sha2(concat(seed, '/', i), 256), 1, 8), 16, 10) as long)"
+    return (
+        f"array_join(transform(sequence(1, length({text})), i -> "
+        f"if({c} = ':', ':', substring('0123456789abcdef', cast(1 + {h} % 16 as int), 1))), '')"
+    )
 
 
 def _shape(text: str, seed: str = "seed") -> str:
@@ -233,9 +282,10 @@ _SURROGATE = rf"""CASE
  WHEN kind = 'male' THEN {_names(NEW_MALE)}
  WHEN kind = 'female_cyrillic' THEN {_names(NEW_FEMALE_CYRILLIC)}
  WHEN kind = 'male_cyrillic' THEN {_names(NEW_MALE_CYRILLIC)}
- WHEN kind = 'surname_cyrillic' THEN {_names(NEW_SURNAMES_CYRILLIC)}
- WHEN kind = 'surname_cyrillic_a' THEN {_names(NEW_SURNAMES_CYRILLIC, "а")}
- WHEN kind = 'surname' THEN {_names(NEW_SURNAMES)}
+ WHEN kind = 'surname_cyrillic' THEN {_surnames(SURNAME_PIECES_CYRILLIC)}
+ WHEN kind = 'surname_cyrillic_a' THEN {_surnames(SURNAME_PIECES_CYRILLIC, "а")}
+ WHEN kind = 'surname' THEN {_surnames(SURNAME_PIECES)}
+ WHEN kind = 'ipv6' THEN concat({_hex_shape("entity")}, {_MORE})
  WHEN entity LIKE 'AKIA%' AND length(entity) = 20 THEN concat('AKIA', {_shape("substring(entity, 5)")}, {_MORE})
  ELSE concat({_shape("entity")}, {_MORE}) END"""
 
@@ -252,8 +302,22 @@ _RENDERED = rf"""CASE
 _AROUND = "concat(substring(whole, 1, at - 1), {}, substring(whole, at + length(mention)))"
 
 
-def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
+# Random keys of applications without a configured one.
+_random_keys: dict[str, str] = {}
+
+
+def secret_key(spark: SparkSession) -> str:
+    """The key of the session's configuration; without one a random key of this application, so that
+    nobody can recompute surrogates, but another application's differ."""
+    configured = spark.conf.get(KEY_CONF, None)
+    if configured:
+        return configured
+    return _random_keys.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+
+
+def surrogates(entities: DataFrame, key: str | None = None) -> DataFrame:
     """kind, entity and surrogate of distinct (kind, entity), all surrogates of a kind different."""
+    key = key or secret_key(entities.sparkSession)
     todo, done = entities.select("kind", "entity"), None
     attempt = 0
     while True:
@@ -284,7 +348,7 @@ def mentions(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(MENTION), F.lit(0))
 
 
-def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
+def replace_entities(docs: DataFrame, key: str | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text`` and n_entities (mentions replaced) as a new column.
 
     Null and empty texts stay as they are, with 0 mentions. Repeated rows are kept and get equal
@@ -300,14 +364,22 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     # The parts of a text's names count one by one, in the names and wherever else they stand.
     is_name = lambda m: m.rlike(_WHOLE_NAME)
     words = lambda t: F.regexp_extract_all(t, F.lit(_BARE_WORD), F.lit(0))
+    # Written once: an id hash that spreads copies of one text, and what was found.
+    id_hash = F.xxhash64("doc_id") if "doc_id" in names else F.lit(0).cast("long")
     with_some = (
         rows.filter(touched)
+        .withColumn("_k1", id_hash)
+        .withColumn("_k2", F.xxhash64("text"))
         .withColumn("_found", mentions(text))
         .withColumn("_words", F.array_distinct(F.flatten(F.transform(F.filter("_found", is_name), words))))
         .withColumn("_known", F.array_union(F.filter("_found", lambda m: ~is_name(m)), "_words"))
     )
+    keyed = materialise(with_some, "found")
+    # An inner generator would add a filter on its array, down to the scan of all texts.
+    each = keyed.select("_k1", "_k2", F.explode_outer("_known").alias("mention"))
+    each = each.filter("mention is not null").distinct()
     distinct = (
-        with_some.select(F.explode("_known").alias("mention"))
+        each.select("mention")
         .distinct()
         .withColumn("kind", F.expr(_KIND))
         .withColumn("part", F.expr(f"CASE WHEN kind = 'none' AND {_CHECKED} THEN {_PART} END"))
@@ -328,13 +400,9 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
         ),
         "rendered",
     )
-    # Equal rows share a map; the id spreads copies of one text.
-    id_hash = F.xxhash64("doc_id") if "doc_id" in names else F.lit(0)
-    keyed = with_some.withColumn("_k1", id_hash).withColumn("_k2", F.xxhash64("text"))
+    # Equal rows share a map.
     maps = (
-        keyed.select("_k1", "_k2", F.explode("_known").alias("mention"))
-        .distinct()
-        .join(rendered, "mention")
+        each.join(rendered, "mention")
         .groupBy("_k1", "_k2")
         .agg(F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias("_map"))
     )
@@ -383,8 +451,11 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     return out.toDF(*docs.columns, "n_entities")
 
 
-def without_private_data(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """The documents with surrogates, in the same columns; n_chars, if any, is that of the new text."""
+def without_private_data(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """The documents with surrogates, in the same columns; n_chars, if any, is that of the new text.
+
+    Null and empty texts and repeated rows stay; an empty table stays empty.
+    """
     plain, restored = apart(docs, ("doc_id", "text"))
     out = restored(replace_entities(plain, key))
     if "n_chars" in docs.columns:
