@@ -19,10 +19,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from penmark.llm.arrowtext import row_slices, split_words
-from penmark.llm.columns import apart
+from penmark.llm.arrowtext import Words, row_slices, split_words
 from penmark.llm.components import connected_components
 from penmark.session import materialise
 
@@ -33,12 +31,14 @@ TILE = 1 << 15
 # Runs of a key up to this length are compared row against row, longer ones by search.
 SHORT_RUN = 48
 
+# Texts whose shingles a worker hashes at a time; their places take some hundred times as much.
+SLICE_BYTES = 1 << 20
+
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def text_fingerprints(column: pa.Array, size: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
-    """Majority bits of the hashes of all shingles of each text; zero without words."""
-    words = split_words(column, lower=True)
+def shingle_hashes(words: Words, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of all texts, back to back, and their number in each text."""
     counts = np.diff(words.docs)
     shingles = np.where(counts == 0, 0, np.maximum(counts - size + 1, 1))
     first = np.repeat(words.docs[:-1] - (np.cumsum(shingles) - shingles), shingles) + np.arange(
@@ -54,23 +54,33 @@ def text_fingerprints(column: pa.Array, size: int = SHINGLE_WORDS, seed: int = S
         np.uint64,
         len(first),
     )
-    filled = np.flatnonzero(shingles)
-    out = np.zeros(len(counts), np.uint64)
+    return hashes, shingles
+
+
+def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Majority of each bit over the hashes of each text; zero for a text without any."""
+    filled = np.flatnonzero(sizes)
+    out = np.zeros(len(sizes), np.uint64)
     if len(filled):
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = (np.cumsum(shingles) - shingles)[filled]
+        starts = (np.cumsum(sizes) - sizes)[filled]
         votes = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        won = votes * 2 > shingles[filled][:, None]
+        won = votes * 2 > sizes[filled][:, None]
         out[filled] = np.packbits(won, axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
+def text_fingerprints(column: pa.Array, size: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
+    """Majority bits of the hashes of all shingles of each text; zero without words."""
+    return majority_bits(*shingle_hashes(split_words(column, lower=True), size, seed))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and the fingerprint, as a signed long, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in row_slices(batch, 1):
+            for part in row_slices(batch, 1, SLICE_BYTES):
                 found = text_fingerprints(part.column(1)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(found)], names=["doc_id", "fp"]
@@ -210,11 +220,14 @@ def _against(planes: np.ndarray, queries: np.ndarray, at: np.ndarray):
             return
 
 
-def long_run(values: np.ndarray, radius: int, block: int = 64) -> np.ndarray:
+def long_run(
+    values: np.ndarray, radius: int, block: int = 64, partner: np.ndarray | None = None
+) -> np.ndarray:
     """For each value the least index that it is linked with, directly or through others.
 
     A search from one value to the next: what has been reached is compared only with what has not,
-    so a dense group takes few comparisons and only stray values make it longer.
+    so a dense group takes few comparisons and only stray values make it longer. ``partner``, if
+    given, gets the value within the radius from which each one was reached.
     """
     root = np.arange(len(values))
     order = np.arange(len(values))  # values not reached yet
@@ -232,6 +245,9 @@ def long_run(values: np.ndarray, radius: int, block: int = 64) -> np.ndarray:
             near = within(_against(planes, values[some], np.flatnonzero(lanes)), lanes, radius)
             got = _lanes(np.bitwise_or.reduce(near, axis=0))
             got = got[got < len(order)]
+            if partner is not None:
+                bits = np.unpackbits(near.view(np.uint8), axis=1, bitorder="little")[:, got]
+                partner[order[got]] = some[bits.argmax(axis=0)]
             root[order[got]] = start
             alive[got] = False
             frontier = np.concatenate([frontier, order[got]])
@@ -318,26 +334,3 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` with the least doc_id of each group, one row for each group."""
-    docs, restored = apart(docs, ("doc_id", "text"))
-    names = docs.columns
-    fields = StructType([*docs.schema.fields, StructField("_fp", LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = names.index("text")
-        for batch in batches:
-            for part in row_slices(batch, place):
-                found = text_fingerprints(part.column(place)).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(found)], names=[*names, "_fp"]
-                )
-
-    marked = materialise(docs.mapInArrow(run, fields), "marked")
-    classes = fingerprint_components(marked.select("doc_id", F.col("_fp").alias("fp")), radius)
-    chosen = marked.join(classes.withColumnRenamed("fp", "_fp"), "_fp").filter(
-        F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
-    return restored(chosen.dropDuplicates(["component"]))

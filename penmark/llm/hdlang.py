@@ -28,7 +28,7 @@ from penmark.llm.columns import apart
 DIMENSIONS = 1024
 SEED = 42
 # Texts taken apart at a time; the arrays of their n-grams take some sixty times as much.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 UNDETERMINED = "und"
 # Texts whose best cosine is below this are not of any known language.
 LEAST_SCORE = 0.05
@@ -239,9 +239,16 @@ def identify_held_out(docs: DataFrame, folds: int = 5) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """The documents that resemble a language learned from all labelled ones, columns unchanged."""
+    """The documents that resemble a language learned from all labelled ones, columns unchanged.
+
+    Texts without a letter go, null texts with them. If no text has both a letter and a language,
+    nothing is learned, and all texts with a letter stay. Repeated rows are judged alike; an empty
+    table stays empty.
+    """
     langs, prototypes = train(docs)
     plain, restored = apart(docs, ("text",))
+    if not langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     kept = identify(plain, langs, prototypes, SEED).filter(
         (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)
     )
