@@ -121,6 +121,11 @@ def test_attribution_ranking_equals_the_mean_of_rows(spark):
     assert {(r["class"], r["feature"]): r["importance"] for r in ranking} == pytest.approx(mean)
     sums = per_row.groupBy("class").agg(F.sum("contribution").alias("s")).collect()
     assert [r["s"] for r in sums] == pytest.approx([0.0, 0.0])
+    arrays = attribution.attribution_arrays(df, coefficients, background, ["doc_id"])
+    exploded = arrays.select("doc_id", "class", F.posexplode("contributions").alias("feature", "contribution"))
+    key = lambda r: (r["doc_id"], r["class"], r["feature"])
+    want = {key(r): r["contribution"] for r in per_row.collect()}
+    assert {key(r): r["contribution"] for r in exploded.collect()} == pytest.approx(want)
 
 
 def test_missing_labels_and_predictions_follow_one_rule(spark):

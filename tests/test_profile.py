@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from penmark.functions.words import word_count
-from penmark.operators import density, labels, profile, scaling
+from penmark.operators import density, labels, profile, scaling, sketches
 
 
 @pytest.fixture(scope="module")
@@ -66,9 +66,9 @@ def test_percentiles(corpus):
     assert row["word_p995"] == pytest.approx(np.percentile(x, 99.5))
 
 
-@pytest.mark.parametrize("intervals", [50_000, 3])
-def test_continuous_percentile_is_exact(spark, monkeypatch, intervals):
-    monkeypatch.setattr(profile, "PERCENTILE_INTERVALS", intervals)
+@pytest.mark.parametrize("ranked", [200_000, 3])
+def test_continuous_percentile_is_exact(spark, monkeypatch, ranked):
+    monkeypatch.setattr(sketches, "RANKED", ranked)
     rng = np.random.default_rng(3)
     x = [float(v) for v in rng.gamma(2.0, 3.0, size=500)] + [7.0] * 100
     df = spark.createDataFrame([(v,) for v in x] + [(None,), (0.0,), (float("inf"),)], "v double")
