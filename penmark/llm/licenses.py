@@ -21,14 +21,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _GRANT = (
-    "(?:this (?:work|file|software|program|project|code|library|document|text|content|page|article) is )?"
+    "(?:this (?:work|file|software|program|project|code|library|document|text|content|page|article|package|module"
+    "|repository|crate|plugin|tool|app|application|source code) is )?"
     "(?:licensed|released|distributed|published|available|made available|provided) under (?:the )?"
     "(?:terms (?:and conditions )?of )?(?:the )?(?:an? )?"
 )
+_SPDX = "spdx license identifier "
+_CC = f"(?:{_GRANT})?creative commons attribution "
 
 # Normalised sentences of licence notices, with what they are called; a group holds a
 # version that becomes part of the name.
 SENTENCES = (
+    ("DUALREF", _GRANT + "(?:either of )?(?:the )?apache license (?:v|version )?2\\.0.* or .*mit license.*"),
+    ("DUALREF", _GRANT + "(?:either of )?(?:the )?mit license.* or .*apache license (?:v|version )?2\\.0.*"),
+    ("DUALREF", _SPDX + "(?:mit or apache 2\\.0|apache 2\\.0 or mit)"),
+    ("APACHEREF", _SPDX + "apache ([12]\\.[01])"),
+    ("MITREF", _SPDX + "mit"),
+    ("ISCREF", _SPDX + "isc"),
+    ("BSDREF", _SPDX + "bsd ([234]) clause"),
+    ("LGPLREF", _SPDX + "lgpl ([23]\\.[01])(?: only| or later)?"),
+    ("AGPLREF", _SPDX + "agpl ([13]\\.0)(?: only| or later)?"),
+    ("GPLREF", _SPDX + "gpl ([123]\\.0)(?: only| or later)?"),
+    ("MPLREF", _SPDX + "mpl ([12]\\.[01])"),
+    ("EPLREF", _SPDX + "epl ([12]\\.0)"),
+    ("BSLREF", _SPDX + "bsl (1\\.0)"),
+    ("CC0REF", _SPDX + "cc0 (1\\.0)"),
+    ("UNLICENSE", _SPDX + "unlicense"),
     ("APACHEREF", _GRANT + "apache(?: software)? license (?:v|version )?([12]\\.[01])"),
     ("APACHEREF", "licensed under the apache license version ([12]\\.[01]) the license"),
     ("APACHEUSE", "you may not use this file except in compliance with the license"),
@@ -37,6 +55,8 @@ SENTENCES = (
     ("APACHESEE", "see the license for the specific language governing permissions and limitations under the license"),
     ("MITREF", _GRANT + "mit(?: open source)? license"),
     ("MITREF", "(?:the )?mit license(?: mit)?"),
+    ("MITREF", "(?:this (?:project|software|package|code|library) is )?mit licensed"),
+    ("ISCREF", _GRANT + "isc license"),
     ("MITGRANT", "permission is hereby granted free of charge to any person obtaining a copy of this software.*"),
     ("MITNOTICE", "the above copyright notice and this permission notice shall be included in all copies.*"),
     ("ISCGRANT", "permission to use copy modify and or distribute this software for any purpose.*"),
@@ -50,6 +70,9 @@ SENTENCES = (
     ("LGPLREF", _GRANT + "gnu (?:lesser|library) general public license (?:v|version )?([23](?:\\.[01])?)(?: or .*later.*)?"),
     ("AGPLREF", _GRANT + "gnu affero general public license (?:v|version )?([13](?:\\.0)?)(?: or .*later.*)?"),
     ("GPLREF", _GRANT + "gnu general public license (?:v|version )?([123](?:\\.0)?)(?: or .*later.*)?"),
+    ("LGPLREF", f"(?:{_GRANT})?(?:gnu )?lgpl ?(?:v|version )?([23](?:\\.[01])?)(?: or .*later.*| only| license)?"),
+    ("AGPLREF", f"(?:{_GRANT})?(?:gnu )?agpl ?(?:v|version )?([13](?:\\.0)?)(?: or .*later.*| only| license)?"),
+    ("GPLREF", f"(?:{_GRANT})?(?:gnu )?gpl ?(?:v|version )?([123](?:\\.0)?)(?: or .*later.*| only| license)?"),
     ("GPLFREE", "this (?:program|library|file) is free software"),
     ("GPLTERMS", "you can redistribute it and or modify it under the terms of the gnu general public license.*"),
     ("GPLVERSION", "either version ([23]) of the license or .*any later version"),
@@ -58,6 +81,13 @@ SENTENCES = (
     ("GPLCOPY", "you should have received a copy of the gnu general public license.*"),
     ("MPLREF", _GRANT + "mozilla public license (?:v ?|version )?([12]\\.[01])"),
     ("EPLREF", _GRANT + "eclipse public license (?:v ?|version )?([12]\\.0)"),
+    ("BSLREF", f"(?:{_GRANT})?boost software license (?:v|version )?(1\\.0)"),
+    ("CCBYNCSAREF", _CC + "non ?commercial share ?alike ([1-4]\\.[05])(?: international| unported)?(?: license)?"),
+    ("CCBYNCNDREF", _CC + "non ?commercial no ?derivat(?:ive|e)s ([1-4]\\.[05])(?: international| unported)?(?: license)?"),
+    ("CCBYNCREF", _CC + "non ?commercial ([1-4]\\.[05])(?: international| unported)?(?: license)?"),
+    ("CCBYSAREF", _CC + "share ?alike ([1-4]\\.[05])(?: international| unported)?(?: license)?"),
+    ("CCBYNDREF", _CC + "no ?derivat(?:ive|e)s ([1-4]\\.[05])(?: international| unported)?(?: license)?"),
+    ("CCBYREF", _CC + "([1-4]\\.[05])(?: international| unported)?(?: license)?"),
     ("CC0REF", _GRANT + "(?:creative commons )?cc0 ?(1\\.0).*"),
     ("CCBYNCSAREF", _GRANT + "(?:creative commons )?cc by nc sa ([1-4]\\.[05])(?: license)?"),
     ("CCBYNCNDREF", _GRANT + "(?:creative commons )?cc by nc nd ([1-4]\\.[05])(?: license)?"),
@@ -71,7 +101,7 @@ SENTENCES = (
     ("COPYRIGHT", "copyright (?:c )?[0-9].*"),
 )
 
-# Sequences of sentences, in the order in which they are tried, and the licence that they make.
+# Sequences of sentences (== stands between two licences of one notice), in the order in which they are tried, and the licence that they make.
 RULES = (
     ("(?:COPYRIGHT )?(?:MITREF )?(?:COPYRIGHT )?MITGRANT MITNOTICE(?: ASIS)?(?: NOLIABILITY)?", "MIT"),
     ("(?:COPYRIGHT )?ISCGRANT(?: ASIS)?(?: NOLIABILITY)?", "ISC"),
@@ -80,14 +110,17 @@ RULES = (
     ("(?:COPYRIGHT )?APACHEREF-([0-9.]+) APACHEUSE(?: APACHECOPY)?(?: APACHEBASIS)?(?: APACHESEE)?", "Apache-{1}"),
     ("(?:COPYRIGHT )?GPLFREE GPLTERMS GPLVERSION-([23])(?: GPLHOPE)?(?: GPLSEE)?(?: GPLCOPY)?", "GPL-{1}.0-or-later"),
     ("UNLICENSE(?: ASIS)?(?: NOLIABILITY)?", "Unlicense"),
+    ("DUALREF", "MIT==Apache-2.0"),
     ("APACHEREF-([0-9.]+)", "Apache-{1}"),
     ("MITREF", "MIT"),
+    ("ISCREF", "ISC"),
     ("BSDREF-([234])", "BSD-{1}-Clause"),
     ("LGPLREF-([0-9.]+)", "LGPL-{1}"),
     ("AGPLREF-([0-9.]+)", "AGPL-{1}"),
     ("GPLREF-([0-9.]+)", "GPL-{1}"),
     ("MPLREF-([0-9.]+)", "MPL-{1}"),
     ("EPLREF-([0-9.]+)", "EPL-{1}"),
+    ("BSLREF-([0-9.]+)", "BSL-{1}"),
     ("CC0REF-([0-9.]+)", "CC0-{1}"),
     ("CCBYNCSAREF-([0-9.]+)", "CC-BY-NC-SA-{1}"),
     ("CCBYNCNDREF-([0-9.]+)", "CC-BY-NC-ND-{1}"),
@@ -105,14 +138,15 @@ TRIGGERS = (
     "licen", "copyright", "redistribut", "permission", "as is", "liable", "free software",
     "public domain", "rights reserved", "endorse", "in the hope", "any later version",
 )
-# Those of sentences that name Creative Commons without the word licence.
-MORE_TRIGGERS = ("cc0", "cc by", "creative commons")
+# Those of sentences that name Creative Commons or the GPL without the word licence.
+MORE_TRIGGERS = ("cc0", "cc by", "creative commons", "gpl")
 
 # Steps from a wrapped text to sentences (between breaks), which may hold newlines. Paragraphs, list
 # items and lines of copyright end a sentence; other newlines do not.
 BREAK = "\x01"
 UNWRAPPING = (
     ("\\r\\n?", "\n"),
+    ("(?i)(spdx-license-identifier):[ \\t]*", "$1 "),
     ("(?m)^[ \\t]*(?:#+|/{2,}|/\\*+|\\*+/|\\*+(?=[ \\t]|$)|--+|;+|%+|<!--|-->|\\x22{3})[ \\t]*", ""),  # comment markers
     ("(?m)[ \\t]*(?:\\*+/|\\*+|#+|-->)[ \\t]*$", ""),
     ("\\b([Aa]t):?\\s+(?=https?://)", "$1 "),  # the address stands in a paragraph of its own
