@@ -1,17 +1,18 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-A token is predicted in two steps: its class from the words before it, by a softmax over hashed
-n-gram and skip features; then the word within its class by frequency. Classes are: rare words
-(unknown ones and those seen once), the end of a text, the most frequent words one by one, and
-groups of the other words by how they begin and end. With all weights at zero the classes have
-their frequencies, so training starts from a unigram model.
+A token is predicted in three steps: a family of classes and the class within it, both from the words
+before by a softmax over hashed n-gram and skip features; then the word within its class by
+frequency. Classes are: rare words (unknown ones and those seen once), the end of a text, the most
+frequent words one by one, and groups of the other words by how they begin and end; ``FAMILY`` of
+them in that order are a family. So a token takes two softmaxes over 16 instead of one over 256. With
+all weights at zero the classes have their frequencies, so training starts from a unigram model.
 
 Texts are tokenised once into chunks, each with a dictionary of its own; a window over the
 dictionaries adds up each word's occurrences in training texts (one row for each word and chunk), and
 the counts return to their chunks. So the vocabulary is never held in one place. Training takes the
 chunks in ``ROUNDS`` disjoint parts: each task makes stochastic gradient steps over its part from
 the common weights, and the next weights are the mean of the changes, summed exactly in fixed
-point. Weights, ``BUCKETS`` x classes numbers, are all that reaches the driver. Scoring goes
+point. Weights, 17 rows of 16 numbers for each of ``BUCKETS``, are all that reaches the driver. Scoring goes
 through the chunks once in sparse batches.
 """
 
@@ -33,10 +34,14 @@ from penmark.session import materialise
 
 FOLDS, HELD_OUT = 7, 2
 CHUNK_BYTES = 12 << 20
-FREQUENT = 62  # words with a class of their own
+FREQUENT = 126  # words with a class of their own
 FREQUENT_SHARE = 1 / 4096  # of all tokens, which such a word has at least
-GROUPS = 64
+GROUPS = 128
 CLASSES = 2 + FREQUENT + GROUPS
+FAMILY = 16  # classes of a family
+FAMILIES = CLASSES // FAMILY
+# Rows of weights of a bucket: one for the families, then one for the classes of each family.
+ROWS = 1 + FAMILIES
 RARE, END = 0, 1
 BUCKETS = 1 << 13
 ROUNDS = 2
@@ -44,7 +49,7 @@ BATCH = 4096
 RATE = 0.3
 FEW_ROWS = 6  # ids with more rows are summed one by one
 SCALE = 1024  # fixed point of the changes of weights
-WEIGHT_BLOCK = 64  # buckets to a row when changes are summed
+WEIGHT_BLOCK = 1024  # rows of weights that are summed together
 
 CHUNK = (
     "chunk long, words array<long>, groups array<int>, counts array<long>, "
@@ -263,29 +268,55 @@ def _tokens(batch: pa.RecordBatch, row: int, totals: Totals, chosen: np.ndarray)
     return Tokens(classes, counts, features, np.concatenate([[0], ends + 1]))
 
 
-def _logits(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
-    out = weights[features[:, 0]]
-    for k in range(1, features.shape[1]):
-        out += weights[features[:, k]]
-    out += bias
-    return out
+class Level(NamedTuple):
+    """One softmax of each token: its rows of weights, its bias and what it should give."""
+
+    rows: np.ndarray  # tokens x 4
+    bias: np.ndarray
+    targets: np.ndarray
+
+
+class Bias(NamedTuple):
+    """Logarithms of the shares of families, and of classes in their family."""
+
+    families: np.ndarray
+    classes: np.ndarray
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    return logits
+def _bias(of_class: np.ndarray) -> Bias:
+    counts = (of_class + 1).astype(float).reshape(FAMILIES, FAMILY)
+    sums = counts.sum(axis=1)
+    return Bias(
+        np.log(sums / sums.sum()).astype(np.float32), np.log(counts / sums[:, None]).astype(np.float32)
+    )
 
 
-def step(
-    weights: np.ndarray, squares: np.ndarray, bias: np.ndarray, features: np.ndarray, classes: np.ndarray
-) -> None:
-    """One gradient step on a batch, in place; each bucket has a rate of its own."""
-    slope = _softmax(_logits(weights, bias, features))
-    slope[np.arange(len(classes)), classes] -= 1
-    for k in range(features.shape[1]):
-        rows, sums = _row_sums(slope, features[:, k])
+def _levels(features: np.ndarray, classes: np.ndarray, bias: Bias) -> tuple[Level, Level]:
+    family, own = np.divmod(classes, FAMILY)
+    first = features * ROWS
+    return (
+        Level(first, bias.families, family),
+        Level(first + 1 + family[:, None], bias.classes[family], own),
+    )
+
+
+def _probabilities(weights: np.ndarray, level: Level) -> np.ndarray:
+    out = weights[level.rows[:, 0]]
+    for k in range(1, level.rows.shape[1]):
+        out += weights[level.rows[:, k]]
+    out += level.bias
+    out -= out.max(axis=1, keepdims=True)
+    np.exp(out, out=out)
+    out /= out.sum(axis=1, keepdims=True)
+    return out
+
+
+def step(weights: np.ndarray, squares: np.ndarray, level: Level) -> None:
+    """One gradient step on a batch, in place; each row of weights has a rate of its own."""
+    slope = _probabilities(weights, level)
+    slope[np.arange(len(slope)), level.targets] -= 1
+    for k in range(level.rows.shape[1]):
+        rows, sums = _row_sums(slope, level.rows[:, k])
         squares[rows] += np.einsum("ij,ij->i", sums, sums)
         sums *= (RATE / np.sqrt(squares[rows] + 1e-6))[:, None]
         weights[rows] -= sums
@@ -312,22 +343,26 @@ def _row_sums(values: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ids[starts], sums
 
 
-def _round(labelled: DataFrame, totals: Totals, weights: np.ndarray, bias: np.ndarray, part: int, rounds: int) -> np.ndarray:
+def _round(
+    labelled: DataFrame, totals: Totals, weights: np.ndarray, bias: Bias, part: int, rounds: int
+) -> np.ndarray:
     """Weights after one round over the training texts of ``part``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, squares = weights.copy(), np.zeros(BUCKETS, np.float32)
+        own, squares = weights.copy(), np.zeros(len(weights), np.float32)
         for batch in batches:
             for row in range(len(batch)):
                 held = np.array(batch.column("held")[row].as_py(), bool)
                 turn = np.arange(len(held)) % rounds == part
                 tokens = _tokens(batch, row, totals, np.flatnonzero(~held & turn))
                 for at in range(0, len(tokens.classes), BATCH):
-                    step(own, squares, bias, tokens.features[at : at + BATCH], tokens.classes[at : at + BATCH])
+                    span = slice(at, at + BATCH)
+                    for level in _levels(tokens.features[span], tokens.classes[span], bias):
+                        step(own, squares, level)
                 del tokens  # before the next chunk is taken apart
         change = np.clip(np.rint((own - weights) * SCALE), -32767, 32767).astype("<i2")
         touched = squares > 0
-        for block in range(BUCKETS // WEIGHT_BLOCK):
+        for block in range(len(weights) // WEIGHT_BLOCK):
             span = slice(block * WEIGHT_BLOCK, (block + 1) * WEIGHT_BLOCK)
             if touched[span].any():
                 yield pa.RecordBatch.from_arrays(
@@ -354,9 +389,9 @@ def _round(labelled: DataFrame, totals: Totals, weights: np.ndarray, bias: np.nd
                     if block is not None:
                         yield mean()
                     block = name.as_py()
-                    total = np.zeros((WEIGHT_BLOCK, CLASSES), np.int64)
+                    total = np.zeros((WEIGHT_BLOCK, FAMILY), np.int64)
                     times = np.zeros(WEIGHT_BLOCK, np.int64)
-                total += np.frombuffer(change.as_buffer(), "<i2").reshape(WEIGHT_BLOCK, CLASSES)
+                total += np.frombuffer(change.as_buffer(), "<i2").reshape(WEIGHT_BLOCK, FAMILY)
                 times += np.frombuffer(touched.as_buffer(), bool)
         if block is not None:
             yield mean()
@@ -371,7 +406,7 @@ def _round(labelled: DataFrame, totals: Totals, weights: np.ndarray, bias: np.nd
     out = weights.copy()
     for block, mean in zip(changes.column("block").to_pylist(), changes.column("mean").to_pylist()):
         span = slice(block * WEIGHT_BLOCK, (block + 1) * WEIGHT_BLOCK)
-        out[span] += np.frombuffer(mean, "<f4").reshape(WEIGHT_BLOCK, CLASSES)
+        out[span] += np.frombuffer(mean, "<f4").reshape(WEIGHT_BLOCK, FAMILY)
     return out
 
 
@@ -404,8 +439,8 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     chunks = materialise(_chunks(rows), "chunks")
     counted, totals, of_class = _counted(chunks)
     labelled = materialise(_labelled(chunks, counted), "labelled")
-    bias = np.log((of_class + 1) / (of_class + 1).sum()).astype(np.float32)
-    weights = np.zeros((BUCKETS, CLASSES), np.float32)
+    bias = _bias(of_class)
+    weights = np.zeros((BUCKETS * ROWS, FAMILY), np.float32)
     for part in range(rounds):
         weights = _round(labelled, totals, weights, bias, part, rounds)
 
@@ -418,10 +453,9 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                 logs = _within(tokens.counts, tokens.classes, totals, of_class)
                 for at in range(0, len(logs), BATCH):
                     span = slice(at, at + BATCH)
-                    shares = _softmax(_logits(weights, bias, tokens.features[span]))
-                    logs[span] += np.log(
-                        np.maximum(shares[np.arange(len(shares)), tokens.classes[span]], 1e-30)
-                    )
+                    for level in _levels(tokens.features[span], tokens.classes[span], bias):
+                        shares = _probabilities(weights, level)
+                        logs[span] += np.log(np.maximum(shares[np.arange(len(shares)), level.targets], 1e-30))
                 first = tokens.bounds[:-1]
                 total = lambda x: np.add.reduceat(x, first) if texts else x
                 yield pa.RecordBatch.from_arrays(
