@@ -20,7 +20,8 @@ from penmark.functions.words import sentence_lengths
 
 # Vowel groups count as syllables; a word without one counts as one syllable.
 SYLLABLE = "[aeiouy]+|(?<![a-z])[b-df-hj-np-tv-xz]++(?![a-z])"
-THREE_SYLLABLES = "[b-df-hj-np-tv-xz]*+(?:[aeiouy]++[b-df-hj-np-tv-xz]++){2}[aeiouy][a-z]*+"
+# From the start of a word: a later place in it has fewer vowel groups ahead.
+THREE_SYLLABLES = "(?<![a-z])[b-df-hj-np-tv-xz]*+(?:[aeiouy]++[b-df-hj-np-tv-xz]++){2}[aeiouy]"
 
 # A line that opens with a bullet; only a newline ends a line.
 BULLET = rf"(?md)^[{BLANK_CLASS}]*[-•*][{BLANK_CLASS}]"
@@ -28,7 +29,10 @@ BULLET = rf"(?md)^[{BLANK_CLASS}]*[-•*][{BLANK_CLASS}]"
 
 def count_chars(text: Column, chars: str) -> Column:
     """How many characters of ``text`` are in ``chars``."""
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("bigint")
+    if len(chars) == 1:
+        return (F.length(text) - F.length(F.replace(text, F.lit(chars), F.lit("")))).cast("bigint")
+    listed = "".join(f"\\{c}" if c.isascii() else c for c in chars)
+    return F.regexp_count(text, F.lit(f"[{listed}]")).cast("bigint")
 
 
 def punctuation_density(text: Column) -> Column:
