@@ -206,12 +206,13 @@ _VALID = rf"""(p.x RLIKE r'^{_CARD_GROUPS}$' AND {_luhn(_BARE)} % 10 = 0)
 _PART = f"array_max(transform(filter({_SPANS}, p -> {_VALID}), p -> named_struct('n', p.n, 'at', -p.at, 'x', p.x)))"
 _CHECKED = f"(mention RLIKE r'^{_CARD}$' OR mention RLIKE r'^{_IBAN}$') AND mention RLIKE '[ -]'"
 
-# Country codes stay: 1, or two digits after any other plus sign.
+# Country codes stay: 1, or two digits after any other plus sign; so does the zero before a national
+# number, unless it is written as an American one, which has the same entity with and without +1.
 _ENTITY = rf"""CASE
  WHEN kind IN ('email', 'ipv6') THEN lower(mention)
  WHEN kind = 'phone' AND mention RLIKE r'^\+1[^0-9]' THEN substring({_PLAIN}, 2)
  WHEN kind = 'phone' AND mention LIKE '+%' THEN substring({_PLAIN}, 3)
- WHEN kind = 'phone' AND mention LIKE '0%' THEN substring({_PLAIN}, 2)
+ WHEN kind = 'phone' AND mention LIKE '0%' AND NOT mention RLIKE r'^[0-9]{{3}}[ .\-][0-9]{{3}}[ .\-][0-9]{{4}}$' THEN substring({_PLAIN}, 2)
  WHEN kind IN ('phone', 'card', 'ssn', 'iban') THEN {_PLAIN}
  ELSE mention END"""
 

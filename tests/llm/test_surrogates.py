@@ -105,6 +105,8 @@ def test_titles_after_titles_stay(spark):
 
 
 def test_more_kinds(spark):
+    same = replaced(spark, "+1 (017) 555-7713 017-555-7713 0171 234 567")[0].split()
+    assert same[1][1:4] + same[2].replace("-", "") == same[3].replace("-", "") and same[4].startswith("0")
     texts = ["Ring 020 7946 0958 now", "from 2001:0db8:85a3::8a2e:0370:7334 to", "fe80::1", "Aiko Tanaka met Juan Perez", "at 12:30:45 a::b std::vector 2024-05-06 007 008 09"]
     out = replaced(spark, *texts)
     assert re.fullmatch(r"Ring 0\d{2} \d{4} \d{4} now", out[0]) and "7946" not in out[0]
