@@ -47,7 +47,6 @@ BUCKETS = 1 << 13
 ROUNDS = 2
 BATCH = 4096
 RATE = 0.3
-FEW_ROWS = 6  # ids with more rows are summed one by one
 SCALE = 1024  # fixed point of the changes of weights
 WEIGHT_BLOCK = 1024  # rows of weights that are summed together
 
@@ -157,16 +156,13 @@ def _counted(chunks: DataFrame) -> tuple[DataFrame, Totals, np.ndarray]:
     )
     seen = counted.filter("first and n > 0")
     top = seen.filter("word is not null").orderBy(F.desc("n"), "word").limit(FREQUENT)
-    ranks = [r.word for r in top.select("word").collect()]
-    own_class = F.coalesce(
-        *(
-            F.when(F.col("word") == w, F.lit(2 + i))
-            for i, w in enumerate(ranks)
-        ),
-        F.when(F.col("n") < 2, F.lit(RARE)),
-        F.lit(2 + FREQUENT) + F.col("group"),
+    # One row for each of the FREQUENT words.
+    ranks = [(r.word, 2 + i) for i, r in enumerate(top.select("word").collect())]
+    own = chunks.sparkSession.createDataFrame(ranks, "word long, own int")
+    classed = counted.join(F.broadcast(own), "word", "left").withColumn(
+        "class",
+        F.coalesce("own", F.when(F.col("n") < 2, F.lit(RARE)), F.lit(2 + FREQUENT) + F.col("group")).cast("int"),
     )
-    classed = counted.withColumn("class", own_class.cast("int"))
     totals = np.zeros(CLASSES, np.int64)
     distinct = once = twice = 0
     for r in (
@@ -323,24 +319,11 @@ def step(weights: np.ndarray, squares: np.ndarray, level: Level) -> None:
 
 
 def _row_sums(values: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different ids in order, and the sum of the rows of ``values`` that have each.
-
-    Most ids have few rows, which are added one rank after the other for all such ids together.
-    """
+    """Different ids in order, and the sum of the rows of ``values`` that have each."""
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
     starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    sizes = np.diff(np.concatenate([starts, [len(ids)]]))
-    sums = values[order[starts]]
-    few = sizes <= FEW_ROWS
-    for rank in range(1, FEW_ROWS):
-        some = np.flatnonzero(few & (sizes > rank))
-        if not len(some):
-            break
-        sums[some] += values[order[starts[some] + rank]]
-    for i in np.flatnonzero(~few).tolist():
-        sums[i] = values[order[starts[i] : starts[i] + sizes[i]]].sum(axis=0)
-    return ids[starts], sums
+    return ids[starts], np.add.reduceat(values[order], starts, axis=0)
 
 
 def _round(
