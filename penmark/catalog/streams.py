@@ -10,7 +10,7 @@ from penmark.catalog.registry import query
 from penmark.catalog.text import AVG_SENT, sql_truncated
 from penmark.constants import BLANK_CLASS
 from penmark.sources.models import load_pipeline, save_pipeline
-from penmark.session import new_path
+from penmark.session import is_folder, new_path
 from penmark.streaming.cleaning import clean_rows
 from penmark.streaming.cleaning import clean_stream as clean
 from penmark.streaming.deduplication import OUTCOMES, deduplicate_stream
@@ -19,9 +19,13 @@ from penmark.streaming.scoring import write_available
 
 
 def _arriving(spark, sf):
-    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
-    return source.parquet(sf)
+    """The documents as a stream: the files of their folder, or the one file, for which a stream
+    needs the folder that holds it."""
+    path = f"{sf}/documents.parquet"
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    if is_folder(spark, path):
+        return source.parquet(path)
+    return source.option("pathGlobFilter", "documents.parquet").parquet(sf)
 
 
 def _run(spark, stream, label):

@@ -172,3 +172,15 @@ def test_only_the_encoder_and_similarity_use_python(spark, sf):
         plan = plan_of(QUERIES[name](spark, sf))
         for node in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "NestedLoop"):
             assert node not in plan, (name, node)
+
+
+def in_parts(spark, sf, folder):
+    """The documents of ``sf`` as a folder of several files."""
+    spark.read.parquet(f"{sf}/documents.parquet").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def test_clean_stream_reads_documents_in_parts(spark, sf):
+    folder = in_parts(spark, sf, new_path(spark, "parts"))
+    rows = lambda at: sorted(QUERIES["clean_stream"](spark, at).collect(), key=str)
+    assert rows(folder) == rows(sf) != []
