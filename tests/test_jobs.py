@@ -184,3 +184,11 @@ def test_clean_stream_reads_documents_in_parts(spark, sf):
     folder = in_parts(spark, sf, new_path(spark, "parts"))
     rows = lambda at: sorted(QUERIES["clean_stream"](spark, at).collect(), key=str)
     assert rows(folder) == rows(sf) != []
+
+
+def test_documents_arrive_from_a_file_or_a_folder(spark, sf):
+    from penmark.catalog.streams import _arriving, _run
+
+    folder = in_parts(spark, sf, new_path(spark, "parts"))
+    ids = lambda at: sorted(r[0] for r in _run(spark, _arriving(spark, at).select("doc_id"), "ids").collect())
+    assert ids(folder) == ids(sf) != []
