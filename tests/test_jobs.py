@@ -192,3 +192,15 @@ def test_documents_arrive_from_a_file_or_a_folder(spark, sf):
     folder = in_parts(spark, sf, new_path(spark, "parts"))
     ids = lambda at: sorted(r[0] for r in _run(spark, _arriving(spark, at).select("doc_id"), "ids").collect())
     assert ids(folder) == ids(sf) != []
+
+
+def test_equal_runs_share_a_rank(spark, sf):
+    """Copies of a supplier's lines are runs of equal scores, whatever the order of rows."""
+    folder = new_path(spark, "copies")
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    copies = spark.range(40).select(F.col("id").alias("copy"))
+    shifted = F.col("l_suppkey") + F.col("copy") * 1_000_000
+    lines.crossJoin(copies).withColumn("l_suppkey", shifted).drop("copy").write.parquet(f"{folder}/lineitem.parquet")
+    board = QUERIES["run_leaderboard"](spark, folder)
+    ranks = board.groupBy((F.col("run").cast("long") % 1_000_000).alias("supplier")).agg(F.countDistinct("rank").alias("n"))
+    assert ranks.agg(F.max("n")).first()[0] == 1
