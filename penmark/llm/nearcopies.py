@@ -1,4 +1,4 @@
-"""One document of each group of near-duplicates: bit-sliced candidates, verified by shingles.
+"""One document of each group of near-duplicates: every pair of likeness 0.8 or more is linked.
 
 Documents with the same words collapse first. The others get a 64-bit SimHash of their shingles of
 five words, and ``BANDS`` keys, each a hash of ``BAND_ROWS`` least shingle hashes. Documents that
@@ -7,10 +7,14 @@ bits of each other. It runs at rising radii and keeps the links that join what s
 apart, so a key sends on at most one link per document, the closest ones, and never its pairs.
 Keys with more than ``TILE`` documents are dealt in tiles, one task for each pair of tiles. The
 texts of every link are compared exactly; links whose sets of shingles have a Jaccard likeness of
-``LEAST_LIKENESS`` or more form the groups.
-
-Two documents of likeness 0.8 share a key with probability 0.997 and are within the last radius with
-0.98; tests measure the recall of planted pairs.
+``LEAST_LIKENESS`` or more form groups.
+
+These links are a forest of candidates: one that fails the comparison may hide another that would
+not, and some pairs share no key. So a second pass takes all pairs of different groups that can be
+alike. Sets of n shingles with a likeness of 0.8 or more share one of the first n - ceil(0.8 n) + 1
+shingles in any common order (prefix filter), and one near the front of both. Shingles that a sample
+holds often come last in the order; the sample decides how many pairs meet, not which are found. The
+texts of these pairs are compared as well, and pairs inside a group need no comparison.
 """
 
 from __future__ import annotations
@@ -36,6 +40,11 @@ BAND_ROWS = 3
 # 0.8 in likeness is a cosine of 0.89, or 9.7 bits of 64 on average with a deviation of 2.9.
 RADII = (4, 8, 12, 16)
 TILE = 1 << 14
+# Documents whose shingles are counted for the order of the prefix filter, the least count of a
+# frequent shingle, and how many of them are told apart.
+ORDER_DOCS = 1 << 14
+ORDER_COUNT = 3
+ORDER_SHINGLES = 1 << 18
 SEED = 42
 
 
@@ -66,11 +75,71 @@ def band_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return keys
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, hash, words, fp, bands) of rows (doc_id, text, hash): a hash of the words of the text,
-    its fingerprint, and its keys; a text without words has neither and the hash zero."""
+def _distinct_shingles(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text in ascending order, back to back, and their text."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((hashes, doc))
+    hashes, doc = hashes[order], doc[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+    return hashes[new], doc[new]
+
+
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of shingles that several documents of a sample hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in row_slices(batch, 0, SLICE_BYTES):
+                found, _ = _distinct_shingles(
+                    *shingle_hashes(split_words(part.column(0), lower=True), SHINGLE_WORDS, SEED)
+                )
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["shingle"])
+
+    every = max(1, -(-docs.count() // ORDER_DOCS))
+    table = (
+        docs.filter(F.pmod(F.xxhash64("doc_id", "hash"), F.lit(every)) == 0)
+        .select("text")
+        .mapInArrow(run, "shingle long")
+        .groupBy("shingle")
+        .agg(F.count("*").alias("n"))
+        .filter(F.col("n") >= ORDER_COUNT)
+        .orderBy(F.desc("n"), "shingle")
+        .limit(ORDER_SHINGLES)
+        .toArrow()
+    )
+    hashes = table.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], table.column("n").to_numpy()[order]
+
+
+def prefixes(
+    hashes: np.ndarray, sizes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First shingles of each text in the common order, back to back, their number, and the number of
+    distinct shingles."""
+    found, doc = _distinct_shingles(hashes, sizes)
+    counts = np.zeros(len(found), np.int64)
+    if len(frequent[0]):
+        at = np.minimum(np.searchsorted(frequent[0], found), len(frequent[0]) - 1)
+        counts = np.where(frequent[0][at] == found, frequent[1][at], 0)
+    order = np.lexsort((found, counts, doc))
+    n = np.bincount(doc, minlength=len(sizes))
+    first = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
+    place = np.arange(len(found)) - np.repeat(np.cumsum(n) - n, n)
+    return found[order][place < np.repeat(first, n)], first, n
+
+
+def sketches(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(doc_id, hash, words, fp, bands, n, prefix) of rows (doc_id, text, hash): a hash of the words of
+    the text, its fingerprint, its keys, its number of shingles and the first of them by ``frequent``;
+    a text without words has none of them and the hash zero. Of the same words in a task the first row
+    alone has a prefix."""
+    spark = docs.sparkSession
+    order = spark.sparkContext.broadcast(frequent or (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for part in row_slices(batch, 1, SLICE_BYTES):
                 words = split_words(part.column(1), lower=True)
@@ -87,6 +156,15 @@ def sketches(docs: DataFrame) -> DataFrame:
                     whole[i] = xxhash.xxh64_intdigest(raw[words.starts[first[i]] : words.ends[last[i]]], SEED)
                 offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[filled].ravel().view(np.int64)))
+                front, lengths, n = prefixes(hashes, sizes, order.value)
+                new = np.zeros(len(sizes), bool)
+                for i in filled.tolist():
+                    if int(whole[i]) not in seen:
+                        seen.add(int(whole[i]))
+                        new[i] = True
+                front = front[np.repeat(new, lengths)]
+                offsets = np.concatenate([[0], np.cumsum(np.where(new, lengths, 0))]).astype(np.int32)
+                prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(front.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -94,11 +172,14 @@ def sketches(docs: DataFrame) -> DataFrame:
                         pa.array(whole.view(np.int64)),
                         pa.array(majority_bits(hashes, sizes).view(np.int64)),
                         bands,
+                        pa.array(n.astype(np.int32)),
+                        prefix,
                     ],
-                    names=["doc_id", "hash", "words", "fp", "bands"],
+                    names=["doc_id", "hash", "words", "fp", "bands", "n", "prefix"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, hash long, words long, fp long, bands array<long>")
+    columns = "doc_id long, hash long, words long, fp long, bands array<long>, n int, prefix array<long>"
+    return docs.mapInArrow(run, columns)
 
 
 def _closest_links(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,18 +327,69 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def near_copy_groups(docs: DataFrame) -> DataFrame:
-    """(words, doc_id, hash, component) of each distinct word sequence of ``docs`` (doc_id, text,
-    hash): its least row, and the least row's words of its group as ``component``."""
-    prints = materialise(sketches(docs), "sketches")
-    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")
-    distinct = materialise(
-        prints.groupBy("words")
-        .agg(F.min(row).alias("row"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
-        .select("words", "row.*", "fp", "bands"),
-        "distinct",
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shingle, words, place) in order: those whose shingle other words hold, each once."""
+    rest = np.zeros((0, 3), np.int64)
+
+    def met(rows: np.ndarray) -> pa.RecordBatch:
+        rows = rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])]
+        same = rows[1:, 0] == rows[:-1, 0]
+        rows = rows[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.ascontiguousarray(rows[:, i])) for i in range(3)], names=["shingle", "words", "place"]
+        )
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1).astype(np.int64)
+        rows = np.concatenate([rest, rows])
+        # The last shingle may go on in the next batch.
+        done = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+        if done:
+            yield met(rows[:done])
+        rest = rows[done:]
+    if len(rest):
+        yield met(rest)
+
+
+def shared_prefixes(prints: DataFrame) -> DataFrame:
+    """(shingle, words, place) of the shingles that stand in the prefixes of several word sequences."""
+    rows = prints.select("words", F.posexplode_outer("prefix").alias("place", "shingle")).filter("shingle is not null")
+    # A fixed number of tasks, as in ``candidate_links``.
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        rows.select("shingle", "words", F.col("place").cast("long").alias("place"))
+        .repartition(tasks, "shingle")
+        .sortWithinPartitions("shingle", "words")
+        .mapInArrow(_met, "shingle long, words long, place long")
     )
-    links = materialise(candidate_links(distinct.select("words", "fp", "bands")), "links")
+
+
+def open_pairs(shared: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of words in different groups that can be alike, of rows of
+    ``shared_prefixes`` and (words, n, component): overlaps of 4/9 of both sizes are 0.8 in likeness."""
+    rows = shared.join(members, "words")
+    mixed = (
+        rows.groupBy("shingle")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .filter("low <> high")
+        .select("shingle")
+    )
+    rows = rows.join(mixed, "shingle", "left_semi").withColumn("left_over", F.col("n") - F.col("place"))
+    one, other = (rows.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in ("words", "n", "component", "left_over")])
+                  for side in ("a", "b"))
+    enough = 9 * F.least("a_left_over", "b_left_over") >= 4 * (F.col("a_n") + F.col("b_n"))
+    return (
+        one.join(other, "shingle")
+        .filter((F.col("a_words") < F.col("b_words")) & (F.col("a_component") != F.col("b_component")) & enough)
+        .select(F.col("a_words").alias("a"), F.col("b_words").alias("b"))
+        .distinct()
+    )
+
+
+def alike(links: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links (a, b) whose texts are alike; ``distinct`` names a row of ``docs`` for each words."""
     linked = links.select(F.col("a").alias("words")).union(links.select("b")).distinct()
     # Texts of linked documents alone; rows that repeat an id and a text come once.
     wanted = distinct.join(linked, "words").select("words", "doc_id", "hash")
@@ -273,7 +405,30 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
         .join(texts.select(F.col("words").alias("b"), F.col("text").alias("right")), "b")
         .select("a", "b", "left", "right")
     )
-    groups = connected_components(pairs.mapInArrow(_verified, "a long, b long"))
+    return pairs.mapInArrow(_verified, "a long, b long")
+
+
+def near_copy_groups(docs: DataFrame) -> DataFrame:
+    """(words, doc_id, hash, component) of each distinct word sequence of ``docs`` (doc_id, text,
+    hash): its least row, and the least row's words of its group as ``component``."""
+    prints = materialise(sketches(docs, frequent_shingles(docs)), "sketches")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")
+    distinct = materialise(
+        prints.groupBy("words")
+        .agg(
+            F.min(row).alias("row"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("n").alias("n")
+        )
+        .select("words", "row.*", "fp", "bands", "n"),
+        "distinct",
+    )
+    links = materialise(candidate_links(distinct.select("words", "fp", "bands")), "links")
+    close = connected_components(alike(links, distinct, docs))
+    # What the candidates left apart: all other pairs that can be alike.
+    members = distinct.select("words", "n").join(close.withColumnRenamed("node", "words"), "words", "left")
+    members = members.withColumn("component", F.coalesce("component", "words"))
+    others = materialise(open_pairs(materialise(shared_prefixes(prints), "prefixes"), members), "open-pairs")
+    edges = close.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    groups = connected_components(edges.union(alike(others, distinct, docs)))
     return distinct.join(groups.withColumnRenamed("node", "words"), "words", "left").select(
         "words", "last", "doc_id", "hash", F.coalesce("component", "words").alias("component")
     )

@@ -86,6 +86,33 @@ def test_planted_near_copies(spark):
     assert len(kept & set(alike)) <= 0.1 * len(alike)
 
 
+def test_no_link_is_left_out(spark):
+    """Families whose members are about 0.8 alike, where links that fail stand beside links that hold."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for family in range(60):
+        size = int(rng.integers(4, 160))
+        base = [f"f{family}w{i}" for i in range(size)]
+        for _ in range(20):
+            text = list(base)
+            for at in rng.choice(size, int(rng.integers(0, max(2, size // 30))), replace=False):
+                text[at] = "edited" + str(rng.integers(1 << 30))
+            rows.append((len(rows), " ".join(text[: size - int(rng.integers(0, max(1, size // 12)))])))
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in close_pairs(rows, 0.8):
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    want = sorted({find(i) for i, _ in rows})
+    assert 100 < len(want) < 1000
+    assert kept_ids(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
 def test_a_large_group_in_tiles(spark):
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join([*base[: i % 200], f"x{i}", *base[i % 200 + 1 :]])) for i in range(300)]
