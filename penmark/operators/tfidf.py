@@ -7,7 +7,7 @@ vocabulary nor the weights need a shuffle per document and term. The vocabulary
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -135,7 +135,141 @@ def _with_tokens(df: DataFrame, config: TfidfConfig, text_col: str) -> DataFrame
     return remover.transform(df.withColumn("_all", tokens)).drop("_all")
 
 
+# Tokens that a worker takes apart at a time; their n-grams take some fifty times as many bytes.
+SLICE_TOKENS = 1 << 19
+
+
+def _gram_stats(
+    tokenised: DataFrame, lengths: tuple[int, int], known: np.ndarray | None, wanted: np.ndarray | None = None
+) -> DataFrame:
+    """(key, length, tf, df) of the n-grams of some lengths by 64-bit keys, summed per slice of texts.
+
+    ``known`` holds the sorted keys of frequent n-grams of one token less than the shortest; others with
+    a part that is not among them are left out. With ``wanted``, sorted keys, rows are (term, tf, df) of
+    the n-grams that have these keys.
+    """
+    context = tokenised.sparkSession.sparkContext
+    shared = context.broadcast((known, wanted))
+    names = ["term", "tf", "df"] if wanted is not None else ["key", "length", "tf", "df"]
+    limit = SLICE_TOKENS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        known, wanted = shared.value
+
+        def mixed(keys: np.ndarray) -> np.ndarray:
+            keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            return keys ^ (keys >> np.uint64(29))
+
+        def among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+            if not len(some):
+                return np.zeros(len(keys), bool)
+            return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys
+
+        def slices(lists: pa.Array) -> Iterator[pa.Array]:
+            sizes = np.diff(lists.offsets.to_numpy())
+            start, total = 0, 0
+            for i, size in enumerate(sizes.tolist()):
+                if total and total + size > limit:
+                    yield lists.slice(start, i - start)
+                    start, total = i, 0
+                total += size
+            yield lists.slice(start)
+
+        def counted(lists: pa.Array, n: int) -> Iterator[tuple]:
+            sizes = np.diff(lists.offsets.to_numpy())
+            coded = lists.flatten().dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            codes = coded.indices.to_numpy()
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))[codes]
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            keys = hashes
+            shorter = keys
+            for k in range(1, n):
+                shorter = keys
+                keys = mixed(keys[: len(keys) - 1] + np.uint64(k)) + hashes[k:] if len(keys) > 1 else keys[:0]
+            rows = np.flatnonzero(doc[: len(keys)] == doc[n - 1 :]) if len(keys) else np.zeros(0, np.int64)
+            if known is not None and n == lengths[0]:
+                rows = rows[among(shorter[rows], known)]
+                rows = rows[among(shorter[rows + 1], known)]
+            if wanted is not None:
+                rows = rows[among(keys[rows], wanted)]
+            if not len(rows):
+                return
+            keys = keys[rows]
+            order = np.argsort(keys, kind="stable")  # rows of a text stay together
+            keys, rows = keys[order], rows[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[rows[1:]] != doc[rows[:-1]])])
+            tf = np.diff(np.append(first, len(keys)))
+            df = np.add.reduceat(new.astype(np.int64), first)
+            if wanted is None:
+                yield [keys[first].view(np.int64), np.full(len(first), n, np.int32), tf, df]
+                return
+            # Different n-grams of one key are told apart.
+            grams = np.stack([codes[rows + k] for k in range(n)], axis=1)
+            if (grams != np.repeat(grams[first], tf, axis=0)).any():
+                order = np.lexsort([rows, *grams.T[::-1]])
+                grams, rows = grams[order], rows[order]
+                other = np.concatenate([[True], (grams[1:] != grams[:-1]).any(axis=1)])
+                first = np.flatnonzero(other)
+                new = other | np.concatenate([[True], doc[rows[1:]] != doc[rows[:-1]]])
+                tf = np.diff(np.append(first, len(rows)))
+                df = np.add.reduceat(new.astype(np.int64), first)
+            yield [[" ".join([words[c] for c in gram]) for gram in grams[first].tolist()], tf, df]
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            for part in slices(batch.column(0)):
+                for n in range(lengths[0], lengths[1] + 1):
+                    for columns in counted(part, n):
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    if wanted is not None:
+        rows = tokenised.mapInArrow(run, "term string, tf long, df long").groupBy("term")
+    else:
+        rows = tokenised.mapInArrow(run, "key long, length int, tf long, df long").groupBy("key", "length")
+    return rows.agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+
+
+def _vocabulary_by_keys(tokenised: DataFrame, config: TfidfConfig) -> pa.Table | None:
+    """The vocabulary by 64-bit keys of n-grams, then by the n-grams of the keys that can be in it.
+
+    A key counts at least what each of its n-grams does, so a rare key has rare n-grams. None if the
+    lowest frequency has too many ties to be fetched, or if keys shared by several n-grams made the
+    bound too high, so that another way must be taken.
+    """
+    low, high = config.ngram_range
+    best, lowest, known = None, 1, None
+    for lengths in [(low, min(low + 1, high)), *[(n, n) for n in range(low + 2, high + 1)]]:
+        stats = _gram_stats(tokenised, lengths, known)
+        stats = stats.filter((F.col("df") >= config.min_df) & (F.col("tf") >= lowest))
+        tied = stats.filter(F.col("tf") >= _lowest_kept(stats, config.max_features))
+        level = fetch_table(tied, max(2 * config.max_features, SMALL_TABLE_ROWS))
+        if level is None:
+            return None
+        best = level if best is None else pa.concat_tables([best, level])
+        tf = np.sort(best.column("tf").to_numpy())[::-1]
+        lowest = int(tf[config.max_features - 1]) if len(tf) >= config.max_features else 1
+        found = (level.column("tf").to_numpy() >= lowest) & (level.column("length").to_numpy() == lengths[1])
+        known = np.sort(level.column("key").to_numpy()[found].view(np.uint64))
+    keys = best.column("key").to_numpy()[best.column("tf").to_numpy() >= lowest]
+    wanted = np.unique(keys.view(np.uint64))
+    stats = _gram_stats(tokenised, (low, high), None, wanted)
+    terms = stats.filter((F.col("df") >= config.min_df) & (F.col("tf") >= lowest)).toArrow()
+    if lowest > 1 and terms.num_rows < config.max_features:
+        return None
+    return terms.sort_by([("tf", "descending"), ("term", "ascending")]).slice(0, config.max_features)
+
+
 def _vocabulary_table(tokenised: DataFrame, config: TfidfConfig) -> pa.Table:
+    found = _vocabulary_by_keys(tokenised, config)
+    return _vocabulary_by_terms(tokenised, config) if found is None else found
+
+
+def _vocabulary_by_terms(tokenised: DataFrame, config: TfidfConfig) -> pa.Table:
     low, high = config.ngram_range
     order = [("tf", "descending"), ("term", "ascending")]
     rounds = [(low, min(low + 1, high)), *[(n, n) for n in range(low + 2, high + 1)]]

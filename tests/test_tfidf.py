@@ -138,3 +138,22 @@ def test_token_ids(texts):
         2: ([0] * 5, [0] * 5),
         3: ([2] * 5, [1] * 5),
     }
+
+
+def test_vocabulary_by_keys_equals_that_by_terms(spark, sf, monkeypatch):
+    """Also over slices of few texts; too many ties leave it to the terms."""
+    from penmark.operators import tfidf
+
+    monkeypatch.setattr(tfidf, "SLICE_TOKENS", 2_000)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for config in (TfidfConfig(300, (1, 4)), TfidfConfig(2_000, (2, 3)), TfidfConfig(400, (1, 2), min_df=5)):
+        tokens = tfidf._tokenised(docs, config, "text")
+        by_keys = tfidf._vocabulary_by_keys(tokens, config)
+        by_terms = tfidf._vocabulary_by_terms(tokens, config)
+        assert by_keys.select(["term", "tf", "df"]).to_pylist() == by_terms.select(["term", "tf", "df"]).to_pylist()
+    monkeypatch.setattr(tfidf, "SMALL_TABLE_ROWS", 10)
+    tied = spark.createDataFrame([(" ".join(f"w{i}" for i in range(500)),)], "text string")
+    few = TfidfConfig(20, (1, 2))
+    tokens = tfidf._tokenised(tied, few, "text")
+    assert tfidf._vocabulary_by_keys(tokens, few) is None
+    assert tfidf.tfidf_vocabulary(tied, few).count() == 20
