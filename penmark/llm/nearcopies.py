@@ -31,7 +31,7 @@ from penmark.llm.arrowtext import row_slices, split_words
 from penmark.llm.bitsliced import SHORT_RUN, SLICE_BYTES, long_run, majority_bits, shingle_hashes, short_runs
 from penmark.llm.columns import apart
 from penmark.llm.components import connected_components
-from penmark.session import materialise
+from penmark.session import materialise, scratch
 
 SHINGLE_WORDS = 5
 LEAST_LIKENESS = 0.8
@@ -389,46 +389,47 @@ def open_pairs(shared: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def alike(links: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """The links (a, b) whose texts are alike; ``distinct`` names a row of ``docs`` for each words."""
+    """The links (a, b) whose texts are alike, written; ``distinct`` names a row of ``docs`` for each words."""
     linked = links.select(F.col("a").alias("words")).union(links.select("b")).distinct()
     # Texts of linked documents alone; rows that repeat an id and a text come once.
     wanted = distinct.join(linked, "words").select("words", "doc_id", "hash")
-    texts = materialise(
+    texts = (
         docs.withColumn("_id", F.xxhash64("doc_id"))
         .join(wanted.select("words", F.xxhash64("doc_id").alias("_id"), "hash"), ["_id", "hash"])
         .groupBy("words")
-        .agg(F.first("text").alias("text")),
-        "linked-texts",
+        .agg(F.first("text").alias("text"))
     )
-    pairs = (
-        links.join(texts.select(F.col("words").alias("a"), F.col("text").alias("left")), "a")
-        .join(texts.select(F.col("words").alias("b"), F.col("text").alias("right")), "b")
-        .select("a", "b", "left", "right")
-    )
-    return pairs.mapInArrow(_verified, "a long, b long")
+    with scratch(texts, "linked-texts") as texts:
+        pairs = (
+            links.join(texts.select(F.col("words").alias("a"), F.col("text").alias("left")), "a")
+            .join(texts.select(F.col("words").alias("b"), F.col("text").alias("right")), "b")
+            .select("a", "b", "left", "right")
+        )
+        return materialise(pairs.mapInArrow(_verified, "a long, b long"), "alike")
 
 
 def near_copy_groups(docs: DataFrame) -> DataFrame:
     """(words, doc_id, hash, component) of each distinct word sequence of ``docs`` (doc_id, text,
     hash): its least row, and the least row's words of its group as ``component``."""
-    prints = materialise(sketches(docs, frequent_shingles(docs)), "sketches")
     row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")
-    distinct = materialise(
-        prints.groupBy("words")
-        .agg(
-            F.min(row).alias("row"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("n").alias("n")
+    with scratch(sketches(docs, frequent_shingles(docs)), "sketches") as prints:
+        distinct = materialise(
+            prints.groupBy("words")
+            .agg(
+                F.min(row).alias("row"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("n").alias("n")
+            )
+            .select("words", "row.*", "fp", "bands", "n"),
+            "distinct",
         )
-        .select("words", "row.*", "fp", "bands", "n"),
-        "distinct",
-    )
-    links = materialise(candidate_links(distinct.select("words", "fp", "bands")), "links")
-    close = connected_components(alike(links, distinct, docs))
+        prefixes = materialise(shared_prefixes(prints), "prefixes")
+    with scratch(candidate_links(distinct.select("words", "fp", "bands")), "links") as links:
+        close = connected_components(alike(links, distinct, docs))
     # What the candidates left apart: all other pairs that can be alike.
     members = distinct.select("words", "n").join(close.withColumnRenamed("node", "words"), "words", "left")
     members = members.withColumn("component", F.coalesce("component", "words"))
-    others = materialise(open_pairs(materialise(shared_prefixes(prints), "prefixes"), members), "open-pairs")
     edges = close.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    groups = connected_components(edges.union(alike(others, distinct, docs)))
+    with scratch(open_pairs(prefixes, members), "open-pairs") as others:
+        groups = connected_components(edges.union(alike(others, distinct, docs)))
     return distinct.join(groups.withColumnRenamed("node", "words"), "words", "left").select(
         "words", "last", "doc_id", "hash", F.coalesce("component", "words").alias("component")
     )
