@@ -13,8 +13,10 @@ These links are a forest of candidates: one that fails the comparison may hide a
 not, and some pairs share no key. So a second pass takes all pairs of different groups that can be
 alike. Sets of n shingles with a likeness of 0.8 or more share one of the first n - ceil(0.8 n) + 1
 shingles in any common order (prefix filter), and one near the front of both. Shingles that a sample
-holds often come last in the order; the sample decides how many pairs meet, not which are found. The
-texts of these pairs are compared as well, and pairs inside a group need no comparison.
+holds often come last in the order; the sample decides how many pairs meet, not which are found. Sets
+of a and b shingles with that likeness differ in (a + b) / 9 at most, and each difference changes one
+of their parity bits, so pairs with more different bits are passed over where they meet. The
+texts of the others are compared as well, and pairs inside a group need no comparison.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ TILE = 1 << 14
 ORDER_DOCS = 1 << 14
 ORDER_COUNT = 3
 ORDER_SHINGLES = 1 << 18
+# Bits of a set of shingles, each the parity of those that fall on it, in words of 64.
+PARITY_WORDS = 16
 SEED = 42
 
 
@@ -115,9 +119,9 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def prefixes(
     hashes: np.ndarray, sizes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First shingles of each text in the common order, back to back, their number, and the number of
-    distinct shingles."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First shingles of each text in the common order, back to back, their number, the number of
+    distinct shingles, and the parity bits (columns) of all of them."""
     found, doc = _distinct_shingles(hashes, sizes)
     counts = np.zeros(len(found), np.int64)
     if len(frequent[0]):
@@ -127,13 +131,22 @@ def prefixes(
     n = np.bincount(doc, minlength=len(sizes))
     first = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
     place = np.arange(len(found)) - np.repeat(np.cumsum(n) - n, n)
-    return found[order][place < np.repeat(first, n)], first, n
+    return found[order][place < np.repeat(first, n)], first, n, parity_bits(found, doc, len(sizes))
+
+
+def parity_bits(found: np.ndarray, doc: np.ndarray, count: int) -> np.ndarray:
+    """PARITY_WORDS integers (columns) of each of ``count`` texts (rows): a bit is the parity of the
+    distinct shingles ``found`` of the text that fall on it."""
+    places = PARITY_WORDS * 64
+    at = doc * places + (_mixed(found) % np.uint64(places)).astype(np.int64)
+    odd = np.bincount(at, minlength=count * places) & 1
+    return np.packbits(odd.astype(bool)).view(np.uint64).reshape(count, PARITY_WORDS)
 
 
 def sketches(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """(doc_id, hash, words, fp, bands, n, prefix) of rows (doc_id, text, hash): a hash of the words of
-    the text, its fingerprint, its keys, its number of shingles and the first of them by ``frequent``;
-    a text without words has none of them and the hash zero. Of the same words in a task the first row
+    """(doc_id, hash, words, fp, bands, n, bits, prefix) of rows (doc_id, text, hash): a hash of the words
+    of the text, its fingerprint, its keys, its number of shingles, their parity bits and the first of
+    them by ``frequent``; a text without words has none of them and the hash zero. Of the same words in a task the first row
     alone has a prefix."""
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(frequent or (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
@@ -156,7 +169,7 @@ def sketches(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray] | None = N
                     whole[i] = xxhash.xxh64_intdigest(raw[words.starts[first[i]] : words.ends[last[i]]], SEED)
                 offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[filled].ravel().view(np.int64)))
-                front, lengths, n = prefixes(hashes, sizes, order.value)
+                front, lengths, n, odd = prefixes(hashes, sizes, order.value)
                 new = np.zeros(len(sizes), bool)
                 for i in filled.tolist():
                     if int(whole[i]) not in seen:
@@ -165,6 +178,8 @@ def sketches(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray] | None = N
                 front = front[np.repeat(new, lengths)]
                 offsets = np.concatenate([[0], np.cumsum(np.where(new, lengths, 0))]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(front.view(np.int64)))
+                offsets = np.arange(0, odd.size + 1, PARITY_WORDS, dtype=np.int32)
+                bits = pa.ListArray.from_arrays(pa.array(offsets), pa.array(odd.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -173,12 +188,13 @@ def sketches(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray] | None = N
                         pa.array(majority_bits(hashes, sizes).view(np.int64)),
                         bands,
                         pa.array(n.astype(np.int32)),
+                        bits,
                         prefix,
                     ],
-                    names=["doc_id", "hash", "words", "fp", "bands", "n", "prefix"],
+                    names=["doc_id", "hash", "words", "fp", "bands", "n", "bits", "prefix"],
                 )
 
-    columns = "doc_id long, hash long, words long, fp long, bands array<long>, n int, prefix array<long>"
+    columns = "doc_id long, hash long, words long, fp long, bands array<long>, n int, bits array<long>, prefix array<long>"
     return docs.mapInArrow(run, columns)
 
 
@@ -368,8 +384,9 @@ def shared_prefixes(prints: DataFrame) -> DataFrame:
 
 def open_pairs(shared: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of words in different groups that can be alike, of rows of
-    ``shared_prefixes`` and (words, n, component): overlaps of 4/9 of both sizes are 0.8 in likeness."""
-    rows = shared.join(members, "words")
+    ``shared_prefixes`` and (words, n, bits, component): overlaps of 4/9 of both sizes are 0.8 in likeness,
+    and leave 1/9 of them for differences."""
+    rows = shared.join(members.drop("bits"), "words")
     mixed = (
         rows.groupBy("shingle")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))
@@ -377,12 +394,16 @@ def open_pairs(shared: DataFrame, members: DataFrame) -> DataFrame:
         .select("shingle")
     )
     rows = rows.join(mixed, "shingle", "left_semi").withColumn("left_over", F.col("n") - F.col("place"))
-    one, other = (rows.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in ("words", "n", "component", "left_over")])
-                  for side in ("a", "b"))
+    rows = rows.join(members.select("words", "bits"), "words")
+    columns = ("words", "n", "component", "left_over", "bits")
+    one, other = (rows.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in ("a", "b"))
     enough = 9 * F.least("a_left_over", "b_left_over") >= 4 * (F.col("a_n") + F.col("b_n"))
+    apart_in = sum(F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i])) for i in range(PARITY_WORDS))
+    few = 9 * apart_in <= F.col("a_n") + F.col("b_n")
+    different = (F.col("a_words") < F.col("b_words")) & (F.col("a_component") != F.col("b_component"))
     return (
         one.join(other, "shingle")
-        .filter((F.col("a_words") < F.col("b_words")) & (F.col("a_component") != F.col("b_component")) & enough)
+        .filter(different & enough & few)
         .select(F.col("a_words").alias("a"), F.col("b_words").alias("b"))
         .distinct()
     )
@@ -416,16 +437,17 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
         distinct = materialise(
             prints.groupBy("words")
             .agg(
-                F.min(row).alias("row"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("n").alias("n")
+                F.min(row).alias("row"), F.first("fp").alias("fp"), F.first("bands").alias("bands"),
+                F.first("n").alias("n"), F.first("bits").alias("bits"),
             )
-            .select("words", "row.*", "fp", "bands", "n"),
+            .select("words", "row.*", "fp", "bands", "n", "bits"),
             "distinct",
         )
         prefixes = materialise(shared_prefixes(prints), "prefixes")
     with scratch(candidate_links(distinct.select("words", "fp", "bands")), "links") as links:
         close = connected_components(alike(links, distinct, docs))
     # What the candidates left apart: all other pairs that can be alike.
-    members = distinct.select("words", "n").join(close.withColumnRenamed("node", "words"), "words", "left")
+    members = distinct.select("words", "n", "bits").join(close.withColumnRenamed("node", "words"), "words", "left")
     members = members.withColumn("component", F.coalesce("component", "words"))
     edges = close.select(F.col("node").alias("a"), F.col("component").alias("b"))
     with scratch(open_pairs(prefixes, members), "open-pairs") as others:

@@ -125,6 +125,29 @@ def test_a_large_group_in_tiles(spark):
     assert kept_ids(df) == [0, *range(1000, 1150)]
 
 
+def test_few_of_the_pairs_that_share_shingles_are_compared(spark):
+    """Texts of one template that differ by half are passed over; those that differ in a word are not."""
+    random = np.random.default_rng(3)
+    template = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*template[:60], *(f"x{k}" for k in random.integers(0, 10**9, 60))])) for i in range(80)]
+    rows.append((500, rows[7][1].rpartition(" ")[0] + " last"))
+    narrow = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hash", F.xxhash64("text"))
+    prints = nearcopies.sketches(narrow)
+    members = prints.select("words", "n", "bits", F.col("words").alias("component"))
+    pairs = nearcopies.open_pairs(nearcopies.shared_prefixes(prints), members).collect()
+    ids = {r["words"]: r["doc_id"] for r in prints.collect()}
+    assert [sorted(ids[x] for x in pair) for pair in pairs] == [[7, 500]]
+
+
+def test_parity_bits_never_differ_more_than_the_sets():
+    random = np.random.default_rng(4)
+    for n in (0, 1, 5, 300, 5000):
+        a = np.unique(random.integers(0, 2**63, n, np.uint64))
+        b = np.unique(np.concatenate([a[n // 5 :], random.integers(0, 2**63, n // 7, np.uint64)]))
+        both = nearcopies.parity_bits(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2)
+        assert np.bitwise_count(both[0] ^ both[1]).sum() <= len(np.setxor1d(a, b))
+
+
 def test_odd_rows_of_the_stages(spark):
     long = "alpha beta gamma delta epsilon " * 9000
     rows = [
