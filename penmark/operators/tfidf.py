@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, NGram, StopWordsRemover
+from pyspark.ml.feature import ElementwiseProduct, NGram, StopWordsRemover
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from penmark.bounded import SMALL_TABLE_ROWS, fetch_table
 from penmark.constants import ENGLISH_STOP_WORDS, TOP_TERMS
 from penmark.functions.tokens import vectoriser_tokens
+from penmark.operators.ngramcounts import NgramCounter
 from penmark.session import TEXT_ROWS, materialise
 
 
@@ -332,8 +333,7 @@ class TfidfModel:
                 *ids, *keep, "term", "term_id", F.lit(0.0).alias("tfidf")
             )
         tokens = _with_tokens(df.select(*dict.fromkeys([*ids, *keep, text_col])), self.config, text_col)
-        grams = with_ngrams(tokens, *self.config.ngram_range).drop("_tokens")
-        counter = CountVectorizerModel.from_vocabulary(names, inputCol="_grams", outputCol="_n")
+        counter = NgramCounter(inputCol="_tokens", outputCol="_n", vocabulary=names)
         weigher = ElementwiseProduct(
             scalingVec=Vectors.dense(self.terms.column("idf").to_pylist()),
             inputCol="_n",
@@ -347,7 +347,7 @@ class TfidfModel:
             )
         norm = F.sqrt(F.aggregate("_weights", F.lit(0.0), lambda t, x: t + x * x))
         rows = (
-            weigher.transform(counter.transform(grams))
+            weigher.transform(counter.transform(tokens))
             .select(*ids, *keep, vector("_n")["indices"].alias("_ids"), weights.alias("_weights"))
             .withColumn("_norm", norm)
             .select(*ids, *keep, "_norm", F.inline_outer(F.arrays_zip("_ids", "_weights")))

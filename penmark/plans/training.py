@@ -9,10 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import (
-    CountVectorizerModel,
     ElementwiseProduct,
     IndexToString,
-    NGram,
     Normalizer,
     RegexTokenizer,
     SQLTransformer,
@@ -28,6 +26,7 @@ from pyspark.sql import functions as F
 
 from penmark.functions.tokens import WORD
 from penmark.operators.evaluation import accuracy, class_scores, cross_entropy
+from penmark.operators.ngramcounts import NgramCounter
 from penmark.operators.profile import class_weights
 from penmark.operators.tfidf import TfidfConfig, tfidf_fit
 from penmark.session import materialise
@@ -36,11 +35,10 @@ from penmark.session import materialise
 def tfidf_stages(
     train: DataFrame, config: TfidfConfig, text_col: str = "text"
 ) -> list:
-    """Fitted stages from text to a sparse TF-IDF vector, all inside the JVM and the row."""
+    """Fitted stages from text to a sparse TF-IDF vector, all inside the row."""
     if config.sublinear_tf or config.stop_words:
         raise ValueError("the vector form covers the training configurations only")
     terms = tfidf_fit(train, config, text_col).terms
-    low, high = config.ngram_range
     stages = [
         SQLTransformer(statement=f"SELECT *, coalesce({text_col}, '') AS _text FROM __THIS__"),
         RegexTokenizer(
@@ -51,18 +49,8 @@ def tfidf_stages(
             toLowercase=True,
         ),
     ]
-    grams = []
-    for n in range(low, high + 1):
-        if n == 1:
-            grams.append("_tokens")
-            continue
-        stages.append(NGram(n=n, inputCol="_tokens", outputCol=f"_grams{n}"))
-        grams.append(f"_grams{n}")
-    stages.append(
-        SQLTransformer(statement=f"SELECT *, concat({', '.join(grams)}) AS _terms FROM __THIS__")
-    )
-    counts = CountVectorizerModel.from_vocabulary(
-        terms.column("term").to_pylist(), inputCol="_terms", outputCol="_counts"
+    counts = NgramCounter(
+        inputCol="_tokens", outputCol="_counts", vocabulary=terms.column("term").to_pylist()
     )
     weights = Vectors.dense(terms.column("idf").to_pylist())
     stages += [
@@ -103,7 +91,10 @@ def _finish(train: DataFrame, indexer, feature_stages: list, estimator) -> Train
     wanted = ["label_id", "features"]
     if estimator.hasParam("weightCol") and estimator.isSet("weightCol"):
         wanted.append(estimator.getWeightCol())
-    fitted = estimator.fit(rows.select(*wanted))
+    rows = rows.select(*wanted)
+    if feature_stages:
+        rows = materialise(rows, "features")  # a fit reads its rows several times
+    fitted = estimator.fit(rows)
     names = IndexToString(
         inputCol="prediction", outputCol="predicted_label", labels=indexer.labels
     )

@@ -157,3 +157,36 @@ def test_vocabulary_by_keys_equals_that_by_terms(spark, sf, monkeypatch):
     tokens = tfidf._tokenised(tied, few, "text")
     assert tfidf._vocabulary_by_keys(tokens, few) is None
     assert tfidf.tfidf_vocabulary(tied, few).count() == 20
+
+
+def test_ngram_counter_equals_spark_and_is_saved(spark, tmp_path, monkeypatch):
+    """Also over slices of few tokens, and for terms whose parts are no terms."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import CountVectorizerModel
+
+    from penmark.operators import ngramcounts
+
+    monkeypatch.setattr(ngramcounts, "SLICE_TOKENS", 7)
+    rows = [["a", "b", "a", "b", "c"], [], None, ["b"], ["c", "a", "b", "c", "d", "a"], ["a"] * 9, ["zz", "é"]]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, _tokens array<string>").coalesce(1)
+    terms = ["a b c", "a", "c d a", "é", "b a", "a a a a", "never seen"]
+    counter = ngramcounts.NgramCounter(inputCol="_tokens", outputCol="n", vocabulary=terms)
+    PipelineModel([counter]).save(str(tmp_path / "counter"))
+    grams = tfidf.with_ngrams(df.filter("_tokens is not null"), 1, 4)
+    want = CountVectorizerModel.from_vocabulary(terms, inputCol="_grams", outputCol="n").transform(grams)
+    want = {r["doc_id"]: r["n"] for r in want.collect()}
+    for model in (counter, PipelineModel.load(str(tmp_path / "counter"))):
+        got = {r["doc_id"]: r["n"] for r in model.transform(df).collect()}
+        assert not got.pop(2).toArray().any()
+        assert got == want and sum(v.numNonzeros() for v in got.values()) == 9
+    assert ngramcounts.NgramCounter(inputCol="_tokens", outputCol="n", vocabulary=[]).transform(df).count() == 7
+
+
+def test_a_classifier_makes_its_features_once(spark, texts, monkeypatch):
+    from penmark.plans import training
+
+    labels = []
+    monkeypatch.setattr(training, "materialise", lambda df, label: labels.append(label) or df)
+    df = texts(["aa bb", "aa cc", "dd ee"] * 4).withColumn("generated_by", F.when(F.col("doc_id") % 3 == 2, "x").otherwise("y"))
+    training.train_tfidf_classifier(df, TfidfConfig(10, (1, 2)), max_iter=2)
+    assert labels == ["features"]
