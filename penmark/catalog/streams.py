@@ -10,7 +10,7 @@ from penmark.catalog.registry import query
 from penmark.catalog.text import AVG_SENT, sql_truncated
 from penmark.constants import BLANK_CLASS
 from penmark.sources.models import load_pipeline, save_pipeline
-from penmark.session import is_folder, new_path
+from penmark.session import TEXT_ROWS, is_folder, new_path
 from penmark.streaming.cleaning import clean_rows
 from penmark.streaming.cleaning import clean_stream as clean
 from penmark.streaming.deduplication import OUTCOMES, deduplicate_stream
@@ -112,7 +112,8 @@ def clean_stream_bounded(spark, sf):
     )
     source, out, state = (new_path(spark, x) for x in ("arriving", "bounded", "bounded-state"))
     for run in range(ARRIVALS):
-        events.filter(F.col("run") == run).drop("run").write.mode("append").parquet(source)
+        arrived = events.filter(F.col("run") == run).drop("run")
+        arrived.write.option("parquet.block.size", TEXT_ROWS).mode("append").parquet(source)
         stream = spark.readStream.schema(events.drop("run").schema).parquet(source)
         job = deduplicate_stream(clean_rows(stream, NOISE), out, state, ["doc_id"], "event_time", TTL)
     first, repeated, late_rows = (job.read(spark, outcome) for outcome in OUTCOMES)

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from penmark.operators.cleaning import text_key
-from penmark.session import remove_path
+from penmark.session import TEXT_ROWS, remove_path
 
 OUTCOMES = ("first", "repeated", "late")
 
@@ -60,18 +60,22 @@ class BoundedDeduplication:
         return spark.read.schema("micros long").parquet(self.path("marks", batch)).first()["micros"]
 
     def merge(self, rows: DataFrame, batch: int) -> None:
-        """One micro-batch. Texts are read twice, to hash them and to write them; the rest of the
-        work is on keys, where copies of a text collapse before the shuffle."""
+        """One micro-batch. Its rows are computed once and written with their keys; texts are read from
+        there for the outputs. The rest of the work is on keys, where copies of a text collapse
+        before the shuffle."""
         spark, ids = rows.sparkSession, list(self.ids)
         mark = self._mark(spark, batch - 1)
         watermark = None if mark is None else mark - self.ttl_seconds * 1_000_000
         key = F.coalesce(text_key(self.text_col), F.unhex(F.lit("")))
-        narrow = rows.select(*ids, key.alias("key"), F.unix_micros(self.time_col).alias("micros"))
-        keys = self._write(narrow, "keys", batch)
+        keyed = rows.withColumns({"_key": key, "_micros": F.unix_micros(self.time_col)})
+        keyed = self._write(keyed, "rows", batch, TEXT_ROWS)
+        keys = keyed.select(*ids, F.col("_key").alias("key"), F.col("_micros").alias("micros"))
         latest = keys.agg(F.max("micros")).first()[0]
         latest = max((x for x in (mark, latest) if x is not None), default=None)
         keys = keys.withColumn("micros", F.coalesce("micros", F.lit(latest), F.lit(0)))
         late = F.lit(False) if watermark is None else F.col("micros") < watermark
+        # Rows without a time have none of the watermark's past.
+        late_row = F.lit(False) if watermark is None else F.coalesce(F.col("_micros") < watermark, F.lit(False))
         live = self._state(spark, batch - 1)
         if watermark is not None:
             live = live.filter(F.col("micros") >= watermark)
@@ -84,19 +88,21 @@ class BoundedDeduplication:
         late_ids = (
             keys.filter(late).join(known, "key", "left").select(*ids, F.coalesce("known", F.lit(False)).alias("known"))
         )
-        self._write(rows.join(first_ids, ids, "left_semi"), "first", batch)
+        in_time_rows, late_rows = (keyed.filter(x).select(*rows.columns) for x in (~late_row, late_row))
+        self._write(in_time_rows.join(first_ids, ids, "left_semi"), "first", batch)
         self._write(in_time.join(first_ids, ids, "left_anti").select(*ids, "key"), "repeated", batch)
-        self._write(rows.join(late_ids, ids), "late", batch)
+        self._write(late_rows.join(late_ids, ids), "late", batch)
         self._write(live.union(new.select("key", "micros")), "state", batch)
         self._write(spark.range(1).select(F.lit(latest).cast("long").alias("micros")), "marks", batch)
         # The batch before is still needed if this one is tried again.
-        for name, age in (("keys", 0), ("new", 0), ("state", 2), ("marks", 2)):
+        for name, age in (("rows", 0), ("new", 0), ("state", 2), ("marks", 2)):
             if batch >= age:
                 remove_path(spark, self.path(name, batch - age))
 
-    def _write(self, df: DataFrame, name: str, batch: int) -> DataFrame:
+    def _write(self, df: DataFrame, name: str, batch: int, row_group: int | None = None) -> DataFrame:
         path = self.path(name, batch)
-        df.write.mode("overwrite").parquet(path)
+        writer = df.write if row_group is None else df.write.option("parquet.block.size", row_group)
+        writer.mode("overwrite").parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
     def start(self, texts: DataFrame, checkpoint: str) -> StreamingQuery:

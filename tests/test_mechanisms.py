@@ -76,6 +76,26 @@ def test_removing_a_missing_path(spark):
     remove_path(spark, new_path(spark, "nothing"))
 
 
+def test_a_batch_computes_its_rows_once(spark):
+    computed = spark.sparkContext.accumulator(0)
+
+    def noted(text):
+        computed.add(1)
+        return text
+
+    rows = spark.range(40).selectExpr(
+        "id doc_id", "cast(id % 30 as string) text", "timestamp_seconds(id * 86400) at"
+    )
+    rows = rows.withColumn("text", F.udf(noted, "string")("text"))
+    job = BoundedDeduplication(new_path(spark, "once"), ("doc_id",), "at", 5 * DAY)
+    job.merge(rows.filter("doc_id < 20 or doc_id > 37"), 0)
+    assert computed.value == 22
+    job.merge(rows.filter("doc_id between 20 and 37"), 1)
+    assert computed.value == 40
+    late = {r["doc_id"] for r in job.read(spark, "late").collect()}
+    assert late == set(range(20, 34)) and job.read(spark, "first").count() == 24
+
+
 # --- training -----------------------------------------------------------------------------------
 
 
