@@ -178,14 +178,28 @@ def _gram_stats(
                 total += size
             yield lists.slice(start)
 
-        def counted(lists: pa.Array, n: int) -> Iterator[tuple]:
+        def coded(lists: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+            """Words of a slice and their hashes, and for each token its word and its text."""
             sizes = np.diff(lists.offsets.to_numpy())
-            coded = lists.flatten().dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            codes = coded.indices.to_numpy()
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))[codes]
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            keys = hashes
+            found = lists.flatten().dictionary_encode()
+            words = found.dictionary.to_pylist()
+            codes = found.indices.to_numpy()
+            own = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+            return words, own, codes, np.repeat(np.arange(len(sizes)), sizes)
+
+        def words_counted(own: np.ndarray, codes: np.ndarray, doc: np.ndarray) -> list:
+            texts = int(doc[-1]) + 1
+            pairs = np.sort(codes.astype(np.int64) * texts + doc)
+            new = np.concatenate([[True], pairs[1:] != pairs[:-1]])
+            tf, df = (np.bincount(x, minlength=len(own)) for x in (codes, pairs[new] // texts))
+            return [own.view(np.int64), np.full(len(own), 1, np.int32), tf, df]
+
+        def counted(words: list[str], own: np.ndarray, codes: np.ndarray, doc: np.ndarray, n: int) -> Iterator[list]:
+            if n == 1 and wanted is None:
+                if len(codes):
+                    yield words_counted(own, codes, doc)
+                return
+            hashes = keys = own[codes]
             shorter = keys
             for k in range(1, n):
                 shorter = keys
@@ -224,8 +238,9 @@ def _gram_stats(
             if not len(batch):
                 continue
             for part in slices(batch.column(0)):
+                tokens = coded(part)
                 for n in range(lengths[0], lengths[1] + 1):
-                    for columns in counted(part, n):
+                    for columns in counted(*tokens, n):
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     if wanted is not None:
@@ -244,11 +259,16 @@ def _vocabulary_by_keys(tokenised: DataFrame, config: TfidfConfig) -> pa.Table |
     """
     low, high = config.ngram_range
     best, lowest, known = None, 1, None
-    for lengths in [(low, min(low + 1, high)), *[(n, n) for n in range(low + 2, high + 1)]]:
+    rounds = [(n, n) for n in range(low, high + 1)]
+    while rounds:
+        lengths = rounds.pop(0)
         stats = _gram_stats(tokenised, lengths, known)
         stats = stats.filter((F.col("df") >= config.min_df) & (F.col("tf") >= lowest))
         tied = stats.filter(F.col("tf") >= _lowest_kept(stats, config.max_features))
         level = fetch_table(tied, max(2 * config.max_features, SMALL_TABLE_ROWS))
+        if level is None and best is None and lengths[0] == lengths[1] < high:
+            rounds[0] = (low, low + 1)  # with the next length the lowest frequency is higher
+            continue
         if level is None:
             return None
         best = level if best is None else pa.concat_tables([best, level])

@@ -190,3 +190,19 @@ def test_a_classifier_makes_its_features_once(spark, texts, monkeypatch):
     df = texts(["aa bb", "aa cc", "dd ee"] * 4).withColumn("generated_by", F.when(F.col("doc_id") % 3 == 2, "x").otherwise("y"))
     training.train_tfidf_classifier(df, TfidfConfig(10, (1, 2)), max_iter=2)
     assert labels == ["features"]
+
+
+def test_longer_ngrams_are_counted_of_frequent_shorter_ones_only(spark, texts, monkeypatch):
+    calls, plain = [], tfidf._gram_stats
+
+    def noted(tokenised, lengths, known, wanted=None):
+        if wanted is None:
+            calls.append((lengths, known is None))
+        return plain(tokenised, lengths, known, wanted)
+
+    monkeypatch.setattr(tfidf, "_gram_stats", noted)
+    df = texts(["aa bb aa bb cc", "aa bb dd", "aa aa bb", None, "ee"])
+    config = tfidf.TfidfConfig(4, (1, 3))
+    found = [(r["term"], r["tf"], r["df"]) for r in tfidf.tfidf_vocabulary(df, config).collect()]
+    assert found == [("aa", 5, 3), ("aa bb", 4, 3), ("bb", 4, 3), ("aa aa", 1, 1)]
+    assert calls == [((1, 1), True), ((2, 2), False), ((3, 3), False)]
