@@ -20,7 +20,8 @@ def alpha_tokens(text: Column) -> Column:
 
 def upper_word_count(text: Column) -> Column:
     """Words of two or more ASCII capitals."""
-    pattern = rf"(?<![{WORD}])[A-Z]{{2,}}+(?![{WORD}])"
+    # Places without two capitals are passed over before it is looked back.
+    pattern = rf"(?=[A-Z]{{2}})(?<![{WORD}])[A-Z]{{2,}}+(?![{WORD}])"
     return F.regexp_count(text, F.lit(pattern)).cast("bigint")
 
 

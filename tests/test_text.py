@@ -167,3 +167,31 @@ def test_stylometrics(cases):
             continue
         for name, value in python_style(row["text"]).items():
             assert row[name] == pytest.approx(value, rel=1e-9, abs=1e-9), (row["text"], name)
+
+
+def test_syllables_equal_those_of_patterns(spark, monkeypatch):
+    """Over slices of a few bytes too; rows are not taken together."""
+    import random
+    import re
+
+    from penmark.functions import style
+
+    draw = random.Random(3)
+    rows = ["", "a", "bcd", "bcd fgh", "banana", "y b", ""]
+    rows += [" ".join("".join(draw.choices("abeikyrst", k=draw.randint(1, 9))) for _ in range(draw.randint(0, 6))) for _ in range(300)]
+    one = re.compile("[aeiouy]+|(?<![a-z])[b-df-hj-np-tv-xz]+(?![a-z])")
+    three = re.compile("(?<![a-z])[b-df-hj-np-tv-xz]*(?:[aeiouy]+[b-df-hj-np-tv-xz]+){2}[aeiouy]")
+    want = [(len(one.findall(r)), len(three.findall(r))) for r in rows]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, w string").coalesce(2)
+    for size in (8 << 20, 40):
+        monkeypatch.setattr(style, "SLICE_BYTES", size)
+        got = df.select("i", style.syllables("w").alias("s")).orderBy("i").collect()
+        assert [(r["s"]["syllables"], r["s"]["complex"]) for r in got] == want
+
+
+def test_style_measures_need_no_pattern_for_syllables(spark, texts):
+    from conftest import plan_of
+    from penmark.functions.style import stylometric_features
+
+    plan = plan_of(stylometric_features(texts(["Banana split.", None, ""])))
+    assert "aeiouy" not in plan and "ArrowEvalPython" in plan
