@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from penmark.catalog.fixtures import WORD_RE, hash8, sql_hash8, table
@@ -55,10 +56,23 @@ def score_stream(spark, sf):
     texts = _arriving(spark, sf).select("doc_id", "text")
     streamed = _run(spark, score(texts, load_pipeline(path), ["doc_id"]), "score-stream")
     direct = score(table(spark, sf, "documents").select("doc_id", "text"), trained.pipeline, ["doc_id"])
-    renamed = direct.select("doc_id", F.col("predicted_label").alias("_label"), F.col("confidence").alias("_c"))
+    return same_rows(streamed, direct)
+
+
+def same_rows(streamed, direct):
+    """One row for each of a document; those that share a ``doc_id``, null included, meet in the order of their scores."""
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("predicted_label", "confidence"))
+    one = streamed.withColumn("_nth", nth)
+    other = direct.withColumn("_nth", nth).select(
+        F.col("doc_id").alias("_id"),
+        F.col("_nth").alias("_at"),
+        F.col("predicted_label").alias("_label"),
+        F.col("confidence").alias("_c"),
+    )
     same = (F.col("predicted_label") == F.col("_label")) & (F.abs(F.col("confidence") - F.col("_c")) < 1e-12)
-    return streamed.join(renamed, "doc_id", "full").select(
-        "doc_id", F.coalesce(same, F.lit(False)).alias("same")
+    pair = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_nth") == F.col("_at"))
+    return one.join(other, pair, "full").select(
+        F.coalesce("doc_id", "_id").alias("doc_id"), F.coalesce(same, F.lit(False)).alias("same")
     )
 
 

@@ -204,3 +204,16 @@ def test_equal_runs_share_a_rank(spark, sf):
     board = QUERIES["run_leaderboard"](spark, folder)
     ranks = board.groupBy((F.col("run").cast("long") % 1_000_000).alias("supplier")).agg(F.countDistinct("rank").alias("n"))
     assert ranks.agg(F.max("n")).first()[0] == 1
+
+
+def test_scores_of_a_stream_meet_those_of_the_table_once(spark):
+    from penmark.catalog.streams import same_rows
+
+    columns = "doc_id long, predicted_label string, confidence double"
+    rows = [(1, "a", 0.5), (1, "a", 0.7), (1, "b", 0.6), (None, "a", 0.9), (None, "b", 0.4), (2, "a", 0.8)]
+    table = spark.createDataFrame(rows, columns)
+    found = same_rows(spark.createDataFrame(rows[::-1], columns), table)
+    assert sorted(found.collect(), key=str) == sorted([(r[0], True) for r in rows], key=str)
+    other = spark.createDataFrame([*rows[:5], (3, "a", 0.8)], columns)
+    found = {(r["doc_id"], r["same"]) for r in same_rows(other, table).collect()}
+    assert found == {(1, True), (None, True), (2, False), (3, False)}
