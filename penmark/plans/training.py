@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
     ElementwiseProduct,
     IndexToString,
@@ -29,6 +29,7 @@ from penmark.operators.evaluation import accuracy, class_scores, cross_entropy
 from penmark.operators.ngramcounts import NgramCounter
 from penmark.operators.profile import class_weights
 from penmark.operators.tfidf import TfidfConfig, tfidf_fit
+from penmark.plans.networks import fit_weights, network_model, row_blocks, scores_by_part
 from penmark.session import materialise
 
 
@@ -133,14 +134,13 @@ def train_embedding_classifier(
     indexer = _label_indexer(train, class_col)
     rows = with_vectors(train, embedding_col)
     width = rows.select(F.size(vector_to_array("features")).alias("d")).first()["d"]
-    network = MultilayerPerceptronClassifier(
-        featuresCol="features",
-        labelCol="label_id",
-        layers=[width, *hidden, len(indexer.labels)],
-        maxIter=max_iter,
-        seed=seed,
-    )
-    return _finish(rows, indexer, [], network)
+    layers = [width, *hidden, len(indexer.labels)]
+    blocks = row_blocks(indexer.transform(rows).select(F.lit("train").alias("part"), "label_id", "features"))
+    first = network_model(train.sparkSession, layers, seed)
+    weights = fit_weights(blocks, layers, first.weights.toArray(), max_iter)
+    fitted = network_model(train.sparkSession, layers, seed, weights)
+    names = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=indexer.labels)
+    return TrainedClassifier(list(indexer.labels), PipelineModel([fitted, names]))
 
 
 @dataclass
@@ -162,20 +162,6 @@ class ValidatedTraining:
         return spark.createDataFrame([(run, *(h[c] for c in names)) for h in self.history], columns)
 
 
-def _scores_by_part(rows: DataFrame, model) -> dict[str, tuple[float, float]]:
-    """part -> (mean cross-entropy, accuracy), from one pass over all parts."""
-    p = F.get(vector_to_array("probability"), F.col("label_id").cast("int"))
-    scored = (
-        model.transform(rows)
-        .groupBy("part")
-        .agg(
-            F.avg(-F.log(F.greatest(p, F.lit(1e-15)))).alias("loss"),
-            F.avg((F.col("prediction") == F.col("label_id")).cast("double")).alias("accuracy"),
-        )
-    )
-    return {r["part"]: (r["loss"], r["accuracy"]) for r in scored.collect()}
-
-
 def train_with_validation(
     train: DataFrame,
     val: DataFrame,
@@ -207,22 +193,15 @@ def train_with_validation(
         )
         for part, df in (("train", train), ("val", val))
     ]
-    rows = materialise(parts[0].union(parts[1]), "training-rows")
-    fit_rows = rows.filter(F.col("part") == "train").select("label_id", "features")
-    width = fit_rows.select(F.size(vector_to_array("features")).alias("d")).first()["d"]
-    network = MultilayerPerceptronClassifier(
-        featuresCol="features",
-        labelCol="label_id",
-        layers=[width, *hidden, len(indexer.labels)],
-        maxIter=block_iter,
-        seed=seed,
-    )
-    model, best, best_score, best_at, history = None, None, None, 0, []
+    width = parts[0].select(F.size(vector_to_array("features")).alias("d")).first()["d"]
+    rows = row_blocks(parts[0].union(parts[1]))
+    fit_rows = rows.filter(F.col("part") == "train")
+    layers = [width, *hidden, len(indexer.labels)]
+    weights = network_model(train.sparkSession, layers, seed).weights.toArray()
+    best, best_score, best_at, history = None, None, 0, []
     for epoch in range(1, max_blocks + 1):
-        if model is not None:
-            network = network.setInitialWeights(model.weights)
-        model = network.fit(fit_rows)
-        scores = _scores_by_part(rows, model)
+        weights = fit_weights(fit_rows, layers, weights, block_iter)
+        scores = scores_by_part(rows, layers, weights)
         val_loss, val_acc = scores.get("val", (None, None))
         loss, train_acc = scores["train"]
         history.append(
@@ -230,12 +209,14 @@ def train_with_validation(
         )
         score = val_acc if monitor == "val_acc" or val_loss is None else -val_loss
         if best is None or (score is not None and (best_score is None or score > best_score)):
-            best, best_score, best_at = model, score, epoch
+            best, best_score, best_at = weights, score, epoch
         elif epoch - best_at >= patience:
             break
     names = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=indexer.labels)
     return ValidatedTraining(
-        TrainedClassifier(list(indexer.labels), PipelineModel([best, names])),
+        TrainedClassifier(
+            list(indexer.labels), PipelineModel([network_model(train.sparkSession, layers, seed, best), names])
+        ),
         best_at,
         len(history) - best_at >= patience,
         history,
